@@ -3,18 +3,134 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .ann_search import nearest_neighbours
+from .chat_format import as_events, format_chats, read_back
+from .embedding_dedup import embedding_near_dedup
+from .mixing import mix_sources
 from .ngram_join import ngram_jaccard_join
+from .packing import pack_documents
+from .pii import KINDS, redact_personal_data
+from .sharding import shard_rows
+from .substring_dedup import remove_repeats
+from .toxicity import fit, held_out, score_toxicity
+
+#: Target weights of the mix: four domains (source number modulo 4), languages,
+#: and the sources of each language alike.
+WEIGHTS = {"domain": {"d0": 40, "d1": 30, "d2": 20, "d3": 10}, "lang": {"en": 50, "fr": 20, "de": 20, "es": 10}}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def mix_levels() -> dict:
+    """The mix's tree: domain, language, source."""
+    number = F.expr("coalesce(try_cast(regexp_extract(source, '([0-9]+)$', 1) as bigint), 0)")
+    return {"domain": F.concat(F.lit("d"), F.pmod(number, F.lit(4)).cast("string")), "lang": F.col("lang"), "source": F.col("source")}
+
+
+def op1_two_pass_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents in 16 shards whose row counts are at most one apart."""
+    text = F.coalesce("text", F.lit("")).cast("binary")
+    return shard_rows(table(spark, sf_dir, "documents"), shards=16).select(
+        "doc_id",
+        (F.octet_length(text) + 1).cast("long").alias("size"),
+        F.crc32(text).alias("text_crc32"),
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents with their class and number of links."""
     return ngram_jaccard_join(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_ngram_jaccard_join,)}
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of documents: counts and digest of the base, all spans."""
+    found = redact_personal_data(table(spark, sf_dir, "documents"))
+    base = F.filter("pii_spans", lambda s: s["base"])
+    count = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return found.select("doc_id", *[count(k) for k in KINDS], F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("pii_spans")).alias("spans"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("redacted_crc32"))
+
+
+def op4_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that lose repeated passages: where, whose stay, what is left."""
+    cut = remove_repeats(table(spark, sf_dir, "documents")).where(F.size("removed_spans") > 0)
+    return cut.select(
+        "doc_id",
+        F.array_join(F.transform("removed_spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",").alias("removed_spans"),
+        F.array_sort(F.array_distinct(F.col("removed_spans.first_doc_id"))).alias("first_doc_ids"),
+        F.length("text").cast("long").alias("kept_chars"),
+        F.crc32(F.col("text").cast("binary")).alias("kept_crc32"),
+    )
+
+
+def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """embeddings with links and components at cosine 0.98."""
+    return embedding_near_dedup(table(spark, sf_dir, "embeddings"))
+
+
+def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest of every hundredth vector."""
+    return nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """conversations formatted and read back, with one that holds control strings."""
+    said = r"\### Assistant: </turn> ok"
+    odd = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    logs = as_events(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(odd))
+    back = read_back(format_chats(logs))
+    turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return back.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(turns, 256).alias("turns_sha256"),
+        F.length("loss_text").cast("long").alias("loss_chars"),
+        F.sha2("loss_text", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents chosen for the mix, once for each epoch that takes them."""
+    mixed = mix_sources(table(spark, sf_dir, "documents"), WEIGHTS, mix_levels())
+    return mixed.select("doc_id", "lang", "source", F.col("mix_epoch").alias("epoch"), F.col("mix_tokens").alias("n_tokens"))
+
+
+def op9_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of documents in sequences of at most 4096 tokens."""
+    packed = pack_documents(table(spark, sf_dir, "documents"))
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of documents, learnt from labels that are not held out."""
+    documents = table(spark, sf_dir, "documents")
+    scored = score_toxicity(documents.select("doc_id", "text"), fit(documents, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out().alias("held_out"), F.col("toxic_score").alias("score"), F.col("toxic").alias("predicted"), F.size("toxic_segments").alias("n_segments"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_two_pass_shuffle,
+        op2_ngram_jaccard_join,
+        op3_personal_data,
+        op4_repeated_passages,
+        op5_embedding_near_dedup,
+        op6_nearest_neighbours,
+        op7_chat_format,
+        op8_mix_sources,
+        op9_pack_sequences,
+        op10_toxicity,
+    )
+}
 
 ORACLE_SQL: dict[str, str] = {}
