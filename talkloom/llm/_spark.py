@@ -82,6 +82,18 @@ def block_tasks(df: DataFrame, group: str, weight: str, member: str, limit: int)
     )
 
 
+def scatter(df: DataFrame, key: str, buckets: int, rows: int, seed: int, into: str) -> DataFrame:
+    """Deals the `rows` rows of df into `buckets` by a seeded hash of `key`, int
+    column `into`. A key that holds more than an eighth of a bucket's share of rows
+    is scattered by row position as well."""
+    often = max(1, rows // (8 * buckets))
+    # at most 8 * buckets keys can be held so often
+    hot = df.groupBy(F.col(key).alias("__key")).agg(F.count("*").alias("__n")).where(F.col("__n") > often).select("__key", F.lit(True).alias("__hot"))
+    dealt = df.withColumn("__row", F.monotonically_increasing_id()).join(F.broadcast(hot), F.col(key).eqNullSafe(F.col("__key")), "left")
+    bucket = F.pmod(F.xxhash64(F.lit(seed), F.col(key), F.when(F.col("__hot"), F.col("__row")).otherwise(0)), F.lit(buckets)).cast("int")
+    return dealt.withColumn(into, bucket).drop("__row", "__key", "__hot")
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """Connected components of the undirected edges (u, v): one row (node, root)
     for each node, root the smallest node of its component.

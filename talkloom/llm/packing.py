@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._spark import scatter
+
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 END_ID, LENGTH = 2, 4096
@@ -138,14 +140,14 @@ def pack_documents(documents: DataFrame, length: int = LENGTH, tokenizer: str =
     offset in the sequence. Sequences hold at most `length` ids and are gapless.
 
     A document's ids are the tokenizer's, then END_ID: a null or empty text gives
-    one piece of END_ID alone. Repeated rows are packed as often as they stand;
-    rows are dealt to groups by doc_id and position, so that no doc_id fills one.
+    one piece of END_ID alone. Repeated rows are packed as often as they stand; a
+    doc_id that holds many rows is dealt to several groups.
     Further columns are not read. An empty table gives an empty result."""
     text = F.col("text").cast("string")
-    chars = documents.agg(F.sum(F.length(text))).first()[0] or 0
-    groups = max(1, -(-chars // group_chars))
-    dealt = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("__row", F.monotonically_increasing_id())
-    dealt = dealt.select("doc_id", "text", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "__row"), F.lit(groups)).cast("int").alias("pack_group"))
+    rows, chars = documents.agg(F.count("*"), F.sum(F.length(text))).first()
+    groups = max(1, -(-(chars or 0) // group_chars))
+    named = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    dealt = scatter(named, "doc_id", groups, rows, seed, "pack_group")
     pieces = dealt.mapInArrow(_cut(tokenizer, length), PIECES).repartitionById(groups, F.col("pack_group"))
     return pieces.mapInArrow(_pack(length), "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
 

@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import stored
+from ._spark import scatter, stored
 
 SEED = 20_240_607
 #: Text bytes a bucket holds on average; a task needs about three times that.
@@ -58,17 +58,8 @@ def shard_rows(table: DataFrame, shards: int = 16, key: str = "doc_id", text: st
     size = F.octet_length(F.coalesce(F.col(text).cast("string"), F.lit(""))) + 1
     rows, total = table.agg(F.count("*"), F.sum(size.cast("long"))).first()
     n_buckets = max(1, -(-(total or 0) // bucket_bytes))
-    often = max(1, rows // (8 * n_buckets))
-    # at most 8 * n_buckets keys can be held so often
-    hot = table.groupBy(F.col(key).alias("__key")).agg(F.count("*").alias("__n")).where(F.col("__n") > often).select("__key", F.lit(True).alias("__hot"))
-    row_id = F.monotonically_increasing_id()
-    scattered = (
-        table.withColumn("__row", row_id)
-        .join(F.broadcast(hot), F.col(key).eqNullSafe(F.col("__key")), "left")
-        .withColumn("__bucket", F.pmod(F.xxhash64(F.lit(seed), F.col(key), F.when(F.col("__hot"), F.col("__row")).otherwise(0)), F.lit(n_buckets)).cast("int"))
-        .withColumn("__id", F.xxhash64(F.lit(seed + 1), F.col(key)))
-        .withColumn("__crc", F.crc32(F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")))
-        .drop("__row", "__key", "__hot")
+    scattered = scatter(table, key, n_buckets, rows, seed, "__bucket").withColumns(
+        {"__id": F.xxhash64(F.lit(seed + 1), F.col(key)), "__crc": F.crc32(F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary"))}
     )
     schema = scattered.drop("__id", "__crc").withColumn("__place", F.lit(0).cast("long")).schema
     written = stored(scattered.repartitionById(n_buckets, F.col("__bucket")).mapInArrow(_fisher_yates(seed), schema), "shards")
