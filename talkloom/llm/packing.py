@@ -9,6 +9,7 @@ logarithmic time.
 from __future__ import annotations
 
 import os
+import re
 from array import array
 
 import numpy as np
@@ -25,32 +26,76 @@ END_ID, LENGTH = 2, 4096
 #: Text characters in a group, on average.
 GROUP_CHARS = 24 << 20
 #: Words whose ids a Python worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 600_000
+#: Text characters encoded together.
+CHARS_AT_ONCE = 2 << 20
 SEED = 9
 
 
+#: Words made of Latin letters, digits and ASCII marks (no apostrophe) alone, and
+#: the parts that the tokenizer's own pattern cuts them into.
+_PLAIN = re.compile(r"[a-zA-ZÀ-ÖØ-öø-ÿ0-9!-&(-/:-@\[-`{-~]+")
+_PARTS = re.compile(r"[a-zÀ-ÖØ-öø-ÿ]+|[0-9]|[!-&(-/:-@\[-`{-~]+")
+
+
 class _Ids:
     """Token ids of texts as little-endian unsigned 32-bit bytes.
 
     The tokenizer never joins across blanks, so a text is encoded word by word
-    (what single blanks and line breaks separate) and words are remembered."""
+    (what single blanks and line breaks separate) and words are remembered. New
+    plain words are cut into parts here; new parts are encoded many at once, past
+    the normaliser that would leave them as they are. All other words take the
+    tokenizer's full path."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.bare = Tokenizer.from_file(path)
+        self.bare.normalizer = normalizers.Sequence([])
+        self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+
+    def _learn_parts(self, parts: list[str]) -> None:
+        joined = [" ".join(parts[at : at + 200]) for at in range(0, len(parts), 200)]
+        ids = np.array([i for e in self.bare.encode_batch_fast(joined, add_special_tokens=False) for i in e.ids], "<u4")
+        # each part ends with the one token of it that ends a word
+        cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+        if len(cuts) != len(parts):
+            raise ValueError("a word part without a final token")
+        data = ids.tobytes()
+        self.parts.update(zip(parts, [data[a:b] for a, b in zip([0, *cuts], cuts, strict=False)], strict=True))
+
+    def _learn(self, words: list[str]) -> None:
+        plain = {w: _PARTS.findall(w.lower()) for w in words if "<|" not in w and _PLAIN.fullmatch(w)}
+        if len(self.parts) > REMEMBERED:
+            self.parts.clear()
+        self._learn_parts(list({p for parts in plain.values() for p in parts}.difference(self.parts)))
+        found = self.parts.__getitem__
+        self.known.update((w, b"".join(map(found, parts))) for w, parts in plain.items())
+        others = [w for w in words if w not in plain]
+        for word, encoding in zip(others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False), strict=True):
+            self.known[word] = array("I", encoding.ids).tobytes()
 
     def __call__(self, text: str) -> bytes:
-        words = text.replace("\n", " ").split(" ")
-        if new := list(set(words).difference(self.known)):
-            if len(self.known) > REMEMBERED:
-                self.known.clear()
-                new = list(set(words))
-            for word, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                self.known[word] = array("I", found.ids).tobytes()
-        return b"".join(map(self.known.__getitem__, words))
+        return self.encode([text])[0]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text; new words of all texts are learnt together."""
+        split = [text.replace("\n", " ").split(" ") for text in texts]
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        new: set[str] = set()
+        for words in split:
+            new.update(words)
+        self._learn(list(new.difference(self.known)))
+        found = self.known.__getitem__
+        return [b"".join(map(found, words)) for words in split]
 
 
 _encoders: dict[str, _Ids] = {}
@@ -68,22 +113,26 @@ PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, pac
 
 def _cut(path: str, length: int):
     def pieces(batches):
-        encode = encoder(path)
+        encode = encoder(path).encode
         end = array("I", [END_ID]).tobytes()
         for batch in batches:
             ids, groups = batch.column("doc_id"), batch.column("pack_group")
-            at, start, parts, total, held = [], [], [], [], 0
-            for k, text in enumerate(batch.column("text").to_pylist()):
-                data = encode(text or "") + end
-                n = len(data) // 4
-                for s in range(0, n, length):
-                    at.append(k), start.append(s), parts.append(data[4 * s : 4 * (s + length)]), total.append(n)
-                held += len(data)
-                if held > 4 << 20 or k == batch.num_rows - 1:
-                    rows = pa.array(at, pa.int32())
-                    sizes = pa.array([len(p) // 4 for p in parts], pa.int64())
-                    yield pa.RecordBatch.from_arrays([ids.take(rows), pa.array(start, pa.int64()), sizes, pa.array(parts, pa.binary()), pa.array(total, pa.int64()), groups.take(rows)], ["doc_id", "start", "length", "ids", "doc_tokens", "pack_group"])
-                    at, start, parts, total, held = [], [], [], [], 0
+            texts = [text or "" for text in batch.column("text").to_pylist()]
+            lo = 0
+            while lo < len(texts):
+                hi, chars = lo, 0
+                while hi < len(texts) and (hi == lo or chars < CHARS_AT_ONCE):
+                    chars += len(texts[hi])
+                    hi += 1
+                at, start, parts, total = [], [], [], []
+                for k, data in enumerate(encode(texts[lo:hi]), lo):
+                    data += end
+                    n = len(data) // 4
+                    for s in range(0, n, length):
+                        at.append(k), start.append(s), parts.append(data[4 * s : 4 * (s + length)]), total.append(n)
+                rows, sizes = pa.array(at, pa.int32()), pa.array([len(p) // 4 for p in parts], pa.int64())
+                yield pa.RecordBatch.from_arrays([ids.take(rows), pa.array(start, pa.int64()), sizes, pa.array(parts, pa.binary()), pa.array(total, pa.int64()), groups.take(rows)], ["doc_id", "start", "length", "ids", "doc_tokens", "pack_group"])
+                lo = hi
 
     return pieces
 
