@@ -133,4 +133,31 @@ QUERIES = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_ESC = r"replace(replace(replace({0}, '\', '\\'), '</turn>', '<\/turn>'), '##', '#\#')"
+
+#: DuckDB SQL of the queries that SQL can express: similarity and links by joining
+#: all shingles or vectors, reachability by recursion, chats without rendering.
+ORACLE_SQL: dict[str, str] = {
+    "op2_ngram_jaccard_join": r"""WITH RECURSIVE
+w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x00-\x20]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+  ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END)) AS s FROM w),
+u AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM s),
+p AS (SELECT a.doc_id AS i, b.doc_id AS j FROM u a JOIN u b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n
+  HAVING count(*)::DOUBLE / (a.n + b.n - count(*)) >= 0.8),
+c(i, j) AS (SELECT doc_id, doc_id FROM documents UNION SELECT c.i, p.j FROM c JOIN p ON c.j = p.i),
+k AS (SELECT i, min(j) AS class_id FROM c GROUP BY i), l AS (SELECT i, count(*) AS n FROM p GROUP BY i)
+SELECT s.doc_id, k.class_id, CASE WHEN len(s) = 0 THEN s.doc_id ELSE min(s.doc_id) OVER (PARTITION BY s.s) END AS copy_id, CAST(coalesce(l.n, 0) AS BIGINT) AS n_links
+FROM s JOIN k ON s.doc_id = k.i LEFT JOIN l ON s.doc_id = l.i""",
+    "op5_embedding_near_dedup": """WITH RECURSIVE e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
+p AS (SELECT a.vec_id AS i, b.vec_id AS j FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.v, b.v) >= 0.98),
+c(i, j) AS (SELECT vec_id, vec_id FROM e UNION SELECT c.i, p.j FROM c JOIN p ON c.j = p.i),
+k AS (SELECT i, min(j) AS component_id FROM c GROUP BY i), l AS (SELECT i, count(*) AS n FROM p GROUP BY i)
+SELECT k.i AS vec_id, CAST(coalesce(l.n, 0) AS BIGINT) AS n_links, k.component_id, k.i = k.component_id AS kept FROM k LEFT JOIN l ON k.i = l.i""",
+    "op7_chat_format": rf"""WITH a AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok'))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+CAST(sum(14 + length(replace({_ESC.format("role")}, ':', ':\')) + length({_ESC.format("text")})) AS BIGINT) AS formatted_chars FROM a GROUP BY conv_id""",
+}
