@@ -2,6 +2,529 @@
 
 from __future__ import annotations
 
-FLAGSHIP = ""
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from talkloom.functions import text as T
+from talkloom.operators import calendar, channels, documents, library, phrases, quality, retrieval, speakers, summary
+from talkloom.operators import rows as R
+from talkloom.plans import tables as B
+
+FLAGSHIP = "meeting_summary"
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+#: A small dictionary for texts of the test tables.
+RULES = [[r"\bthe\b", "THE"], [r"(an)d\b", r"\1t"], ["[", "skipped"], [r"\s+of\s+", " / "]]
+NOISE = ["The.", "Of.", "Les."]
+QUESTION = "What did the anon threa onth say_about THE tion?"
+TERMS = ["idiot", "onthe", "license", "the ", "public"]
+
+
+def query(sql: str | None = None):
+    """Registers a query under its function's name, with its SQL if it has one."""
+
+    def register(fn):
+        QUERIES[fn.__name__] = fn
+        if sql:
+            ORACLE_SQL[fn.__name__] = sql
+        return fn
+
+    return register
+
+
+# --- rows -------------------------------------------------------------------------
+
+
+@query(f"WITH {B.ROWS_SQL} SELECT meeting_id, string_agg('**' || label || '**: ' || txt, chr(10) ORDER BY st, ord) AS transcript FROM r GROUP BY meeting_id")
+def transcript(spark, sf):
+    return R.transcript(B.rows(spark, sf))
+
+
+@query(
+    f"WITH {B.ROWS_SQL}, c AS (SELECT * REPLACE (trim(regexp_replace(regexp_replace(regexp_replace(trim(txt, ' ' || chr(10)), '\\bthe\\b', 'THE', 'gi'), '(an)d\\b', '\\1t', 'gi'), '\\s+of\\s+', ' / ', 'gi'), ' ' || chr(10)) AS txt) FROM r) "
+    "SELECT meeting_id, ord, st, label, txt FROM c WHERE txt <> '' AND txt NOT IN ('The.', 'Of.', 'Les.')"
+)
+def corrected_rows(spark, sf):
+    return R.corrected(B.rows(spark, sf), RULES, NOISE).select("meeting_id", "ord", "st", "label", "txt")
+
+
+@query(
+    "WITH e AS (SELECT conv_id AS meeting_id, turn AS ord, substr(text, 1, 2) AS text, (conv_id * 7 + turn * 13) % 100 / 100.0::DOUBLE AS c FROM conversations) "
+    "SELECT meeting_id, ord, text, first_value(c) OVER (PARTITION BY meeting_id, text ORDER BY ord) AS confidence FROM e"
+)
+def first_match_confidence(spark, sf):
+    events = B.table(spark, sf, "conversations").selectExpr("conv_id AS meeting_id", "turn AS ord", "substr(text, 1, 2) AS text", "(conv_id * 7 + turn * 13) % 100 / 100D AS confidence")
+    return R.with_first_confidence(events)
+
+
+def _with_outros(df):
+    """Every third row says a closing phrase."""
+    n = F.col("meeting_id") * 5 + F.col("ord") * 7
+    outro = F.when(n % 2 == 0, R.OUTROS[0] + " 。").otherwise(R.OUTROS[2] + "!")
+    return df.withColumn("txt", F.when((n % 3 == 0) | (F.col("meeting_id") % 4 == 0), outro).otherwise(F.col("txt")))
+
+
+_OUTRO_SQL = f"""o AS (SELECT * REPLACE (CASE WHEN (meeting_id * 5 + ord * 7) % 3 = 0 OR meeting_id % 4 = 0 THEN
+ CASE WHEN (meeting_id * 5 + ord * 7) % 2 = 0 THEN '{R.OUTROS[0]} 。' ELSE '{R.OUTROS[2]}!' END ELSE txt END AS txt) FROM r),
+f AS (SELECT *, regexp_replace(txt, '[\\s。．、,.!！?？]+', '', 'g') IN ('{"', '".join(R.OUTROS)}') AS bad FROM o)"""
+
+
+@query(
+    f"WITH {B.ROWS_SQL}, {_OUTRO_SQL}, w AS (SELECT *, count(*) FILTER (WHERE NOT bad) OVER (PARTITION BY meeting_id) AS good, "
+    "max(label) OVER (PARTITION BY meeting_id) <> min(label) OVER (PARTITION BY meeting_id) AS two FROM f) "
+    "SELECT meeting_id, ord, label, txt FROM w WHERE NOT two OR good = 0 OR NOT bad"
+)
+def rows_without_outros(spark, sf):
+    return R.without_outros(_with_outros(B.rows(spark, sf))).select("meeting_id", "ord", "label", "txt")
+
+
+@query(
+    f"WITH {B.ROWS_SQL}, s AS (SELECT meeting_id, ord, st, en, label, left(txt, 1) AS txt FROM r), "
+    "a AS (SELECT *, row_number() OVER w AS place, CASE WHEN lag(label) OVER w = label AND lag(txt) OVER w = txt THEN 0 ELSE 1 END AS fresh FROM s WINDOW w AS (PARTITION BY meeting_id ORDER BY st, label, txt, ord)), "
+    "i AS (SELECT *, sum(fresh) OVER (PARTITION BY meeting_id ORDER BY place) AS island FROM a) "
+    "SELECT meeting_id, ord, st, en, label, txt FROM i QUALIFY row_number() OVER (PARTITION BY meeting_id, island ORDER BY en DESC, place) = 1"
+)
+def rows_without_adjacent_repeats(spark, sf):
+    return R.without_adjacent_repeats(B.rows(spark, sf).withColumn("txt", F.left("txt", F.lit(1))))
+
+
+@query(f"WITH {B.ROWS_SQL} SELECT meeting_id, ord, txt FROM r QUALIFY row_number() OVER (PARTITION BY meeting_id ORDER BY ord DESC) <= 3")
+def latest_rows(spark, sf):
+    return R.latest(B.rows(spark, sf), 3).select("meeting_id", "ord", "txt")
+
+
+@query("SELECT conv_id AS meeting_id, turn AS ord, role AS label, text AS txt FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 6 AND coalesce(text, '') <> ''")
+def recent_history(spark, sf):
+    turns = B.table(spark, sf, "conversations").selectExpr("conv_id AS meeting_id", "turn AS ord", "role AS label", "text AS txt")
+    return R.recent_history(turns)
+
+
+_EVENTS = "CASE (meeting_id + ord) % 3 WHEN 0 THEN 'final' WHEN 1 THEN 'provisional' ELSE 'status' END"
+
+
+@query(f"WITH {B.ROWS_SQL} SELECT meeting_id, ord, st, label, txt FROM r WHERE (meeting_id + ord) % 3 = 0")
+def final_event_rows(spark, sf):
+    return R.final_rows(B.rows(spark, sf).withColumn("kind", F.expr(_EVENTS)))
+
+
+@query(
+    f"WITH {B.ROWS_SQL} SELECT meeting_id, string_agg(CASE (meeting_id + ord) % 3 WHEN 0 THEN label || ': ' || txt WHEN 1 THEN label || ': ' || txt || ' ...' ELSE txt END, chr(10) ORDER BY ord) AS caption FROM r GROUP BY meeting_id"
+)
+def live_captions_text(spark, sf):
+    return R.captions(B.rows(spark, sf).withColumn("kind", F.expr(_EVENTS)))
+
+
+@query(
+    "WITH s AS (SELECT DISTINCT user_id % 10 AS host, epoch(ts)::BIGINT // 7200 AS tick, event_type AS member FROM events), "
+    "t AS (SELECT host, tick, lag(tick) OVER (PARTITION BY host ORDER BY tick) AS before FROM (SELECT DISTINCT host, tick FROM s)) "
+    "SELECT s.host, s.tick, s.member FROM s JOIN t USING (host, tick) WHERE NOT EXISTS (SELECT 1 FROM s p WHERE p.host = s.host AND p.tick = t.before AND p.member = s.member)"
+)
+def newly_present_members(spark, sf):
+    s = B.table(spark, sf, "events").select((F.col("user_id") % 10).alias("host"), F.expr("unix_seconds(cast(ts as timestamp)) div 7200").alias("tick"), F.col("event_type").alias("member"))
+    return R.newly_present(s, "host", "tick", "member")
+
+
+@query("SELECT conv_id AS meeting_id, left(text, 2) AS v, min(turn) AS ord FROM conversations GROUP BY ALL")
+def ordered_distinct(spark, sf):
+    df = B.table(spark, sf, "conversations").select(F.col("conv_id").alias("meeting_id"), F.left("text", F.lit(2)).alias("v"), F.col("turn").alias("ord"))
+    return R.first_of_each(df, "v", "ord", "meeting_id")
+
+
+# --- channels -----------------------------------------------------------------------
+
+
+def _rounded(df, *names):
+    return df.select(*[F.round(c, 6).alias(c) if c in names else c for c in df.columns])
+
+
+@query(f"WITH {B.LEVELS_SQL} SELECT meeting_id, label, round(rms, 6) AS rms, round(clip, 6) AS clip FROM l")
+def channel_levels(spark, sf):
+    return _rounded(channels.levels(B.blocks(spark, sf)), "rms", "clip")
+
+
+_FINAL_SQL = (
+    f"WITH {B.LEVELS_SQL}, a AS (SELECT * FROM l QUALIFY rms >= 0.001 OR NOT bool_or(rms >= 0.001) OVER (PARTITION BY meeting_id)), "
+    f"p AS (SELECT *, max(CASE WHEN label = '{R.MIC}' AND rms >= 0.001 THEN rms END) OVER w AS mr, max(CASE WHEN label = '{R.MIC}' AND rms >= 0.001 THEN clip END) OVER w AS mc, "
+    f"max(CASE WHEN label = '{R.SYSTEM}' AND rms >= 0.001 THEN rms END) OVER w AS sr, max(CASE WHEN label = '{R.SYSTEM}' AND rms >= 0.001 THEN clip END) OVER w AS sc FROM a WINDOW w AS (PARTITION BY meeting_id)) "
+    f"SELECT meeting_id, label FROM p WHERE label = '{R.SYSTEM}' OR NOT coalesce((mc >= 0.03 AND sc <= 0.005 AND mr >= sr) OR (sr >= 0.12 AND mr > 0 AND mc <= 0.001 AND mr <= 0.035 AND mr <= sr * 0.14), false)"
+)
+
+
+@query(_FINAL_SQL)
+def final_channels(spark, sf):
+    return channels.final_channels(channels.levels(B.blocks(spark, sf))).select("meeting_id", "label")
+
+
+@query(f"WITH {B.LEVELS_SQL} SELECT meeting_id, label FROM l QUALIFY rms >= 0.001 OR NOT bool_or(rms >= 0.001) OVER (PARTITION BY meeting_id)")
+def active_channels(spark, sf):
+    return channels.final_channels(channels.levels(B.blocks(spark, sf)), "all_active").select("meeting_id", "label")
+
+
+@query(
+    f"WITH {B.LEVELS_SQL}, c AS (SELECT meeting_id, label, sum(len(samples)) / 10.0 AS seconds FROM b GROUP BY ALL), "
+    "o AS (SELECT * FROM l JOIN c USING (meeting_id, label) WHERE seconds >= 0.8 AND rms >= 0.001), "
+    f"p AS (SELECT *, max(CASE WHEN label = '{R.SYSTEM}' THEN rms END) OVER w AS s, max(CASE WHEN label = '{R.MIC}' THEN rms END) OVER w AS m FROM o WINDOW w AS (PARTITION BY meeting_id)), "
+    f"k AS (SELECT * FROM p WHERE CASE WHEN s IS NULL OR m IS NULL THEN true WHEN s >= m * 0.75 THEN label = '{R.SYSTEM}' WHEN m >= s * 1.6 THEN label = '{R.MIC}' ELSE true END) "
+    f"SELECT meeting_id, label, CAST(row_number() OVER (PARTITION BY meeting_id ORDER BY label = '{R.SYSTEM}' DESC, rms DESC) AS INTEGER) AS place FROM k"
+)
+def live_channels(spark, sf):
+    blocks = B.blocks(spark, sf)
+    seconds = channels.captured_seconds(blocks, rate=10)
+    return channels.live_channels(channels.levels(blocks).join(seconds, ["meeting_id", "label"])).select("meeting_id", "label", "place")
+
+
+@query(
+    f"WITH {B.BLOCKS_SQL}, a AS (SELECT *, coalesce(sum(len(samples)) OVER (PARTITION BY meeting_id, label ORDER BY frame_ix DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS after FROM b), "
+    "k AS (SELECT *, least(len(samples), 25 - after) AS n FROM a WHERE after < 25) "
+    "SELECT meeting_id, label, CAST(sum(n) AS BIGINT) AS n, round(sum(list_sum(samples[CAST(len(samples) - n + 1 AS BIGINT):])), 6) AS total FROM k GROUP BY ALL"
+)
+def last_samples(spark, sf):
+    tail = channels.last_seconds(B.blocks(spark, sf), 2.5, rate=10)
+    return tail.select("meeting_id", "label", F.size("samples").cast("long").alias("n"), F.round(F.aggregate("samples", F.lit(0.0), lambda s, x: s + x), 6).alias("total"))
+
+
+@query(
+    f"WITH {B.BLOCKS_SQL} SELECT meeting_id, label, frame_ix, CAST(trunc(least(32767, greatest(-32768, samples[1] * 32767))) AS SMALLINT) AS first_sample, CAST(trunc(least(32767, greatest(-32768, samples[2] * 32767))) AS SMALLINT) AS second_sample FROM b"
+)
+def quantised_samples(spark, sf):
+    q = B.blocks(spark, sf).withColumn("q", channels.quantised("samples"))
+    return q.select("meeting_id", "label", "frame_ix", F.get("q", F.lit(0)).alias("first_sample"), F.get("q", F.lit(1)).alias("second_sample"))
+
+
+@query(
+    f"WITH {B.BLOCKS_SQL}, w AS (SELECT meeting_id, label, flatten(list(samples ORDER BY frame_ix)) AS x FROM b GROUP BY ALL), n AS (SELECT *, min(len(x)) OVER (PARTITION BY meeting_id) AS n FROM w) "
+    "SELECT meeting_id, label, CAST(n AS INTEGER) AS n, round(list_sum(x[:n]), 5) AS total FROM n"
+)
+def aligned_channels(spark, sf):
+    whole = B.blocks(spark, sf).groupBy("meeting_id", "label").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("frame_ix", "samples"))), lambda p: p["samples"])).alias("samples"))
+    return channels.aligned(whole).select("meeting_id", "label", F.size("samples").alias("n"), F.round(F.aggregate("samples", F.lit(0.0), lambda s, x: s + x), 5).alias("total"))
+
+
+# --- speakers -----------------------------------------------------------------------
+
+
+@query(
+    f"WITH {B.ROWS_SQL}, {B.TURNS_SQL}, k AS (SELECT meeting_id, count(DISTINCT spk) AS n FROM t GROUP BY 1), "
+    "p AS (SELECT r.meeting_id, r.ord, t.spk, t.turn_ord, greatest(0, least(r.en, t.te) - greatest(r.st, t.ts)) AS ov, greatest(t.ts - r.en, r.st - t.te, 0) AS gap FROM r JOIN t USING (meeting_id)), "
+    "x AS (SELECT meeting_id, ord, spk FROM p QUALIFY row_number() OVER (PARTITION BY meeting_id, ord ORDER BY ov DESC, gap, turn_ord) = 1) "
+    "SELECT r.meeting_id, r.ord, r.st, r.label, x.spk AS speaker, CASE WHEN coalesce(k.n, 0) >= 2 THEN r.label || CAST(x.spk + 1 AS VARCHAR) ELSE r.label END AS speaker_label "
+    "FROM r LEFT JOIN x USING (meeting_id, ord) LEFT JOIN k USING (meeting_id)"
+)
+def speaker_labels(spark, sf):
+    return speakers.assign_speakers(B.rows(spark, sf), B.turns(spark, sf)).select("meeting_id", "ord", "st", "label", "speaker", "speaker_label")
+
+
+@query(
+    "WITH u AS (SELECT conv_id AS meeting_id, turn AS ord, length(text) / 16.0::DOUBLE AS seconds FROM conversations) "
+    "SELECT meeting_id, ord, round(coalesce(sum(seconds + 0.7) OVER (PARTITION BY meeting_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0), 4) AS ts, round(coalesce(sum(seconds + 0.7) OVER (PARTITION BY meeting_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) + seconds, 4) AS te FROM u"
+)
+def built_conversation(spark, sf):
+    u = B.table(spark, sf, "conversations").selectExpr("conv_id AS meeting_id", "turn AS ord", "cast(turn % 2 as int) AS spk", "length(text) / 16D AS seconds")
+    return speakers.conversation_turns(u).select("meeting_id", "ord", F.round("ts", 4).alias("ts"), F.round("te", 4).alias("te"))
+
+
+@query()
+def diarization_accuracy(spark, sf):
+    truth = B.rows(spark, sf).selectExpr("meeting_id", "ord AS turn_ord", "st AS ts", "en AS te", "cast(ord % 2 as int) AS spk")
+    return _rounded(speakers.frame_accuracy(truth, B.turns(spark, sf)), "accuracy")
+
+
+# --- quality ------------------------------------------------------------------------
+
+_CANDIDATES = """SELECT conv_id AS meeting_id, role AS cand, CASE role WHEN 'user' THEN 1 WHEN 'assistant' THEN 2 ELSE 0 END AS cand_ord, role = 'system' AS live, turn AS ord, text AS txt,
+ (conv_id * 7 + turn * 13) % 100 / 100.0{d} AS confidence FROM conversations"""
+
+
+def _candidates(spark, sf):
+    B.table(spark, sf, "conversations").createOrReplaceTempView("_conversations")
+    df = spark.sql(_CANDIDATES.format(d="D").replace("100.0D", "100D").replace("FROM conversations", "FROM _conversations"))
+    # Japanese text in most of each row, so that scores spread around the gate
+    japanese = F.concat(F.repeat(F.lit("文字起こしを確認します"), (F.length("txt") % 13).cast("int")), F.left("txt", (F.col("ord") + 2).cast("int")))
+    return df.withColumn("txt", japanese).withColumn("st", F.col("ord").cast("double")).withColumn("label", F.col("cand"))
+
+
+_CAND_SQL = (
+    f"c AS (SELECT * REPLACE (repeat('文字起こしを確認します', CAST(length(txt) % 13 AS INTEGER)) || left(txt, ord + 2) AS txt) FROM ({_CANDIDATES.format(d='::DOUBLE')})), "
+    "g AS (SELECT meeting_id, cand, cand_ord, live, avg(confidence) AS conf, string_agg(txt, '。' ORDER BY ord) AS joined, string_agg(txt, ' ' ORDER BY ord) AS spaced FROM c GROUP BY ALL), "
+    "q AS (SELECT *, least(length(joined), 120) / 8.0 + 20.0 * len(regexp_extract_all(joined, '[ぁ-んァ-ン一-龯]')) / greatest(1, length(joined)) "
+    + "".join(f"+ 8.0 * CAST(contains(joined, '{t}') AS INTEGER) " for t in quality.DOMAIN_TERMS)
+    + "+ 35.0 * greatest(0, least(1, conf)) + CASE WHEN live THEN 4.0 ELSE 0.0 END - 2.5 * len(regexp_extract_all(joined, '[A-Za-z]')) - 1.2 * len(regexp_extract_all(joined, '[ッっー]{2,}')) "
+    "- CASE WHEN length(joined) < 6 THEN 12.0 ELSE 0.0 END - CASE WHEN NOT live AND conf <> 0 AND conf < 0.18 THEN 28.0 ELSE 0.0 END AS score FROM g)"
+)
+
+
+@query(f"WITH {_CAND_SQL} SELECT meeting_id, cand, round(conf, 6) AS confidence, round(CAST(score AS DOUBLE), 6) AS score FROM q")
+def candidate_quality(spark, sf):
+    return _rounded(quality.scored_candidates(_candidates(spark, sf)).select("meeting_id", "cand", "confidence", "score"), "confidence", "score")
+
+
+_RUNS = "list_distinct(regexp_extract_all({0}, '[ぁ-んァ-ン一-龯A-Za-z0-9]+'))"
+
+
+@query(
+    f"WITH {_CAND_SQL}, k AS (SELECT *, row_number() OVER w AS rank, first_value(score) OVER w AS best, first_value(spaced) OVER w AS best_text FROM q WHERE joined <> '' AND score >= 4.0 WINDOW w AS (PARTITION BY meeting_id ORDER BY score DESC, cand_ord)), "
+    f"s AS (SELECT *, {_RUNS.format('best_text')} AS x, {_RUNS.format('spaced')} AS y FROM k), "
+    "z AS (SELECT meeting_id, cand FROM s WHERE rank = 1 OR (score >= greatest(6.0, best * 0.55) AND NOT (least(len(x), len(y)) > 0 AND len(list_intersect(x, y)) / greatest(1, least(len(x), len(y))) >= 0.65))) "
+    "SELECT c.meeting_id, c.cand, c.ord FROM c JOIN z USING (meeting_id, cand)"
+)
+def chosen_candidate_rows(spark, sf):
+    return quality.chosen_rows(_candidates(spark, sf)).select("meeting_id", "cand", "ord")
+
+
+@query(f"WITH {_CAND_SQL} SELECT c.meeting_id, c.cand, c.ord FROM c JOIN q USING (meeting_id, cand) WHERE joined <> '' AND score >= 4.0")
+def all_accepted_rows(spark, sf):
+    return quality.chosen_rows(_candidates(spark, sf), "all_active").select("meeting_id", "cand", "ord")
+
+
+# --- text ---------------------------------------------------------------------------
+
+
+@query("SELECT doc_id, list_distinct(regexp_extract_all(lower(left(text, 300)), '[A-Za-z0-9_]+|[一-龯ぁ-んァ-ンー]{2,}')) IS NOT NULL AS parsed, len(list_distinct(regexp_extract_all(lower(left(text, 300)), '[A-Za-z0-9_]+|[一-龯ぁ-んァ-ンー]{2,}'))) AS n_terms FROM documents")
+def query_terms(spark, sf):
+    terms = T.query_terms(F.left("text", F.lit(300)))
+    return B.table(spark, sf, "documents").select("doc_id", terms.isNotNull().alias("parsed"), F.size(terms).cast("long").alias("n_terms"))
+
+
+_SCORE_SQL = " + ".join(f"(length(lower(x)) - length(replace(lower(x), '{t}', '')))" for t in TERMS)
+
+
+@query(f"WITH u AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS idx FROM documents) SELECT doc_id, CAST(idx AS INTEGER) AS idx, CAST({_SCORE_SQL} AS BIGINT) AS score FROM u")
+def chunk_scores(spark, sf):
+    lines = B.table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("idx", "text"))
+    return retrieval.chunk_scores(lines, spark.createDataFrame([(t,) for t in TERMS], "term string"))
+
+
+@query(
+    f"WITH u AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS idx FROM documents), s AS (SELECT doc_id, idx, length(x) AS size, {_SCORE_SQL} AS score FROM u), "
+    "b AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY doc_id ORDER BY score DESC, idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM s WHERE score > 0) SELECT doc_id, CAST(idx AS INTEGER) AS idx FROM b WHERE before < 900"
+)
+def chunks_within_budget(spark, sf):
+    lines = B.table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("idx", "text"))
+    scored = retrieval.chunk_scores(lines, spark.createDataFrame([(t,) for t in TERMS], "term string"))
+    sized = scored.join(lines.select("doc_id", "idx", F.length("text").alias("size")), ["doc_id", "idx"])
+    return retrieval.within_budget(sized, 900).select("doc_id", "idx")
+
+
+_PLAIN_SQL = (
+    "list_filter(list_transform(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13))), lambda x: x <> ''), "
+    "lambda x: trim(regexp_replace(regexp_replace(x, '^\\*\\*[^*]+\\*\\*:\\s*', ''), '^[^:：]{1,12}[:：]\\s*', ''), ' ')), lambda x: x <> '')"
+)
+_SENT_SQL = (
+    f"p AS (SELECT doc_id, {_PLAIN_SQL} AS lines FROM documents), "
+    "q AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(trim(array_to_string(list_transform(lines, lambda x: regexp_replace(x, '。+$', '')), '。'), ' '), '[。！？!?]\\s*|[\\r\\n]+'), lambda x: trim(x, ' 。！？!?')), lambda x: x <> '') AS parts FROM p), "
+    "s AS (SELECT doc_id, flatten(list_transform(parts, lambda x: list_transform(range(0, length(x), 90), lambda k: substr(x, CAST(k AS BIGINT) + 1, 90)))) AS sent FROM q)"
+)
+
+
+@query(f"WITH {_SENT_SQL} SELECT doc_id, CAST(generate_subscripts(sent, 1) - 1 AS INTEGER) AS idx, unnest(sent) AS sentence FROM s")
+def sentences(spark, sf):
+    return B.table(spark, sf, "documents").select("doc_id", F.posexplode(T.sentences(T.plain_lines("text"))).alias("idx", "sentence"))
+
+
+@query(f"WITH {_SENT_SQL} SELECT doc_id, coalesce(left(list_filter(list_transform(list_filter(sent, lambda x: NOT contains(lower(x), 'thank you') AND NOT contains(lower(x), 'thanks for watching')), lambda x: trim(regexp_replace(x, '[。！？!?].*$', ''), ' -')), lambda x: length(x) >= 6)[1], 60), 'Meeting Notes') AS title FROM s")
+def titles(spark, sf):
+    return B.table(spark, sf, "documents").select("doc_id", T.title(T.sentences(T.plain_lines("text")), "en").alias("title"))
+
+
+@query(
+    "WITH d AS (SELECT doc_id, text, length(text) AS n, least(nullif(strpos(lower(text), 'onthe'), 0), nullif(strpos(lower(text), 'and'), 0)) - 1 AS pos FROM documents), e AS (SELECT *, least(n, greatest(0, coalesce(pos, 0) - 100) + 200) AS stop FROM d), "
+    "f AS (SELECT *, greatest(0, stop - 200) AS start FROM e) SELECT doc_id, CASE WHEN n <= 200 THEN text ELSE CASE WHEN start > 0 THEN '...' || chr(10) ELSE '' END || substr(text, start + 1, stop - start) || CASE WHEN stop < n THEN chr(10) || '...' ELSE '' END END AS excerpt FROM f"
+)
+def excerpts(spark, sf):
+    terms = F.array(F.lit("onthe"), F.lit("and"))
+    return B.table(spark, sf, "documents").select("doc_id", T.excerpt(F.col("text"), terms, F.lit(200)).alias("excerpt"))
+
+
+@query()
+def packed_chunks(spark, sf):
+    return B.table(spark, sf, "documents").select("doc_id", F.posexplode(T.chunks("text", 1000)).alias("idx", "chunk"))
+
+
+@query()
+def chat_context(spark, sf):
+    asked = B.table(spark, sf, "documents").select("doc_id", F.lit(QUESTION).alias("question"), F.col("text").alias("transcript"))
+    return retrieval.context(asked, 1000, 3000).select("doc_id", "context")
+
+
+@query()
+def fast_summaries(spark, sf):
+    meetings = B.table(spark, sf, "documents").select(F.col("doc_id").alias("meeting_id"), F.col("text").alias("transcript"))
+    return summary.fast_summary(meetings, "en").select("meeting_id", "title", "body")
+
+
+@query(
+    "WITH l AS (SELECT doc_id, CAST(generate_subscripts(string_split(text, chr(10)), 1) - 1 AS INTEGER) AS line_no, rtrim(unnest(string_split(text, chr(10))), ' ') AS x FROM documents), k AS (SELECT *, CASE WHEN x LIKE '### %' THEN 'heading3' WHEN x LIKE '## %' THEN 'heading2' WHEN x LIKE '# %' THEN 'heading1' WHEN ltrim(x) LIKE '- %' OR ltrim(x) LIKE '* %' THEN 'bullet' WHEN regexp_matches(ltrim(x), '^\\d+\\.\\s') THEN 'numbered' WHEN regexp_full_match(x, '[-—–= ]+') THEN 'rule' ELSE 'paragraph' END AS kind FROM l WHERE x <> '') "
+    "SELECT doc_id, line_no, kind, trim(replace(replace(CASE kind WHEN 'heading3' THEN substr(x, 5) WHEN 'heading2' THEN substr(x, 4) WHEN 'heading1' THEN substr(x, 3) WHEN 'bullet' THEN substr(ltrim(x), 3) WHEN 'numbered' THEN regexp_replace(ltrim(x), '^\\d+\\.\\s', '') ELSE x END, '**', ''), '`', '')) AS text FROM k WHERE kind <> 'rule'"
+)
+def classified_lines(spark, sf):
+    return documents.classified_lines(B.table(spark, sf, "documents").select("doc_id", "text"))
+
+
+@query("SELECT doc_id, left(regexp_replace(left(text, 90), '[\\\\/:*?\"<>|]', '_', 'g'), 60) AS name, replace(replace(replace(replace(replace(left(text, 90), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;') AS html, printf('%02d:%02d', n_chars // 60, n_chars % 60) AS clock FROM documents")
+def display_texts(spark, sf):
+    start = F.left("text", F.lit(90))
+    return B.table(spark, sf, "documents").select("doc_id", T.safe_file_name(start).alias("name"), T.escape_html(start).alias("html"), T.minutes_seconds(F.col("n_chars")).alias("clock"))
+
+
+@query(
+    f"WITH {B.ROWS_SQL}, x AS (SELECT meeting_id, string_agg('**' || label || '**: ' || txt, chr(10) ORDER BY st, ord) AS t FROM r GROUP BY meeting_id) "
+    "SELECT meeting_id AS doc_id, length(t) > 20 AS has_transcript_section, true AS has_transcript_label, contains(t, 'the') OR contains(t, 'les') AS has_expected_text, contains(t, '**あなた**:') AS has_unexpected_mic_row, length(t) > 20 AND (contains(t, 'the') OR contains(t, 'les')) AND NOT contains(t, '**あなた**:') AS accepted FROM x"
+)
+def summary_verdicts(spark, sf):
+    text = R.transcript(B.rows(spark, sf)).select(F.col("meeting_id").alias("doc_id"), summary.document(F.lit("title"), F.lit("body"), F.col("transcript")).alias("text"))
+    return documents.verdicts(text, [["the", "les"]]).select("doc_id", "has_transcript_section", "has_transcript_label", "has_expected_text", "has_unexpected_mic_row", "accepted")
+
+
+@query("SELECT DISTINCT 'documents/' || doc_id || CASE WHEN doc_id % 10 = 0 THEN '.pdf' ELSE '.txt' END AS path FROM documents WHERE doc_id % 10 <> 0 AND (" + " OR ".join(f"contains(text, '{m}')" for m in documents.SECRET_MARKS) + ")")
+def files_with_secrets(spark, sf):
+    path = F.concat(F.lit("documents/"), F.col("doc_id"), F.when(F.col("doc_id") % 10 == 0, ".pdf").otherwise(".txt"))
+    return documents.with_secrets(B.table(spark, sf, "documents").select(path.alias("path"), "text"))
+
+
+@query("WITH u AS (SELECT doc_id, list_filter(['en-US', 'en', 'fr-CA', 'DE'], lambda x: lower(string_split(x, '-')[1]) = lower(string_split(lang, '-')[1]))[1] AS near, list_contains(['en-US', 'en', 'fr-CA', 'DE'], lang) AS exact, lang FROM documents) SELECT doc_id, CASE WHEN exact THEN lang ELSE coalesce(near, 'en-US') END AS language FROM u")
+def resolved_languages(spark, sf):
+    supported = F.array(*[F.lit(x) for x in ("en-US", "en", "fr-CA", "DE")])
+    return B.table(spark, sf, "documents").select("doc_id", documents.resolved_language(F.col("lang"), supported, F.lit("en-US")).alias("language"))
+
+
+@query("SELECT event_type, median(value) AS median FROM events GROUP BY 1")
+def median_values(spark, sf):
+    return documents.medians(B.table(spark, sf, "events"), "event_type", "value")
+
+
+@query("SELECT 'documents/' || doc_id AS path, CAST(strlen(text) AS BIGINT) AS length, sha256(text) AS sha256 FROM documents")
+def file_manifest(spark, sf):
+    content = F.col("text").cast("binary")
+    return documents.manifest(B.table(spark, sf, "documents").select(F.concat(F.lit("documents/"), F.col("doc_id")).alias("path"), F.octet_length("text").cast("long").alias("length"), content.alias("content")))
+
+
+# --- phrases ------------------------------------------------------------------------
+
+_PHRASE_SQL = (
+    "e AS (SELECT doc_id, unnest(list_concat(list_filter(['idiot', 'public'], lambda t: contains(text, t)), list_filter(list_transform(regexp_extract_all(text, '[一-龯ぁ-んァ-ンA-Za-z0-9０-９ー]{4,24}'), lambda p: CASE WHEN regexp_full_match(p, '[0-9０-９]+') THEN '' ELSE p END), lambda p: p <> ''))) AS phrase FROM documents), "
+    "c AS (SELECT phrase, count(*) AS n FROM e GROUP BY 1)"
+)
+
+
+@query(f"WITH {_PHRASE_SQL} SELECT phrase, n FROM c")
+def phrase_counts(spark, sf):
+    texts = B.table(spark, sf, "documents").select(F.col("doc_id").alias("ord"), "text")
+    return phrases.phrase_counts(texts, ["idiot", "public"]).select("phrase", "n")
+
+
+@query(f"WITH {_PHRASE_SQL} SELECT CAST(sum(n) AS BIGINT) AS total, min(n) AS least, count(*) AS phrases FROM (SELECT n FROM c ORDER BY n DESC LIMIT 500)")
+def most_common_phrases(spark, sf):
+    texts = B.table(spark, sf, "documents").select(F.col("doc_id").alias("ord"), "text")
+    top = phrases.most_common(phrases.phrase_counts(texts, ["idiot", "public"]))
+    return top.agg(F.sum("n").alias("total"), F.min("n").alias("least"), F.count("*").alias("phrases"))
+
+
+@query("WITH p AS (SELECT doc_id AS ord, trim(string_split(text, ' ')[1], ' ' || chr(10)) AS phrase FROM documents) SELECT phrase, min(ord) AS ord FROM p WHERE length(phrase) BETWEEN 3 AND 28 GROUP BY 1 ORDER BY 2 LIMIT 100")
+def hint_phrases(spark, sf):
+    first = B.table(spark, sf, "documents").select(F.col("doc_id").alias("ord"), F.get(F.split("text", " "), F.lit(0)).alias("phrase"))
+    return phrases.distinct_phrases(first, 100)
+
+
+@query("SELECT * FROM (VALUES (0, 'a', 'b'), (1000, 'c', 'd'), (1001, 'e', 'f')) v(ord, pattern, replacement)")
+def expanded_rules(spark, sf):
+    texts = B.table(spark, sf, "documents").select(F.col("doc_id").alias("ord"), "text")
+    counts = phrases.phrase_counts(texts)
+    return phrases.expanded_rules(counts, [["a", "b"]], [(["License", "absent phrase"], [["c", "d"], ["e", "f"]]), (["absent phrase"], [["g", "h"]])])
+
+
+@query("SELECT page_id AS ord, trim(regexp_replace(trim(regexp_replace(html, '^#+\\s*', '')), '^\\*\\*[^*]+\\*\\*:\\s*', '')) AS text FROM (SELECT page_id, string_split(html, '>')[2] || '>' AS html FROM pages) WHERE trim(html) <> '' AND html NOT LIKE '-%'")
+def corpus_lines(spark, sf):
+    lines = B.table(spark, sf, "pages").select(F.col("page_id").alias("ord"), F.concat(F.get(F.split("html", ">"), F.lit(1)), F.lit(">")).alias("value"))
+    return phrases.corpus_lines(lines)
+
+
+# --- library ------------------------------------------------------------------------
+
+
+@query(f"WITH {B.MEETINGS_SQL} SELECT id, title FROM m ORDER BY created_at DESC, id DESC LIMIT 50")
+def recent_meetings(spark, sf):
+    return library.recent(B.meetings(spark, sf)).select("id", "title")
+
+
+@query(f"WITH {B.MEETINGS_SQL} SELECT id, title, summary_md FROM m WHERE id = 42")
+def meeting_by_id(spark, sf):
+    return library.get(B.meetings(spark, sf), 42).select("id", "title", "summary_md")
+
+
+@query(f"WITH {B.MEETINGS_SQL}, f AS (SELECT *, lower(title) AS a, lower(summary_md) AS b, lower(transcript_md) AS c FROM m) SELECT id, title FROM f WHERE a LIKE '%on_the% is%' OR b LIKE '%on_the% is%' OR c LIKE '%on_the% is%' ORDER BY created_at DESC, id DESC LIMIT 50")
+def meetings_containing(spark, sf):
+    return library.contains(B.meetings(spark, sf), "On_the% IS").select("id", "title")
+
+
+_TOKENS = "regexp_extract_all(translate(lower({0}), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[\\p{{L}}\\p{{N}}\\p{{M}}\\p{{Co}}]+')"
+_POSTINGS_SQL = B.MEETINGS_SQL + ", k AS (" + " UNION ALL ".join(f"SELECT id, '{f}' AS field, {_TOKENS.format(f)} AS t FROM m" for f in library.FIELDS) + "), p AS (SELECT id, field, len(t) AS n_tokens, unnest(t) AS term, generate_subscripts(t, 1) - 1 AS pos FROM k)"
+
+
+@query(f"WITH {_POSTINGS_SQL} SELECT id, field, term, CAST(count(*) AS BIGINT) AS tf, CAST(sum(pos) AS BIGINT) AS places, CAST(min(n_tokens) AS BIGINT) AS n_tokens FROM p GROUP BY ALL")
+def postings(spark, sf):
+    p = library.postings(B.meetings(spark, sf))
+    return p.select("id", "field", "term", F.size("positions").cast("long").alias("tf"), F.aggregate("positions", F.lit(0).cast("long"), lambda s, x: s + x).alias("places"), F.col("n_tokens").cast("long").alias("n_tokens"))
+
+
+@query(
+    f"WITH {_POSTINGS_SQL}, a AS (SELECT id, count(*) AS tf FROM p WHERE term = 'idiot' GROUP BY 1), o AS (SELECT x.id, count(*) AS tf FROM p x JOIN p y ON x.id = y.id AND x.field = y.field AND y.pos = x.pos + 1 WHERE x.term = 'of' AND y.term = 'the' GROUP BY 1), "
+    "len AS (SELECT id, sum(len(t)) AS len FROM k GROUP BY 1), n AS (SELECT count(*) AS docs, (SELECT sum(len) FROM len) / count(*) AS mean FROM m), "
+    "h AS (SELECT id, tf, (SELECT count(*) FROM a) AS df FROM a UNION ALL SELECT id, tf, (SELECT count(*) FROM o) FROM o), "
+    "s AS (SELECT id, -sum(greatest(ln((docs - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))) AS score, count(*) AS found FROM h JOIN len USING (id), n GROUP BY 1) SELECT id, round(score, 5) AS score FROM s WHERE found = 2"
+)
+def ranked_meetings(spark, sf):
+    m = B.meetings(spark, sf)
+    return library.ranked(m, library.postings(m), "idiot of_the", -1).select("id", F.round("score", 5).alias("score"))
+
+
+@query()
+def searched_meetings(spark, sf):
+    m = B.meetings(spark, sf)
+    return library.search(m, library.postings(m), "and_the%is").select("id", "title")
+
+
+@query("SELECT doc_id, coalesce(try_strptime(CASE WHEN doc_id % 3 = 0 THEN 'no date' ELSE printf('2024%02d%02d_120000', 1 + doc_id % 12, 1 + doc_id % 31) END, '%Y%m%d_%H%M%S')::DATE, DATE '2025-01-01')::VARCHAR AS date FROM documents")
+def meeting_dates(spark, sf):
+    stamp = F.when(F.col("doc_id") % 3 == 0, "no date").otherwise(F.format_string("2024%02d%02d_120000", 1 + F.col("doc_id") % 12, 1 + F.col("doc_id") % 31))
+    return B.table(spark, sf, "documents").select("doc_id", library.meeting_date(stamp, F.lit("2025-01-01").cast("date")).cast("string").alias("date"))
+
+
+# --- calendar -----------------------------------------------------------------------
+
+_HINT_SQL = (
+    "e AS (SELECT event_type || '-' || event_id AS title, ts AS start, CASE WHEN event_id % 4 = 0 THEN ts + INTERVAL 1 HOUR ELSE ts + to_minutes(1 + event_id % 50) END AS stop FROM events WHERE event_id % 7 <> 0), "
+    "w AS (SELECT o_orderkey AS moment_id, TIMESTAMP '2024-01-01' + to_minutes(o_orderkey * 37 % 43200) AS now FROM orders WHERE o_orderkey % 5 = 0), "
+    "n AS (SELECT moment_id, title, now BETWEEN start AND stop AS running, start, stop, abs(epoch_us(start) - epoch_us(now)) AS gap FROM w JOIN e ON start <= now + INTERVAL 10 MINUTE AND stop >= now - INTERVAL 15 MINUTE), "
+    "b AS (SELECT moment_id, title FROM n QUALIFY row_number() OVER (PARTITION BY moment_id ORDER BY running DESC, CASE WHEN running THEN -epoch_us(start) ELSE gap END, CASE WHEN running THEN -epoch_us(stop) ELSE epoch_us(start) END, title) = 1)"
+)
+
+
+@query(f"WITH {_HINT_SQL} SELECT moment_id, coalesce(nullif(b.title, ''), 'generated') AS title FROM w LEFT JOIN b USING (moment_id)")
+def calendar_titles(spark, sf):
+    events = B.table(spark, sf, "events").where("event_id % 7 <> 0").selectExpr(
+        "event_type || '-' || event_id AS title", "cast(ts as timestamp) AS start", "CASE WHEN event_id % 4 = 0 THEN NULL ELSE cast(ts as timestamp) + make_interval(0, 0, 0, 0, 0, 1 + event_id % 50, 0) END AS end"
+    )
+    moments = B.table(spark, sf, "orders").where("o_orderkey % 5 = 0").selectExpr("o_orderkey AS moment_id", "timestamp'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, cast(o_orderkey * 37 % 43200 as int), 0) AS now")
+    hints = calendar.title_hints(moments, calendar.valid_events(events))
+    return hints.select("moment_id", calendar.titled(F.col("hint"), F.lit("generated")).alias("title"))
+
+
+# --- whole meetings -----------------------------------------------------------------
+
+
+@query(
+    f"WITH {B.ROWS_SQL}, {B.TURNS_SQL}, k AS (SELECT meeting_id, count(DISTINCT spk) AS n FROM t GROUP BY 1), "
+    "p AS (SELECT r.meeting_id, r.ord, t.spk, t.turn_ord, greatest(0, least(r.en, t.te) - greatest(r.st, t.ts)) AS ov, greatest(t.ts - r.en, r.st - t.te, 0) AS gap FROM r JOIN t USING (meeting_id)), "
+    "x AS (SELECT meeting_id, ord, spk FROM p QUALIFY row_number() OVER (PARTITION BY meeting_id, ord ORDER BY ov DESC, gap, turn_ord) = 1), "
+    f"y AS (SELECT r.meeting_id, r.ord, r.st, CASE WHEN r.label = '{R.SYSTEM}' AND coalesce(k.n, 0) >= 2 THEN r.label || CAST(x.spk + 1 AS VARCHAR) ELSE r.label END AS label, r.txt FROM r LEFT JOIN x USING (meeting_id, ord) LEFT JOIN k USING (meeting_id)) "
+    "SELECT meeting_id, CAST(count(*) AS BIGINT) AS n_rows, max(st) AS last_start, length(string_agg('**' || label || '**: ' || txt, chr(10) ORDER BY st, ord)) AS transcript_chars FROM y GROUP BY meeting_id"
+)
+def meeting_summary(spark, sf):
+    """The flagship: speakers, closing phrases, transcript and extractive summary."""
+    from talkloom.plans.meeting import summarised
+
+    done = summarised(B.rows(spark, sf), B.turns(spark, sf))
+    return done.select("meeting_id", "n_rows", "last_start", F.length("transcript").cast("long").alias("transcript_chars"))
