@@ -2,7 +2,8 @@
 
 Rows are indexed in blocks. A block keeps, for each random projection, its rows in
 sorted order. A query opens a window around its own projection in every sorted
-array; rounds of virtual rehashing widen all windows with the radius. A row seen in
+array; rounds of virtual rehashing widen all windows with the radius, from the one
+that the rows closest in a few arrays already promise. A row seen in
 enough windows is verified by its true distance. The search of a block ends when
 the radius covers the k-th best distance found so far, or all rows are verified.
 """
@@ -18,6 +19,8 @@ from .embedding_dedup import matrix, usable
 
 #: Projections, half window for radius 1, windows a row must be seen in, growth of the radius.
 PROJECTIONS, HALF_WINDOW, COLLISIONS, GROWTH = 64, 1.36, 46, 1.25
+#: Projections whose closest rows are verified before any window opens.
+PROBES = 6
 #: Rows indexed together, and queries broadcast together (their vectors: the bound).
 BLOCK_ROWS, QUERY_CHUNK = 8192, 65_536
 SEED = 6
@@ -42,34 +45,42 @@ class _Block:
         seen = np.zeros(n, np.int16)
         done = np.zeros(n, bool)
         spread = float(np.median(self.sorted[:, -1] - self.sorted[:, 0])) or 1.0
-        radius = spread / 64
+        # the k rows on either side in a few projections give a first k-th best
+        near = [order[max(0, at - k) : at + k] for order, at in zip(self.order[:PROBES], left, strict=False)]
+        best = self._verify(query_id, query, np.unique(np.concatenate(near)), done, best, k)
+        # with k rows found, their k-th distance is the radius to cover
+        radius = max(best[-1][0] / self.scale, spread * 1e-9) if len(best) == k else spread / 32
         while True:
             for j in range(PROJECTIONS):
                 s, order = self.sorted[j], self.order[j]
-                a, b = np.searchsorted(s, centre[j] - HALF_WINDOW * radius, "left"), np.searchsorted(s, centre[j] + HALF_WINDOW * radius, "right")
+                a, b = np.searchsorted(s, (centre[j] - HALF_WINDOW * radius, centre[j] + HALF_WINDOW * radius))
                 a, b = min(a, left[j]), max(b, right[j])
                 seen[order[a : left[j]]] += 1
                 seen[order[right[j] : b]] += 1
                 left[j], right[j] = a, b
-            fresh = np.flatnonzero((seen >= COLLISIONS) & ~done)
-            done[fresh] = True
-            fresh = fresh[self.ids[fresh] != query_id]
-            if len(fresh):
-                difference = self.rows[fresh] - query
-                top = np.abs(difference).max(1)
-                distance = np.sqrt((difference * difference).sum(1))
-                odd = ~np.isfinite(distance) | ((distance == 0) & (top > 0))
-                if odd.any():  # squares beyond the range of doubles
-                    distance[odd] = top[odd] * np.sqrt(((difference[odd] / top[odd][:, None]) ** 2).sum(1))
-                if len(best) == k:
-                    near = distance <= best[-1][0]
-                    fresh, distance = fresh[near], distance[near]
-                first = np.lexsort((self.ids[fresh], distance))[:k]
-                best = sorted(best + list(zip(distance[first].tolist(), self.ids[fresh[first]].tolist(), strict=True)))[:k]
+            best = self._verify(query_id, query, np.flatnonzero((seen >= COLLISIONS) & ~done), done, best, k)
             if done.all() or (len(best) == k and best[-1][0] <= radius * self.scale):
                 return best
             radius *= GROWTH
 
+    def _verify(self, query_id: int, query: np.ndarray, fresh: np.ndarray, done: np.ndarray, best: list[tuple[float, int]], k: int) -> list[tuple[float, int]]:
+        """`best` with the true distances of fresh rows merged in."""
+        done[fresh] = True
+        fresh = fresh[self.ids[fresh] != query_id]
+        if not len(fresh):
+            return best
+        difference = self.rows[fresh] - query
+        distance = np.sqrt(np.einsum("ij,ij->i", difference, difference))
+        odd = ~np.isfinite(distance) | (distance == 0)
+        if odd.any():  # squares beyond the range of doubles
+            top = np.abs(difference[odd]).max(1)
+            distance[odd] = top * np.sqrt(((difference[odd] / np.where(top > 0, top, 1)[:, None]) ** 2).sum(1))
+        if len(best) == k:
+            near = distance <= best[-1][0]
+            fresh, distance = fresh[near], distance[near]
+        first = np.lexsort((self.ids[fresh], distance))[:k]
+        return sorted(best + list(zip(distance[first].tolist(), self.ids[fresh[first]].tolist(), strict=True)))[:k]
+
 
 def _search(queries: dict[int, tuple[np.ndarray, np.ndarray]], k: int):
     def run(batches):
