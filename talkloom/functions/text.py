@@ -35,8 +35,7 @@ def strip(c: Column | str) -> Column:
 
 def strip_of(c: Column | str, chars: str) -> Column:
     """Without the given characters at both ends."""
-    some = "".join(rf"\x{{{ord(x):x}}}" for x in chars)
-    return F.regexp_replace(col(c), f"^[{some}]+|[{some}]+$", "")
+    return F.btrim(col(c), F.lit(chars))
 
 
 def java_replacement(python_replacement: str) -> str:
