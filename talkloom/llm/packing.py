@@ -24,11 +24,11 @@ from ._spark import scatter
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 END_ID, LENGTH = 2, 4096
 #: Text characters in a group, on average.
-GROUP_CHARS = 24 << 20
+GROUP_CHARS = 8 << 20
 #: Words whose ids a Python worker remembers.
-REMEMBERED = 600_000
-#: Text characters encoded together.
-CHARS_AT_ONCE = 2 << 20
+REMEMBERED = 300_000
+#: Documents encoded together.
+ROWS_AT_ONCE = 256
 SEED = 9
 
 
@@ -115,24 +115,22 @@ def _cut(path: str, length: int):
     def pieces(batches):
         encode = encoder(path).encode
         end = array("I", [END_ID]).tobytes()
-        for batch in batches:
-            ids, groups = batch.column("doc_id"), batch.column("pack_group")
-            texts = [text or "" for text in batch.column("text").to_pylist()]
+        for whole in batches:
             lo = 0
-            while lo < len(texts):
-                hi, chars = lo, 0
-                while hi < len(texts) and (hi == lo or chars < CHARS_AT_ONCE):
-                    chars += len(texts[hi])
-                    hi += 1
+            while lo < whole.num_rows:
+                # a few rows at a time: a batch may hold thousands of long texts
+                batch = whole.slice(lo, ROWS_AT_ONCE)
+                lo += ROWS_AT_ONCE
+                ids, groups = batch.column("doc_id"), batch.column("pack_group")
                 at, start, parts, total = [], [], [], []
-                for k, data in enumerate(encode(texts[lo:hi]), lo):
+                for k, data in enumerate(encode([text or "" for text in batch.column("text").to_pylist()])):
                     data += end
                     n = len(data) // 4
                     for s in range(0, n, length):
                         at.append(k), start.append(s), parts.append(data[4 * s : 4 * (s + length)]), total.append(n)
                 rows, sizes = pa.array(at, pa.int32()), pa.array([len(p) // 4 for p in parts], pa.int64())
                 yield pa.RecordBatch.from_arrays([ids.take(rows), pa.array(start, pa.int64()), sizes, pa.array(parts, pa.binary()), pa.array(total, pa.int64()), groups.take(rows)], ["doc_id", "start", "length", "ids", "doc_tokens", "pack_group"])
-                lo = hi
+        pa.default_memory_pool().release_unused()
 
     return pieces
 
@@ -179,6 +177,7 @@ def _pack(length: int):
             sequence[rows] = (np.int64(group) << 32) + bins
         table = table.drop_columns(["pack_group"]).append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
         yield from table.to_batches(max_chunksize=2048)
+        pa.default_memory_pool().release_unused()
 
     return pack
 
