@@ -26,7 +26,7 @@ END_ID, LENGTH = 2, 4096
 #: Text characters in a group, on average.
 GROUP_CHARS = 8 << 20
 #: Words whose ids a Python worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 500_000
 #: Documents encoded together.
 ROWS_AT_ONCE = 256
 SEED = 9
@@ -38,6 +38,34 @@ _PLAIN = re.compile(r"[a-zA-ZÀ-ÖØ-öø-ÿ0-9!-&(-/:-@\[-`{-~]+")
 _PARTS = re.compile(r"[a-zÀ-ÖØ-öø-ÿ]+|[0-9]|[!-&(-/:-@\[-`{-~]+")
 
 
+#: In Latin-1 text without marks in a row before a comma or full stop, both may
+#: stand apart from the word: the tokenizer cuts there anyway.
+_MARKS_IN_A_ROW = re.compile(r"[,.](?<=[^a-zA-Z0-9À-ÖØ-öø-ÿ ][,.]) ")
+
+
+def _spread(text: str) -> str:
+    """The text with the same ids, written so that fewer words differ: single-byte
+    letters in lower case, commas and full stops before blanks apart."""
+    text = text.replace("\n", " ")
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text
+    if "<|" in text or _MARKS_IN_A_ROW.search(text):
+        return text
+    return text.lower().replace(", ", " , ").replace(". ", " . ")
+
+
+class _Known(dict):
+    """Ids of words; asking for a word that is missing gives None and notes it."""
+
+    def __init__(self):
+        self.missing: dict[str, None] = {}
+
+    def __missing__(self, word: str) -> None:
+        self.missing[word] = None
+
+
 class _Ids:
     """Token ids of texts as little-endian unsigned 32-bit bytes.
 
@@ -58,7 +86,7 @@ class _Ids:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.known: dict[str, bytes] = {}
+        self.known = _Known()
         self.parts: dict[str, bytes] = {}
 
     def _learn_parts(self, parts: list[str]) -> None:
@@ -87,15 +115,18 @@ class _Ids:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text; new words of all texts are learnt together."""
-        split = [text.replace("\n", " ").split(" ") for text in texts]
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        new: set[str] = set()
-        for words in split:
-            new.update(words)
-        self._learn(list(new.difference(self.known)))
-        found = self.known.__getitem__
-        return [b"".join(map(found, words)) for words in split]
+        split = [_spread(text).split(" ") for text in texts]
+        asked = self.known.__getitem__
+        found = [list(map(asked, words)) for words in split]
+        if new := list(self.known.missing):
+            self.known.missing.clear()
+            self._learn(new)
+            for k, ids in enumerate(found):
+                if None in ids:
+                    found[k] = [asked(word) if x is None else x for word, x in zip(split[k], ids, strict=True)]
+        return [b"".join(ids) for ids in found]
 
 
 _encoders: dict[str, _Ids] = {}

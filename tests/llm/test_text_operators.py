@@ -364,6 +364,7 @@ def test_ids_are_the_tokenizers(spark, sf):
     ids = encoder()
     texts = [r["text"] for r in documents(spark, sf).collect()[:300]]
     texts += ["", "   ", "It's\tA\r\n b c d'll 12,5!? <|endoftext|> ok", "é ́x İI ΑΣ ΟΔΟΣ.", "日本語 テスト　x", "a\x1cb ​ c"]
+    texts += ["It'S, OK. We'LL, x', y.", "«Ça», dit-il. Fin», x", "a., b .. c ,. d , , e. ", "ÀÉ, Öß. µ, ², ½. ª.", "<|ENDOFTEXT|>, a. b", "x\xa0, y\x85. z", ", . ,. a,b. c.d, "]
     for text in texts:
         want = ids.tokenizer.encode(text, add_special_tokens=False).ids
         assert np.frombuffer(ids(text), "<u4").tolist() == want
