@@ -4,8 +4,8 @@ A unit is a sentence: it ends with a line or with one of . ! ? before a blank, s
 that a passage is found wherever it was pasted. Units are normalised and hashed,
 digests grouped over the whole corpus, the occurrence that ranks first is kept.
 Of the others, runs of successive units that hold enough words are removed, with
-their offsets in the original text. Short units have no digest; one inside a run
-goes with it.
+their offsets in the original text. Every unit is hashed, however short, and a run
+holds repeated units alone.
 """
 
 from __future__ import annotations
@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from . import _text as T
 from ._spark import stored
 
-#: Words from which a unit is hashed, and words a removed run holds at least.
-UNIT_WORDS, RUN_WORDS = 5, 25
+#: Words from which a unit is hashed (all are), and words a removed run holds at least.
+UNIT_WORDS, RUN_WORDS = 1, 25
 _ENDS = np.zeros(256, bool)
 _ENDS[[ord(c) for c in ".!?"]] = True
 
@@ -38,10 +38,6 @@ def _units(batches):
             last[:-1] = (w.text[1:] != w.text[:-1]) | (lines[w.start[1:]] > lines[w.end[:-1]]) | _ENDS[part.data[w.end[:-1] - 1]]
             end = np.flatnonzero(last) + 1
             begin = np.concatenate([[0], end[:-1]])
-            long = end - begin >= UNIT_WORDS
-            begin, end = begin[long], end[long]
-            if not len(end):
-                continue
             text = w.text[begin]
             chars = T.char_offsets(part)
             origin = chars[part.offsets[text]]

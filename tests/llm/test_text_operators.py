@@ -268,6 +268,16 @@ def test_a_passage_pasted_inside_a_line_goes_and_its_first_copy_stays(spark):
         assert "p3_4" not in out[k][0] and "reserved" in out[k][0] and f"after{k}" in out[k][0]
 
 
+def test_a_passage_of_short_lines_goes_and_what_stands_once_stays(spark):
+    short = "\n".join(f"s{k} t{k} u{k}" for k in range(20))
+    header, footer = (" ".join(f"{x}{k}" for k in range(20)) + "." for x in "hf")
+    rows = [(0, f"own zero\n{short}"), (1, f"{header}\nonly one\n{footer}"), (2, f"own two\n{short}"), (3, f"{header}\nonly three\n{footer}")]
+    out = {d: (t, s) for d, t, s in removed(spark.createDataFrame(rows, "doc_id long, text string"))}
+    assert out[2] == ("own two\n", [(8, len(rows[2][1]), 60, 0)])
+    # header and footer hold 20 words each: no run holds both, as a line between them stands once
+    assert all(out[k] == (rows[k][1], []) for k in (0, 1, 3))
+
+
 def test_repeats_in_awkward_rows(spark, awkward):
     got = removed(awkward)
     assert [(d, t) for d, t, _ in got] == sorted(((r["doc_id"], r["text"]) for r in awkward.collect()), key=repr) or len(got) == awkward.count()
