@@ -61,7 +61,7 @@ def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that lose repeated passages: where, whose stay, what is left."""
-    cut = remove_repeats(table(spark, sf_dir, "documents")).where(F.size("removed_spans") > 0)
+    cut = remove_repeats(table(spark, sf_dir, "documents"), edges=True).where(F.size("removed_spans") > 0)
     return cut.select(
         "doc_id",
         F.array_join(F.transform("removed_spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",").alias("removed_spans"),

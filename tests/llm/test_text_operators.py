@@ -278,6 +278,31 @@ def test_a_passage_of_short_lines_goes_and_what_stands_once_stays(spark):
     assert all(out[k] == (rows[k][1], []) for k in (0, 1, 3))
 
 
+def test_a_passage_cut_inside_sentences_goes_with_its_edges(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(20)) for x in "abc")
+    rows = [
+        (0, f"{a}. {b}. {c}. end zero."),
+        (1, f"x y z {' '.join(a.split()[-15:])}. {b.upper()}. {' '.join(c.split()[:15])} p q"),  # 15 + 20 + 15 words
+        (2, f"v w a19. {b}. c0 u t"),  # 1 + 20 + 1 words: too few
+        (3, f"{b}. m n. {b}. m o"),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert remove_repeats(df).where("size(removed_spans) > 0").count() == 0
+    out = {r["doc_id"]: (r["text"], [(s["words"], s["first_doc_id"]) for s in r["removed_spans"]]) for r in remove_repeats(df, edges=True).collect()}
+    assert out == {0: (rows[0][1], []), 1: ("x y z  p q", [(50, 0)]), 2: (rows[2][1], []), 3: (rows[3][1], [])}
+
+
+def test_repeats_with_edges_in_awkward_rows(spark, awkward, sf):
+    assert remove_repeats(awkward, edges=True).count() == awkward.count()
+    docs = documents(spark, sf)
+    given = docs.selectExpr("doc_id", "text", "text AS given")
+    plain, wide = ({(r["doc_id"], r["given"]): r["removed_spans"] for r in remove_repeats(given, edges=e).collect()} for e in (False, True))
+    for key, spans in wide.items():
+        assert all(x["end"] <= y["start"] for x, y in zip(spans, spans[1:], strict=False))
+        assert all(any(w["start"] <= s["start"] and s["end"] <= w["end"] for w in spans) for s in plain[key])
+        assert all(len(re.findall(r"[^\x00-\x20]+", key[1][s["start"] : s["end"]])) == s["words"] for s in spans)
+
+
 def test_repeats_in_awkward_rows(spark, awkward):
     got = removed(awkward)
     assert [(d, t) for d, t, _ in got] == sorted(((r["doc_id"], r["text"]) for r in awkward.collect()), key=repr) or len(got) == awkward.count()
