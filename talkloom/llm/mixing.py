@@ -28,9 +28,15 @@ def token_count(text: str = "text") -> Column:
     return F.regexp_count(F.coalesce(F.col(text).cast("string"), F.lit("")), F.lit(r"\S+")).cast("long")
 
 
-def order_key(epoch: Column, seed: int = SEED) -> Column:
+def row_name() -> Column:
+    """What a row's place in the orders depends on: its doc_id or, where that is
+    null, its text."""
+    return F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("~"), F.xxhash64(F.col("text").cast("string")).cast("string")))
+
+
+def order_key(epoch: Column, name: Column, seed: int = SEED) -> Column:
     """Place of a document in an epoch's order."""
-    return F.md5(F.concat(F.lit(f"{seed}:"), epoch.cast("string"), F.lit(":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
+    return F.md5(F.concat(F.lit(f"{seed}:"), epoch.cast("string"), F.lit(":"), name).cast("binary"))
 
 
 def _weight(level: str, weights: dict[str, dict[str, int]]) -> Column:
@@ -42,7 +48,8 @@ def _weight(level: str, weights: dict[str, dict[str, int]]) -> Column:
 
 def _share(nodes: DataFrame, parents: list[str], level: str) -> DataFrame:
     """Splits `budget` among siblings: adds `given`. A node is full if its capacity
-    is at most its share of what fuller siblings leave; the rest share the rest."""
+    is at most its share of what fuller siblings leave; the rest share the rest, and
+    the tokens that do not divide go one by one to the largest remainders."""
     family = Window.partitionBy(*parents) if parents else Window.partitionBy(F.lit(0))
     fill = family.orderBy(F.when(F.col("weight") > 0, F.col("capacity") / F.col("weight")).otherwise(float("inf")), level)
     wide = lambda c: c.cast("decimal(19,0)")
@@ -52,23 +59,31 @@ def _share(nodes: DataFrame, parents: list[str], level: str) -> DataFrame:
     marked = nodes.withColumn("left", left).withColumn("still", still).withColumn("full", full)
     rest = F.col("budget") - F.coalesce(F.sum(F.when(F.col("full"), F.col("capacity"))).over(family), F.lit(0))
     parts = F.sum(F.when(~F.col("full"), F.col("weight"))).over(family)
+    exact = "cast(rest as decimal(19,0)) * cast(weight as decimal(19,0))"
+    shared = marked.withColumns({"rest": rest, "parts": F.nullif(parts, F.lit(0))}).withColumns({"floor": F.expr(f"({exact}) div cast(parts as decimal(19,0))"), "over": F.expr(f"({exact}) % cast(parts as decimal(19,0))")})
+    sharing = ~F.col("full") & (F.col("weight") > 0)
+    spare = F.col("rest") - F.sum(F.when(sharing, F.col("floor"))).over(family)
+    nth = F.row_number().over(family.orderBy(F.when(sharing, F.col("over")).desc_nulls_last(), level))
     return (
-        marked.withColumn("rest", rest)
-        .withColumn("parts", parts)
-        .withColumn("given", F.when(F.col("full"), F.col("capacity")).when(F.col("parts") > 0, F.expr("rest * weight div parts")).otherwise(0))
-        .drop("left", "still", "full", "rest", "parts")
+        shared.withColumns({"spare": spare, "nth": nth})
+        .withColumn("given", F.when(F.col("full"), F.col("capacity")).when(sharing, F.col("floor") + F.when(F.col("nth") <= F.col("spare"), 1).otherwise(0)).otherwise(0))
+        .drop("left", "still", "full", "rest", "parts", "floor", "over", "spare", "nth")
     )
 
 
 def leaf_budgets(leaves: DataFrame, levels: list[str], weights: dict[str, dict[str, int]], budget: Column, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     """leaves (levels, tokens) with `given`, the tokens each is to provide: never
     more than max_epochs times its tokens. Weights are whole numbers by level and
-    name, 1 where none is stated, 0 for nothing."""
+    name, 1 where none is stated, 0 for nothing: a node can use only what those of
+    its descendants can that have weight all the way down."""
     capacity = (F.col("tokens") * max_epochs).alias("capacity")
     given = None
     for depth, level in enumerate(levels):
         keys = levels[: depth + 1]
-        nodes = leaves.groupBy(*keys).agg(F.sum(F.col("tokens") * max_epochs).alias("capacity")).withColumn("weight", _weight(level, weights))
+        usable = F.lit(True)
+        for below in levels[depth + 1 :]:
+            usable = usable & (_weight(below, weights) > 0)
+        nodes = leaves.groupBy(*keys).agg(F.sum(F.when(usable, F.col("tokens") * max_epochs).otherwise(0)).alias("capacity")).withColumn("weight", _weight(level, weights))
         if given is None:
             nodes = nodes.crossJoin(F.broadcast(leaves.agg(budget.cast("long").alias("budget"))))  # one row
         else:
@@ -87,20 +102,21 @@ def mix_sources(
 ) -> DataFrame:
     """Rows of `documents` chosen by weight, with mix_epoch (int) and mix_tokens
     (long). levels: name -> column of each level, from the root; a leaf is one value
-    of all. The budget is budget_share of all tokens.
+    of all. The budget is budget_share of all tokens; a token is a word between
+    blanks, which the JVM counts where the packer's tokenizer would need Python.
 
     In each epoch a leaf's documents follow a seeded order; the epoch in which its
     budget ends gives the longest prefix that does not exceed it. A row appears once
     for each epoch that takes it. A null level counts as '', a null text as empty
     (0 tokens). Rows of one doc_id in a leaf share their place and are taken
-    together. Columns named mix_epoch or mix_tokens are replaced. An empty table
+    together, as are rows without doc_id that have one text. Columns named mix_epoch or mix_tokens are replaced. An empty table
     gives an empty result."""
     documents = documents.drop("mix_epoch", "mix_tokens")
     columns, names = documents.columns, [f"__level_{k}" for k in range(len(levels))]
-    levelled = documents.withColumn("mix_tokens", token_count())
+    levelled = documents.withColumn("__name", row_name())
     for name, column in zip(names, levels.values(), strict=True):
         levelled = levelled.withColumn(name, F.coalesce(column.cast("string"), F.lit("")))
-    narrow = stored(levelled.select("doc_id", "mix_tokens", *names), "mix-tokens")
+    narrow = stored(levelled.select("__name", token_count().alias("mix_tokens"), *names), "mix-tokens")
     leaves = stored(narrow.groupBy(*names).agg(F.sum("mix_tokens").alias("tokens")), "mix-leaves")
     renamed = {own: weights.get(level, {}) for own, level in zip(names, levels, strict=True)}
     share = F.floor(F.sum("tokens") * F.lit(round(budget_share * 1_000_000)) / 1_000_000)
@@ -110,7 +126,7 @@ def mix_sources(
     sized = lambda df: F.broadcast(df) if small else df
 
     # where the last epoch ends: the prefix's bucket first, then the place in it
-    partial = narrow.join(sized(plan.where("rest > 0")), names).withColumn("key", order_key(F.col("epochs"), seed)).withColumn("bucket", F.substring("key", 1, PREFIX_DIGITS))
+    partial = narrow.join(sized(plan.where("rest > 0")), names).withColumn("key", order_key(F.col("epochs"), F.col("__name"), seed)).withColumn("bucket", F.substring("key", 1, PREFIX_DIGITS))
     sums = partial.groupBy(*names, "rest", "bucket").agg(F.sum("mix_tokens").alias("n"))
     along = Window.partitionBy(*names).orderBy("bucket")
     ends = sums.withColumn("upto", F.sum("n").over(along)).where("upto > rest").groupBy(*names).agg(F.min(F.struct("bucket", (F.col("upto") - F.col("n")).alias("before"))).alias("cut"))
@@ -121,5 +137,7 @@ def mix_sources(
     cuts = ends.join(last, names, "left").select(*names, F.coalesce("last_key", "bucket").alias("last_key"))
     plan = stored(plan.join(cuts, names, "left"), "mix-cuts")
     whole = F.when(F.col("epochs") > 0, F.sequence(F.lit(0), F.col("epochs") - 1)).otherwise(F.array().cast("array<int>"))
-    more = F.when((F.col("rest") > 0) & (order_key(F.col("epochs"), seed) <= F.col("last_key")), F.array("epochs")).otherwise(F.array().cast("array<int>"))
-    return levelled.join(sized(plan), names).withColumn("mix_epoch", F.explode(F.concat(whole, more))).select(*columns, "mix_epoch", "mix_tokens")
+    more = F.when((F.col("rest") > 0) & (order_key(F.col("epochs"), F.col("__name"), seed) <= F.col("last_key")), F.array("epochs")).otherwise(F.array().cast("array<int>"))
+    taken = levelled.join(sized(plan), names).withColumn("__epochs", F.concat(whole, more)).where(F.size("__epochs") > 0)
+    # counted again only for what is taken: a join with the counts would move all texts
+    return taken.withColumn("mix_tokens", token_count()).select(*columns, F.explode("__epochs").alias("mix_epoch"), "mix_tokens")

@@ -196,6 +196,19 @@ def test_one_of_each_class_stays(spark, awkward):
     assert kept.where("doc_id is null").count() == 2
 
 
+def test_texts_of_one_doc_id_are_documents_of_their_own(spark):
+    a, b = (" ".join(f"{x}{k}" for k in range(60)) for x in "ab")
+    rows = [(1, a), (1, b), (2, a + " end"), (3, b), (3, b), (1, ""), (1, ""), (1, None), (4, b + " end")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert joined(df) == brute_links(rows_of(df))
+    kept = sorted((r["doc_id"], r["text"] or "") for r in one_of_each_class(df).collect())
+    assert kept == sorted([(1, ""), (1, ""), (1, a), (1, b)])  # a null text is not the empty one
+
+
+def rows_of(df):
+    return df.collect()
+
+
 def test_pruning_rarely_drops_a_pair_at_the_threshold():
     rng = np.random.default_rng(0)
     least = least_matches(0.8, 1e-5)
@@ -320,7 +333,8 @@ def brute_budgets(leaves, weights, budget, epochs):
     for d in range(depth):
         cap = Counter()
         for path, n in leaves.items():
-            cap[path[: d + 1]] += n * epochs
+            below = (weights(path[:k]) > 0 for k in range(d + 2, depth + 1))
+            cap[path[: d + 1]] += n * epochs * all(below)
         families = defaultdict(list)
         for path in cap:
             families[path[:-1]].append(path)
@@ -333,6 +347,9 @@ def brute_budgets(leaves, weights, budget, epochs):
                 if not full:
                     for k in open_:
                         out[k] = rest * weights(k) // total
+                    spare = rest - sum(out[k] for k in open_)
+                    for k in sorted(open_, key=lambda k: (-(rest * weights(k) % total), k))[:spare]:
+                        out[k] += 1
                     break
                 k = min(full, key=lambda k: cap[k] / weights(k))
                 out[k] = cap[k]
@@ -354,6 +371,25 @@ def test_budgets_flow_to_siblings_before_ancestors(spark):
         assert got == want, budget
 
 
+def test_no_budget_is_lost_below_a_child_without_weight(spark):
+    from pyspark.sql import functions as F
+
+    leaves = [("d0", "en", 1000), ("d0", "fr", 10), ("d1", "fr", 1000)]
+    rows = spark.createDataFrame(leaves, "l0 string, l1 string, tokens long")
+    for budget in (1206, 1207, 2020, 5000):
+        got = {(r["l0"], r["l1"]): r["given"] for r in leaf_budgets(rows, ["l0", "l1"], {"l1": {"en": 0}}, F.lit(budget) + F.max("tokens") * 0).collect()}
+        assert got == {("d0", "en"): 0, ("d0", "fr"): 20, ("d1", "fr"): min(2000, budget - 20)}
+    rows = spark.createDataFrame([("a", k, 100) for k in "xyz"], "l0 string, l1 string, tokens long")
+    assert sorted(r["given"] for r in leaf_budgets(rows, ["l0", "l1"], {}, F.lit(100) + F.max("tokens") * 0).collect()) == [33, 33, 34]
+
+
+def test_rows_without_doc_id_have_places_of_their_own(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.createDataFrame([(None, f"w{k} a b c", "s") for k in range(400)], "doc_id long, text string, source string")
+    assert mix_sources(rows, {}, {"source": F.col("source")}, budget_share=0.5).count() == 200
+
+
 def test_mix_against_brute_force(spark, sf):
     import hashlib
 
