@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -11,11 +12,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Keys that a broadcast may hold (16 bytes each).
+HOT_KEYS = 1_000_000
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or, only where that
-    is unset (tests on one machine), a new temporary one."""
+    is unset and all runs in one process (tests), a new temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="spark-shared-")
         spark.sparkContext.setCheckpointDir(f"file://{found}")
         found = f"file://{found}"
@@ -24,13 +32,51 @@ def shared_dir(spark: SparkSession) -> str:
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes df as a Parquet table in the shared folder and reads it back: cuts
-    the lineage, and survives the loss of any executor."""
+    the lineage, and survives the loss of any executor. The table lies in a folder
+    of the application, which nobody needs once that has ended."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Removes the table of stored() that df reads and nothing else needs."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df.inputFiles()[0].rsplit("/", 1)[0]) if df.inputFiles() else None
+    if path is not None:
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def give_back() -> None:
+    """Hands memory that a finished task's Python worker holds unused back to the
+    system: workers are kept for later tasks, of other stages too."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library
+
+
+class Sets:
+    """Disjoint sets of 0 .. n - 1."""
+
+    def __init__(self, n: int):
+        self.parent = list(range(n))
+
+    def find(self, k: int) -> int:
+        parent = self.parent
+        while parent[k] != k:
+            parent[k] = k = parent[parent[k]]
+        return k
+
+    def join(self, i: int, j: int) -> bool:
+        """Whether i and j were apart until now."""
+        i, j = self.find(i), self.find(j)
+        self.parent[max(i, j)] = min(i, j)
+        return i != j
+
+
 def groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
     """Cuts batches that are sorted by an integer `key` into one table a key; holds
     one group and one batch at most."""
@@ -58,6 +104,7 @@ def map_groups(df: DataFrame, key: str, fn: Callable[[pa.Table], pa.RecordBatch
         for table in groups(batches, key):
             if (out := fn(table)) is not None:
                 yield out
+        give_back()
 
     return df.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, schema)
 
@@ -83,14 +130,14 @@ def block_tasks(df: DataFrame, group: str, weight: str, member: str, limit: int)
 
 
 def scatter(df: DataFrame, key: str, buckets: int, rows: int, seed: int, into: str) -> DataFrame:
-    """Deals the `rows` rows of df into `buckets` by a seeded hash of `key`, int
+    """Deals the `rows` rows of df into `buckets` by a seeded hash of `key`, long
     column `into`. A key that holds more than an eighth of a bucket's share of rows
     is scattered by row position as well."""
-    often = max(1, rows // (8 * buckets))
-    # at most 8 * buckets keys can be held so often
+    # no more than HOT_KEYS keys can be held so often: they are broadcast
+    often = max(1, rows // min(8 * buckets, HOT_KEYS))
     hot = df.groupBy(F.col(key).alias("__key")).agg(F.count("*").alias("__n")).where(F.col("__n") > often).select("__key", F.lit(True).alias("__hot"))
     dealt = df.withColumn("__row", F.monotonically_increasing_id()).join(F.broadcast(hot), F.col(key).eqNullSafe(F.col("__key")), "left")
-    bucket = F.pmod(F.xxhash64(F.lit(seed), F.col(key), F.when(F.col("__hot"), F.col("__row")).otherwise(0)), F.lit(buckets)).cast("int")
+    bucket = F.pmod(F.xxhash64(F.lit(seed), F.col(key), F.when(F.col("__hot"), F.col("__row")).otherwise(0)), F.lit(buckets)).cast("long")
     return dealt.withColumn(into, bucket).drop("__row", "__key", "__hot")
 
 
@@ -115,6 +162,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).union(low)
-        e = stored(small.distinct(), name)
+        e, old = stored(small.distinct(), name), e
+        discard(old)
     roots = e.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return nodes.distinct().join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))

@@ -9,7 +9,8 @@ same incremental comparison runs over all pairs, and the rest are verified with
 their exact shingle sets.
 
 No pair is ever a row: a task returns, for each class, how many documents it
-links with, and the edges of a spanning forest.
+links with, and the edges of a spanning forest. Shingle sets are written once;
+only those of classes in candidate clusters are read and shuffled.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as T
-from ._spark import block_tasks, components, map_groups, stored
+from ._spark import Sets, block_tasks, components, give_back, map_groups, stored
 
 SHINGLE_WORDS = 5
 THRESHOLD = 0.8
@@ -32,8 +33,12 @@ BANDS, ROWS = 24, 4
 #: Further MinHash values (a byte each) that the Bayesian comparison reads, STEP at a time.
 COMPARED, STEP = 64, 16
 TOLERANCE = 1e-5
-#: Members of a bucket, and shingles of a cluster, that one block may hold.
-BUCKET_BLOCK, CLUSTER_BLOCK = 8192, 4_000_000
+#: Members of a bucket, and bytes of a cluster's sets, that one block may hold.
+BUCKET_BLOCK, CLUSTER_BLOCK = 8192, 16 << 20
+#: Bytes of a set's row beside its shingles, about.
+ROW_BYTES = 200
+#: Clustered classes (8 bytes each) that may be broadcast to fetch their sets.
+BROADCAST_ROWS = 4_000_000
 
 
 @cache
@@ -104,25 +109,35 @@ def _describe(batches):
                 small = values[:, BANDS * ROWS :].astype(np.uint8)
                 for at, row in enumerate(some):
                     bands[row], compared[row] = key[at].view(np.int64), small[at].tobytes()
+            whole = sets.astype("<u8", copy=False).data.cast("B") if len(sets) else b""
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id").slice(part.lo, n),
+                    batch.column("text_hash").slice(part.lo, n),
                     pa.array(digests[0]),
                     pa.array(digests[1]),
                     pa.array(np.diff(offsets)),
                     pa.array([list(b) if len(b) else [] for b in bands], pa.list_(pa.int64())),
                     pa.array(compared, pa.binary()),
+                    pa.array([whole[8 * a : 8 * b] for a, b in zip(offsets.tolist(), offsets[1:].tolist(), strict=False)], pa.binary()),
                 ],
-                ["doc_id", "digest_a", "digest_b", "n_shingles", "bands", "compared"],
+                ["doc_id", "text_hash", "digest_a", "digest_b", "n_shingles", "bands", "compared", "shingles"],
             )
+    give_back()
 
 
-DESCRIBED = "doc_id long, digest_a long, digest_b long, n_shingles long, bands array<long>, compared binary"
+DESCRIBED = "doc_id long, text_hash long, digest_a long, digest_b long, n_shingles long, bands array<long>, compared binary, shingles binary"
+
+
+def _key() -> list[F.Column]:
+    """doc_id and a hash of the text: what tells rows apart that are no repeats."""
+    return [F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_hash")]
 
 
 def described(documents: DataFrame) -> DataFrame:
-    """Digest of each document's shingle set, band keys and MinHash bytes."""
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_describe, DESCRIBED)
+    """Digest of each document's shingle set, band keys, MinHash bytes and the set
+    itself (sorted little-endian unsigned 64-bit hashes)."""
+    return documents.select(*_key(), F.col("text").cast("string").alias("text")).mapInArrow(_describe, DESCRIBED)
 
 
 def _sides(table: pa.Table) -> tuple[np.ndarray, int, int]:
@@ -138,20 +153,24 @@ def _partners(i: int, block: np.ndarray, a: int, b: int, later: np.ndarray) -> n
 
 def _bucket_edges(threshold: float, tolerance: float):
     def edges(table: pa.Table) -> pa.RecordBatch | None:
-        ids, m = table["rep"].to_numpy(), len(table)
+        ids, m = table["node"].to_numpy(), len(table)
         least = least_matches(threshold, tolerance)
         signatures = np.frombuffer(b"".join(table["compared"].to_pylist()), np.uint8).reshape(m, COMPARED)
         block, a, b = _sides(table)
-        label, every = np.arange(m), np.arange(m)
+        # `near` is a hint of the set a member is in: those that are there already
+        # need no comparison
+        sets, near, every = Sets(m), np.arange(m), np.arange(m)
         found: list[tuple[int, int]] = []
         for i in range(m):
             others = _partners(i, block, a, b, every)
             if others is None or not len(others):
                 continue
-            for j in plausible(signatures, i, others[label[others] != label[i]], least):
-                if label[j] != label[i]:
-                    label[label == label[j]] = label[i]
+            near[i] = sets.find(i)
+            linked = plausible(signatures, i, others[near[others] != near[i]], least)
+            for j in linked.tolist():
+                if sets.join(i, j):
                     found.append((ids[i], ids[j]))
+            near[linked] = near[i] = sets.find(i)
         if not found:
             return None
         u, v = np.array(found, np.int64).T
@@ -162,31 +181,21 @@ def _bucket_edges(threshold: float, tolerance: float):
 
 def _cluster_links(threshold: float, tolerance: float):
     def links(table: pa.Table) -> pa.RecordBatch | None:
-        # a doc_id may stand in several rows: keep one whose text is the class's
-        parts, kept, seen = [], [], set()
-        ids, want = table["rep"].to_numpy(), table["digest_a"].to_numpy()
-        for part in T.slices(table["text"].combine_chunks()):
-            n = part.hi - part.lo
-            sets, offsets = T.shingles(T.words(part), n, SHINGLE_WORDS)
-            for k in range(n):
-                one, row = sets[offsets[k] : offsets[k + 1]], part.lo + k
-                if ids[row] not in seen and T.mix(one, 1).sum(dtype=np.uint64).view(np.int64) == want[row]:
-                    seen.add(ids[row])
-                    parts.append(one)
-                    kept.append(row)
-        table = table.take(pa.array(kept))
         m = len(table)
         if m < 2:
             return None
-        ids, copies = table["rep"].to_numpy(), table["copies"].to_numpy()
+        ids, copies = table["node"].to_numpy(), table["copies"].to_numpy()
         signatures = np.frombuffer(b"".join(table["compared"].to_pylist()), np.uint8).reshape(m, COMPARED)
-        sizes = np.array([len(x) for x in parts])
+        sizes = table["n_shingles"].to_numpy()
         offsets = np.concatenate([[0], np.cumsum(sizes)])
-        _, local = np.unique(np.concatenate(parts), return_inverse=True)
+        shingles = np.frombuffer(b"".join(x.as_buffer() for x in table["shingles"]), "<u8")
+        block, a, b = _sides(table)
+        del table
+        _, local = np.unique(shingles, return_inverse=True)
+        del shingles
         present = np.zeros(local.max() + 1, np.int32)
         least = least_matches(threshold, tolerance)
-        block, a, b = _sides(table)
-        label, every, linked = np.arange(m), np.arange(m), np.zeros(m, np.int64)
+        sets, every, linked = Sets(m), np.arange(m), np.zeros(m, np.int64)
         found: list[tuple[int, int]] = []
         for i in range(m):
             others = _partners(i, block, a, b, every)
@@ -204,10 +213,7 @@ def _cluster_links(threshold: float, tolerance: float):
             others = others[shared / (sizes[others] + sizes[i] - shared) >= threshold]
             linked[i] += copies[others].sum()
             linked[others] += copies[i]
-            for j in others[label[others] != label[i]]:
-                if label[j] != label[i]:
-                    label[label == label[j]] = label[i]
-                    found.append((ids[i], ids[j]))
+            found += [(ids[i], ids[j]) for j in others.tolist() if sets.join(i, j)]
         some = np.flatnonzero(linked)
         rows = [(ids[k], None, linked[k]) for k in some] + [(u, v, 0) for u, v in found]
         if not rows:
@@ -218,6 +224,36 @@ def _cluster_links(threshold: float, tolerance: float):
     return links
 
 
+def _classes(documents: DataFrame, threshold: float, tolerance: float) -> tuple[DataFrame, DataFrame]:
+    """The documents described, and their classes (digest_a, digest_b): rep, the
+    smallest (doc_id, text_hash); copies; n, how many rows they link with beside
+    copies; head, the smallest rep that links lead to."""
+    each = stored(described(documents).withColumn("row", F.monotonically_increasing_id()), "ngram-described")
+    live = each.where("n_shingles > 0 and doc_id is not null")
+    grouped = live.groupBy("digest_a", "digest_b").agg(F.min(F.struct("doc_id", "text_hash")).alias("rep"), F.count("*").alias("copies"), F.min("row").alias("row"), F.max("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("compared").alias("compared"))
+    # numbered once written: digests tell classes apart, however doc_ids repeat
+    classes = stored(grouped.withColumn("node", F.monotonically_increasing_id()), "ngram-classes")
+    banded = classes.select("node", F.explode("bands").alias("band"))
+    crowded = banded.groupBy("band").agg(F.count("*").alias("members")).where("members > 1")
+    members = banded.join(crowded, "band").join(classes.select("node", "compared"), "node")
+    edges = map_groups(block_tasks(members, "band", "members", "node", BUCKET_BLOCK).drop("band", "members"), "task", _bucket_edges(threshold, tolerance), "u long, v long", ["node"])
+    clusters = stored(components(stored(edges, "ngram-candidates"), "ngram-clusters"), "ngram-clusters")
+
+    inside = stored(clusters.join(classes.select("node", "row", "copies", "n_shingles", "compared"), "node"), "ngram-clustered")
+    wanted = inside.select("row")
+    sets = each.select("row", "shingles").join(F.broadcast(wanted) if inside.count() <= BROADCAST_ROWS else wanted, "row", "left_semi")
+    sets = inside.join(sets, "row").drop("row")
+    weight = inside.groupBy("root").agg(F.sum(8 * F.col("n_shingles") + ROW_BYTES).alias("weight"))
+    tasks = block_tasks(sets.join(weight, "root"), "root", "weight", "node", CLUSTER_BLOCK).drop("root", "weight")
+    verified = stored(map_groups(tasks, "task", _cluster_links(threshold, tolerance), "u long, v long, n long", ["node"]), "ngram-links")
+    linked = verified.where("v is null").groupBy(F.col("u").alias("node")).agg(F.sum("n").alias("n"))
+    roots = stored(components(verified.where("v is not null").select("u", "v"), "ngram-components").join(classes.select("node", "rep"), "node"), "ngram-roots")
+    heads = roots.groupBy("root").agg(F.min("rep").alias("head"))
+    roots = roots.select("node", "root").join(heads, "root").drop("root")
+    classes = classes.select("digest_a", "digest_b", "rep", "copies", "node").join(linked, "node", "left").join(roots, "node", "left")
+    return each, classes.select("digest_a", "digest_b", "rep", "copies", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("head", "rep").alias("head"))
+
+
 def ngram_jaccard_join(documents: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
     """Links documents whose sets of 5-word shingles have Jaccard >= threshold.
 
@@ -228,43 +264,36 @@ def ngram_jaccard_join(documents: DataFrame, threshold: float = THRESHOLD, toler
     Words are what blanks and control characters separate, ASCII and Latin-1
     letters fold case. A text of one to four words is one shingle. Null, empty and
     blank texts have none: they link with nothing and are their own class. Rows of
-    one doc_id and text are copies of each other; a null doc_id has null class_id
-    and links with nothing. An empty table gives an empty result. Columns other
-    than doc_id and text are not read."""
-    each = stored(described(documents), "ngram-described")
-    live = each.where("n_shingles > 0 and doc_id is not null")
-    key = ["digest_a", "digest_b"]
-    classes = stored(
-        live.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("compared").alias("compared")),
-        "ngram-classes",
-    )
-    banded = classes.select("rep", F.explode("bands").alias("band"))
-    crowded = banded.groupBy("band").agg(F.count("*").alias("members")).where("members > 1")
-    members = banded.join(crowded, "band").join(classes.select("rep", "compared"), "rep")
-    edges = map_groups(block_tasks(members, "band", "members", "rep", BUCKET_BLOCK).drop("band", "members"), "task", _bucket_edges(threshold, tolerance), "u long, v long", ["rep"])
-    clusters = stored(components(stored(edges, "ngram-candidates"), "ngram-clusters"), "ngram-clusters")
-
-    inside = clusters.join(classes.drop("bands", "digest_b"), F.col("node") == F.col("rep")).drop("node")
-    weight = inside.groupBy("root").agg(F.sum(F.col("n_shingles") + 64).alias("weight"))
-    inside = inside.join(weight, "root").drop("n_shingles")
-    texts = documents.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"))
-    tasks = block_tasks(inside.join(texts, "rep"), "root", "weight", "rep", CLUSTER_BLOCK).drop("root", "weight")
-    verified = stored(map_groups(tasks, "task", _cluster_links(threshold, tolerance), "u long, v long, n long", ["rep"]), "ngram-links")
-    linked = verified.where("v is null").groupBy(F.col("u").alias("rep")).agg(F.sum("n").alias("n"))
-    roots = components(verified.where("v is not null").select("u", "v"), "ngram-components").withColumnRenamed("node", "rep")
-    classes = classes.select(*key, "rep", "copies").join(linked, "rep", "left").join(roots, "rep", "left")
-    return each.select("doc_id", *key, "n_shingles").join(classes, key, "left").select(
+    one doc_id and text are copies of each other; rows of one doc_id and different
+    texts are documents of their own. A null doc_id has null class_id and links with
+    nothing. An empty table gives an empty result. Columns other than doc_id and
+    text are not read."""
+    each, classes = _classes(documents, threshold, tolerance)
+    live = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
+    return each.select("doc_id", "digest_a", "digest_b", "n_shingles").join(classes, ["digest_a", "digest_b"], "left").select(
         "doc_id",
-        F.when(F.col("n_shingles") > 0, F.coalesce(F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "rep")), "doc_id")).otherwise(F.col("doc_id")).alias("class_id"),
-        F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("rep")).otherwise(F.col("doc_id")).alias("copy_id"),
-        F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("copies") - 1 + F.coalesce("n", F.lit(0))).otherwise(F.lit(0)).cast("long").alias("n_links"),
+        F.when(live, F.col("head.doc_id")).otherwise(F.col("doc_id")).alias("class_id"),
+        F.when(live, F.col("rep.doc_id")).otherwise(F.col("doc_id")).alias("copy_id"),
+        F.when(live, F.col("copies") - 1 + F.col("n")).otherwise(F.lit(0)).cast("long").alias("n_links"),
     )
 
 
 def one_of_each_class(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents without near duplicates: of each class the row of smallest
-    doc_id stays. Rows with a null doc_id stay."""
-    classes = ngram_jaccard_join(documents, threshold)
-    heads = classes.where("doc_id = class_id").select("doc_id").distinct()
-    named = documents.where("doc_id is not null").join(heads, "doc_id").dropDuplicates(["doc_id"])
-    return named.select(*documents.columns).unionByName(documents.where("doc_id is null"))
+    """The documents without near duplicates: of each class one row stays, the first
+    by doc_id and, of one doc_id, by the hash of its text. Rows with a null doc_id
+    stay, as do those without words, but for repeats of one doc_id and text.
+
+    What goes is broadcast up to BROADCAST_ROWS rows, so that texts stay where they
+    are; beyond, documents and decisions are joined by shuffle."""
+    each, classes = _classes(documents, threshold, TOLERANCE)
+    rows = each.where("doc_id is not null").groupBy("doc_id", "text_hash", "digest_a", "digest_b").agg(F.count("*").alias("rows"), F.max("n_shingles").alias("n_shingles"))
+    judged = rows.join(classes.select("digest_a", "digest_b", "head"), ["digest_a", "digest_b"], "left")
+    stays = (F.col("n_shingles") == 0) | (F.struct("doc_id", "text_hash") == F.col("head"))
+    gone = stored(judged.withColumn("stays", stays).where(~F.col("stays") | (F.col("rows") > 1)).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "stays"), "ngram-decisions")
+    small = gone.count() <= BROADCAST_ROWS
+    sized = lambda df: F.broadcast(df) if small else df
+    doc_id, text_hash = _key()
+    same = (doc_id == F.col("__id")) & (text_hash == F.col("__hash"))
+    single = documents.join(sized(gone), same, "left_anti")
+    repeated = documents.join(sized(gone.where("stays")), same).dropDuplicates(["__id", "__hash"])
+    return single.select(*documents.columns).unionByName(repeated.select(*documents.columns))
