@@ -19,18 +19,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as T
-from ._spark import stored
+from ._spark import stored, tidy
 
 #: Labelled documents the scorer is fitted on at most; a quarter calibrates it.
 SAMPLE_DOCS = 20_000
 CALIBRATION = 4
-#: Tokens whose scores are broadcast, at most (12 bytes each), by significance.
-VOCABULARY = 50_000
 #: Prior mass of a token: a constant and a share of its documents in the sample;
 #: deviations that count as noise; what each token costs.
 PRIOR, PRIOR_SHARE, NOISE, DRIFT = 0.5, 0.01, 2.5, 0.5
-#: Documents in which a token stands at least.
+#: Documents of the sample in which a token stands at least: with SAMPLE_DOCS this
+#: bounds the tokens that are broadcast (16 bytes each).
 MIN_DOCS = 4
+#: Least shingle hashes that copies must share to count once in the sample.
+SKETCH = 3
 #: Expected number of chance segments below which a segment is significant.
 SIGNIFICANT = 0.05
 
@@ -100,10 +101,12 @@ def _segments(column: pa.Array, scorer: Scorer):
 
 
 def evidence(n: int, scores: list[float], scorer: Scorer) -> tuple[float, float]:
-    """Of significant segments, log(1 + nats beyond chance): of all and of the best."""
+    """log(1 + nats beyond chance) of all significant segments; and what the best
+    segment says, significant or not: its nats beyond chance, in logs on either side."""
     chance = scorer.log_k + math.log(max(n, 1))
     nats = [x for s in scores if (x := scorer.rate * s - chance) > -math.log(SIGNIFICANT)]
-    return math.log1p(sum(nats)), math.log1p(max(nats, default=0.0))
+    best = scorer.rate * max(scores, default=0.0) - chance
+    return math.log1p(sum(nats)), math.copysign(math.log1p(abs(best)), best)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float, ...]:
@@ -133,12 +136,13 @@ def _count(batches):
 
 
 def _sketch(batches):
-    """Adds the least hash of a text's 5-word shingles: near copies mostly agree."""
+    """Adds a digest of the SKETCH least hashes of a text's 5-word shingles: most
+    copies with few changes agree in all of them, other texts do not."""
     for batch in batches:
         least = []
         for part in T.slices(batch.column("text")):
             sets, offsets = T.shingles(T.words(part), part.hi - part.lo, 5)
-            least += [int(sets[a].view(np.int64)) if b > a else 0 for a, b in zip(offsets, offsets[1:], strict=False)]
+            least += [int(T.mix(sets[a : min(b, a + SKETCH)], 5).sum(dtype=np.uint64).view(np.int64)) for a, b in zip(offsets, offsets[1:], strict=False)]
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(least, pa.int64())], [*batch.schema.names, "sketch"])
 
 
@@ -156,14 +160,15 @@ def fit(documents: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS)
     known = named.groupBy("__id").agg(F.max("toxic").alias("toxic")).where(~held_out("__id"))
     known = known.orderBy(F.xxhash64(F.lit(3), "__id"), "__id").limit(sample_docs)
     texts = documents.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(known), F.col("doc_id") == F.col("__id"))
-    # one document of near copies, or each of their words would count as often
-    once = texts.select("doc_id", "toxic", "text").mapInArrow(_sketch, "doc_id long, toxic int, text string, sketch long").groupBy("sketch").agg(F.min(F.struct("doc_id", "toxic", "text")).alias("d"))
+    # one document of near copies with one label, or each of their words would count
+    # as often
+    once = texts.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic", "text").mapInArrow(tidy(_sketch), "doc_id long, toxic int, text string, sketch long").groupBy("sketch", "toxic").agg(F.min(F.struct("doc_id", "toxic", "text")).alias("d"))
     sample = stored(once.select("d.toxic", (F.pmod(F.xxhash64(F.lit(4), "sketch"), F.lit(CALIBRATION)) == 0).alias("calibrates"), "d.text"), "toxic-sample")
     rows, ones = sample.agg(F.count("*"), F.sum("toxic")).first()
     nothing = Scorer(np.zeros(0, np.uint64), np.zeros(0), 1.0, 0.0, (0.0, 0.0, 0.0), (ones or 0) / max(rows, 1))
     if not ones or ones == rows:
         return nothing
-    counts = stored(sample.where("not calibrates").select("toxic", "text").mapInArrow(_count, "token long, clean long, toxic long").groupBy("token").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")), "toxic-tokens")
+    counts = stored(sample.where("not calibrates").select("toxic", "text").mapInArrow(tidy(_count), "token long, clean long, toxic long").groupBy("token").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")), "toxic-tokens")
     n0, n1 = counts.agg(F.sum("clean"), F.sum("toxic")).first()
     if not n0 or not n1:
         return nothing
@@ -173,7 +178,7 @@ def fit(documents: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS)
     judged = counts.where(F.col("clean") + F.col("toxic") >= MIN_DOCS).select("token", "clean", (odds("toxic", n1) - odds("clean", n0)).alias("odds"), F.sqrt(1 / (F.col("toxic") + prior) + 1 / (F.col("clean") + prior)).alias("deviation"))
     # odds inside the noise count as none, others lose the noise
     shrunk = judged.withColumn("score", F.signum("odds") * F.greatest(F.lit(0.0), F.abs("odds") - NOISE * F.col("deviation"))).where("score <> 0")
-    top = shrunk.orderBy(F.desc(F.abs(F.col("odds") / F.col("deviation"))), "token").limit(VOCABULARY).collect()
+    top = shrunk.collect()  # no more than the sample's tokens over MIN_DOCS
     tokens = np.array([r["token"] for r in top], np.int64).view(np.uint64)
     order = np.argsort(tokens)
     scores = np.array([r["score"] for r in top])[order]
@@ -181,21 +186,35 @@ def fit(documents: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS)
     if not (scores > DRIFT).any():
         return nothing
     scorer = nothing._replace(tokens=tokens[order], scores=scores, rate=_rate(scores - DRIFT, (clean + 0.5) / (n0 + 1.0)))
-    sent = documents.sparkSession.sparkContext.broadcast(scorer)
-
-    def best(batches):
-        for batch in batches:
-            found = list(_segments(batch.column("text"), sent.value))
-            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array([n for n, _ in found], pa.int64()), pa.array([[s for *_, s in x] for _, x in found], pa.list_(pa.float64()))], ["toxic", "n", "scores"])
-
-    held = sample.where("calibrates").select("toxic", "text").mapInArrow(best, "toxic int, n long, scores array<double>").collect()
-    chance = [scorer.rate * max(r["scores"], default=0.0) - math.log(max(r["n"], 1)) for r in held if not r["toxic"]]
+    calibrating = sample.where("calibrates").select("toxic", "text")
+    # at most SAMPLE_DOCS / CALIBRATION rows, about, of two or three numbers
+    best = calibrating.mapInArrow(tidy(_best_segments(scorer)), "toxic int, n long, best double").collect()
+    chance = [scorer.rate * r["best"] - math.log(max(r["n"], 1)) for r in best if not r["toxic"]]
     scorer = scorer._replace(log_k=(float(np.mean(chance)) if chance else 0.0) - 0.5772156649)
-    x = np.array([evidence(r["n"], r["scores"], scorer) for r in held]).reshape(-1, 2)
+    held = calibrating.mapInArrow(tidy(_evidence(scorer)), "toxic int, x array<double>").collect()
+    x = np.array([r["x"] for r in held]).reshape(-1, 2)
     y = np.array([r["toxic"] for r in held], float)
     return scorer._replace(curve=_logistic(x, y)) if len(set(y)) > 1 else nothing
 
 
+def _best_segments(scorer: Scorer):
+    def run(batches):
+        for batch in batches:
+            found = [(n, max((s for *_, s in x), default=0.0)) for n, x in _segments(batch.column("text"), scorer)]
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array([n for n, _ in found], pa.int64()), pa.array([s for _, s in found], pa.float64())], ["toxic", "n", "best"])
+
+    return run
+
+
+def _evidence(scorer: Scorer):
+    def run(batches):
+        for batch in batches:
+            x = [list(evidence(n, [s for *_, s in found], scorer)) for n, found in _segments(batch.column("text"), scorer)]
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(x, pa.list_(pa.float64()))], ["toxic", "x"])
+
+    return run
+
+
 def _rate(scores: np.ndarray, shares: np.ndarray) -> float:
     """The rate at which clean text's segment scores thin out: the positive root of
     sum(share * exp(rate * score)) = 1; tokens beyond the vocabulary score -DRIFT."""
@@ -239,5 +258,5 @@ def score_toxicity(documents: DataFrame, scorer: Scorer) -> DataFrame:
                 scores.append(1 / (1 + math.exp(-min(30.0, max(-30.0, b0 + b1 * one + b2 * best)))) if len(scorer.tokens) else scorer.base)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64()), pa.array(segments, kind)], [*batch.schema.names, "toxic_score", "toxic_segments"])
 
-    scored = documents.withColumn("text", F.col("text").cast("string")).mapInArrow(run, schema)
+    scored = documents.withColumn("text", F.col("text").cast("string")).mapInArrow(tidy(run), schema)
     return scored.withColumn("toxic", (F.col("toxic_score") >= 0.5).cast("int"))

@@ -378,7 +378,30 @@ def test_toxicity_on_held_out_labels(spark):
     assert wrong_clean < 0.01 and found > 0.65
     score = np.array([s for s, _ in held])
     y = np.array([y for _, y in held])
-    assert np.mean(score[y == 1][:, None] > score[y == 0][None, :]) + 0.5 * np.mean(score[y == 1][:, None] == score[y == 0][None, :]) > 0.85
+    assert np.mean(score[y == 1][:, None] > score[y == 0][None, :]) + 0.5 * np.mean(score[y == 1][:, None] == score[y == 0][None, :]) > 0.92
+
+
+def test_scores_against_plain_segments(spark, sf):
+    """The score of short texts from segments found by definition."""
+    import math
+
+    import pyarrow as pa
+
+    from talkloom.llm import _text as T
+    from talkloom.llm.toxicity import SIGNIFICANT, token_scores
+
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    scorer = fit_toxicity(docs, labels)
+    rude = ["you idiot moron and stupid worthless trash, pathetic clown", "hello idiot", ""]
+    texts = [" ".join(r["text"].split()[:14]) for r in docs.limit(25).collect()] + rude
+    got = [r["toxic_score"] for r in score_toxicity(spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string"), scorer).orderBy("doc_id").collect()]
+    for text, score in zip(texts, got, strict=True):
+        values = [x for part in T.slices(pa.array([text])) for x in token_scores(T.words(part, T.alphanumeric), scorer).tolist()]
+        chance = scorer.log_k + math.log(max(len(values), 1))
+        nats = [scorer.rate * s - chance for *_, s in brute_segments(values)]
+        best = max(nats, default=-chance)
+        x = scorer.curve[0] + scorer.curve[1] * math.log1p(sum(v for v in nats if v > -math.log(SIGNIFICANT))) + scorer.curve[2] * math.copysign(math.log1p(abs(best)), best)
+        assert abs(score - 1 / (1 + math.exp(-x))) < 1e-9
 
 
 def test_held_out_labels_are_never_learnt(spark, sf):
