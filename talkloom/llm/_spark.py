@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Keys that a broadcast may hold (16 bytes each).
 HOT_KEYS = 1_000_000
+#: Bytes of a row group of intermediate tables: writers hold one in memory.
+ROW_GROUP = 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,7 +38,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     of the application, which nobody needs once that has ended."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -58,6 +60,16 @@ def give_back() -> None:
         pass  # another C library
 
 
+def tidy(fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
+    """fn over a task's batches, then give_back(), once fn holds nothing more."""
+
+    def run(batches):
+        yield from fn(batches)
+        give_back()
+
+    return run
+
+
 class Sets:
     """Disjoint sets of 0 .. n - 1."""
 
@@ -104,9 +116,8 @@ def map_groups(df: DataFrame, key: str, fn: Callable[[pa.Table], pa.RecordBatch
         for table in groups(batches, key):
             if (out := fn(table)) is not None:
                 yield out
-        give_back()
 
-    return df.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, schema)
+    return df.repartition(key).sortWithinPartitions(key, *order).mapInArrow(tidy(run), schema)
 
 
 def block_tasks(df: DataFrame, group: str, weight: str, member: str, limit: int) -> DataFrame:

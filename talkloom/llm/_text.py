@@ -49,12 +49,18 @@ def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
 
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            steps = np.full(max(n, SLICE_BYTES + 1), base, np.uint64)
-            steps[0] = 1
-            _powers[k] = np.multiply.accumulate(steps)
-    return _powers[0], _powers[1]
+    """Powers 0 .. n - 1 of the base and of its inverse. Those for a slice of usual
+    length are kept; a longer text's go with it."""
+    if n <= len(_powers[0]):
+        return _powers[0], _powers[1]
+    found = []
+    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+        steps = np.full(max(n, SLICE_BYTES + 2), base, np.uint64)
+        steps[0] = 1
+        found.append(np.multiply.accumulate(steps))
+    if n <= SLICE_BYTES + 2:
+        _powers[:] = found
+    return found[0], found[1]
 
 
 def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[Slice]:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as T
-from ._spark import Sets, block_tasks, components, give_back, map_groups, stored
+from ._spark import Sets, block_tasks, components, map_groups, stored, tidy
 
 SHINGLE_WORDS = 5
 THRESHOLD = 0.8
@@ -109,7 +109,6 @@ def _describe(batches):
                 small = values[:, BANDS * ROWS :].astype(np.uint8)
                 for at, row in enumerate(some):
                     bands[row], compared[row] = key[at].view(np.int64), small[at].tobytes()
-            whole = sets.astype("<u8", copy=False).data.cast("B") if len(sets) else b""
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id").slice(part.lo, n),
@@ -119,11 +118,10 @@ def _describe(batches):
                     pa.array(np.diff(offsets)),
                     pa.array([list(b) if len(b) else [] for b in bands], pa.list_(pa.int64())),
                     pa.array(compared, pa.binary()),
-                    pa.array([whole[8 * a : 8 * b] for a, b in zip(offsets.tolist(), offsets[1:].tolist(), strict=False)], pa.binary()),
+                    pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((8 * offsets).astype(np.int32)), pa.py_buffer(sets.astype("<u8", copy=False))]),
                 ],
                 ["doc_id", "text_hash", "digest_a", "digest_b", "n_shingles", "bands", "compared", "shingles"],
             )
-    give_back()
 
 
 DESCRIBED = "doc_id long, text_hash long, digest_a long, digest_b long, n_shingles long, bands array<long>, compared binary, shingles binary"
@@ -137,7 +135,7 @@ def _key() -> list[F.Column]:
 def described(documents: DataFrame) -> DataFrame:
     """Digest of each document's shingle set, band keys, MinHash bytes and the set
     itself (sorted little-endian unsigned 64-bit hashes)."""
-    return documents.select(*_key(), F.col("text").cast("string").alias("text")).mapInArrow(_describe, DESCRIBED)
+    return documents.select(*_key(), F.col("text").cast("string").alias("text")).mapInArrow(tidy(_describe), DESCRIBED)
 
 
 def _sides(table: pa.Table) -> tuple[np.ndarray, int, int]:

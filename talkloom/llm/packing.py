@@ -13,22 +13,24 @@ import re
 from array import array
 
 import numpy as np
-import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import scatter
+from ._spark import groups, scatter, tidy
 
-
-TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+#: Name of the tokenizer among the public ones.
+TOKENIZER = "word_bpe_49k.json"
 END_ID, LENGTH = 2, 4096
 #: Text characters in a group, on average.
 GROUP_CHARS = 8 << 20
-#: Words whose ids a Python worker remembers.
-REMEMBERED = 500_000
+#: Bytes of words and ids that a Python worker remembers within a task, about.
+REMEMBERED_BYTES = 64 << 20
 #: Documents encoded together.
 ROWS_AT_ONCE = 256
+#: Tasks that pack at most, each group after group: map tasks times these are the
+#: blocks of the shuffle.
+MAX_TASKS = 20_000
 SEED = 9
 
 
@@ -88,6 +90,11 @@ class _Ids:
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.known = _Known()
         self.parts: dict[str, bytes] = {}
+        self.held = 0
+
+    def forget(self) -> None:
+        self.known.clear(), self.parts.clear()
+        self.held = 0
 
     def _learn_parts(self, parts: list[str]) -> None:
         joined = [" ".join(parts[at : at + 200]) for at in range(0, len(parts), 200)]
@@ -97,16 +104,16 @@ class _Ids:
         if len(cuts) != len(parts):
             raise ValueError("a word part without a final token")
         data = ids.tobytes()
+        self.held += 200 * len(parts) + len(data)
         self.parts.update(zip(parts, [data[a:b] for a, b in zip([0, *cuts], cuts, strict=False)], strict=True))
 
     def _learn(self, words: list[str]) -> None:
         plain = {w: _PARTS.findall(w.lower()) for w in words if "<|" not in w and _PLAIN.fullmatch(w)}
-        if len(self.parts) > REMEMBERED:
-            self.parts.clear()
         self._learn_parts(list({p for parts in plain.values() for p in parts}.difference(self.parts)))
         found = self.parts.__getitem__
         self.known.update((w, b"".join(map(found, parts))) for w, parts in plain.items())
         others = [w for w in words if w not in plain]
+        self.held += 200 * len(words) + 4 * sum(map(len, words))  # about what a dict holds for each
         for word, encoding in zip(others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False), strict=True):
             self.known[word] = array("I", encoding.ids).tobytes()
 
@@ -115,8 +122,8 @@ class _Ids:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text; new words of all texts are learnt together."""
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
+        if self.held > REMEMBERED_BYTES:
+            self.forget()
         split = [_spread(text).split(" ") for text in texts]
         asked = self.known.__getitem__
         found = [list(map(asked, words)) for words in split]
@@ -132,19 +139,25 @@ class _Ids:
 _encoders: dict[str, _Ids] = {}
 
 
-def encoder(path: str = TOKENIZER) -> _Ids:
-    """The process's encoder for a tokenizer file."""
-    if path not in _encoders:
-        _encoders[path] = _Ids(path)
-    return _encoders[path]
+def encoder(tokenizer: str = TOKENIZER) -> _Ids:
+    """The process's encoder for a tokenizer file, or a public tokenizer's name."""
+    if tokenizer not in _encoders:
+        path = tokenizer
+        if not os.path.exists(path):
+            import public_tokenizers
+
+            path = public_tokenizers.path(tokenizer)
+        _encoders[tokenizer] = _Ids(path)
+    return _encoders[tokenizer]
 
 
-PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, pack_group int"
+PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, pack_group long"
 
 
-def _cut(path: str, length: int):
+def _cut(tokenizer: str, length: int):
     def pieces(batches):
-        encode = encoder(path).encode
+        ids_of = encoder(tokenizer)
+        encode = ids_of.encode
         end = array("I", [END_ID]).tobytes()
         for whole in batches:
             lo = 0
@@ -161,7 +174,7 @@ def _cut(path: str, length: int):
                         at.append(k), start.append(s), parts.append(data[4 * s : 4 * (s + length)]), total.append(n)
                 rows, sizes = pa.array(at, pa.int32()), pa.array([len(p) // 4 for p in parts], pa.int64())
                 yield pa.RecordBatch.from_arrays([ids.take(rows), pa.array(start, pa.int64()), sizes, pa.array(parts, pa.binary()), pa.array(total, pa.int64()), groups.take(rows)], ["doc_id", "start", "length", "ids", "doc_tokens", "pack_group"])
-        pa.default_memory_pool().release_unused()
+        ids_of.forget()
 
     return pieces
 
@@ -195,20 +208,12 @@ def first_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray
 
 def _pack(length: int):
     def pack(batches):
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        table = pa.Table.from_batches(held)
-        table = table.sort_by([("pack_group", "ascending"), ("doc_id", "ascending"), ("start", "ascending")])
-        groups, sizes = table["pack_group"].to_numpy(), table["length"].to_numpy()
-        sequence, offset = np.zeros(len(table), np.int64), np.zeros(len(table), np.int64)
-        for group in np.unique(groups):
-            rows = np.flatnonzero(groups == group)
-            bins, offset[rows] = first_fit_decreasing(sizes[rows], length)
-            sequence[rows] = (np.int64(group) << 32) + bins
-        table = table.drop_columns(["pack_group"]).append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
-        yield from table.to_batches(max_chunksize=2048)
-        pa.default_memory_pool().release_unused()
+        for table in groups(batches, "pack_group"):
+            sizes = table["length"].to_numpy()
+            bins, offset = first_fit_decreasing(sizes, length)
+            sequence = (table["pack_group"].to_numpy() << 32) + bins
+            packed = table.drop_columns(["pack_group"]).append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
+            yield from packed.to_batches(max_chunksize=2048)
 
     return pack
 
@@ -223,12 +228,14 @@ def pack_documents(documents: DataFrame, length: int = LENGTH, tokenizer: str =
     doc_id that holds many rows is dealt to several groups.
     Further columns are not read. An empty table gives an empty result."""
     text = F.col("text").cast("string")
-    rows, chars = documents.agg(F.count("*"), F.sum(F.length(text))).first()
-    groups = max(1, -(-(chars or 0) // group_chars))
+    rows, chars = documents.agg(F.count("*"), F.sum(F.length(text).cast("long"))).first()
+    n_groups = max(1, -(-(chars or 0) // group_chars))
     named = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    dealt = scatter(named, "doc_id", groups, rows, seed, "pack_group")
-    pieces = dealt.mapInArrow(_cut(tokenizer, length), PIECES).repartitionById(groups, F.col("pack_group"))
-    return pieces.mapInArrow(_pack(length), "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    dealt = scatter(named, "doc_id", n_groups, rows, seed, "pack_group")
+    pieces = dealt.mapInArrow(tidy(_cut(tokenizer, length)), PIECES)
+    # a task packs its groups one after another, so that their number bounds nothing
+    placed = pieces.repartitionById(min(n_groups, MAX_TASKS), (F.col("pack_group") % min(n_groups, MAX_TASKS)).cast("int")).sortWithinPartitions("pack_group", "doc_id", "start")
+    return placed.mapInArrow(tidy(_pack(length)), "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
 
 
 def sequences(packed: DataFrame, length: int = LENGTH, pad: int = 0) -> DataFrame:
