@@ -24,8 +24,8 @@ TOKENIZER = "word_bpe_49k.json"
 END_ID, LENGTH = 2, 4096
 #: Text characters in a group, on average.
 GROUP_CHARS = 8 << 20
-#: Bytes of words and ids that a Python worker remembers within a task, about.
-REMEMBERED_BYTES = 64 << 20
+#: Bytes of words and ids that a Python worker remembers within a task, at most about.
+REMEMBERED_BYTES = 160 << 20
 #: Documents encoded together.
 ROWS_AT_ONCE = 256
 #: Tasks that pack at most, each group after group: map tasks times these are the
@@ -90,7 +90,7 @@ class _Ids:
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.known = _Known()
         self.parts: dict[str, bytes] = {}
-        self.held = 0
+        self.held, self.most = 0, REMEMBERED_BYTES
 
     def forget(self) -> None:
         self.known.clear(), self.parts.clear()
@@ -122,7 +122,7 @@ class _Ids:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text; new words of all texts are learnt together."""
-        if self.held > REMEMBERED_BYTES:
+        if self.held > self.most:
             self.forget()
         split = [_spread(text).split(" ") for text in texts]
         asked = self.known.__getitem__
@@ -154,9 +154,10 @@ def encoder(tokenizer: str = TOKENIZER) -> _Ids:
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, pack_group long"
 
 
-def _cut(tokenizer: str, length: int):
+def _cut(tokenizer: str, length: int, remembered: int):
     def pieces(batches):
         ids_of = encoder(tokenizer)
+        ids_of.most = remembered
         encode = ids_of.encode
         end = array("I", [END_ID]).tobytes()
         for whole in batches:
@@ -218,7 +219,7 @@ def _pack(length: int):
     return pack
 
 
-def pack_documents(documents: DataFrame, length: int = LENGTH, tokenizer: str = TOKENIZER, group_chars: int = GROUP_CHARS, seed: int = SEED) -> DataFrame:
+def pack_documents(documents: DataFrame, length: int = LENGTH, tokenizer: str = TOKENIZER, group_chars: int = GROUP_CHARS, seed: int = SEED, remembered: int = REMEMBERED_BYTES) -> DataFrame:
     """Pieces of all documents, packed: doc_id, start (ids of its document before
     it), length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id and
     offset in the sequence. Sequences hold at most `length` ids and are gapless.
@@ -226,13 +227,14 @@ def pack_documents(documents: DataFrame, length: int = LENGTH, tokenizer: str =
     A document's ids are the tokenizer's, then END_ID: a null or empty text gives
     one piece of END_ID alone. Repeated rows are packed as often as they stand; a
     doc_id that holds many rows is dealt to several groups.
-    Further columns are not read. An empty table gives an empty result."""
+    Further columns are not read. An empty table gives an empty result. A worker
+    remembers the ids of about `remembered` bytes of words: fewer cost time, not rows."""
     text = F.col("text").cast("string")
     rows, chars = documents.agg(F.count("*"), F.sum(F.length(text).cast("long"))).first()
     n_groups = max(1, -(-(chars or 0) // group_chars))
     named = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     dealt = scatter(named, "doc_id", n_groups, rows, seed, "pack_group")
-    pieces = dealt.mapInArrow(tidy(_cut(tokenizer, length)), PIECES)
+    pieces = dealt.mapInArrow(tidy(_cut(tokenizer, length, remembered)), PIECES)
     # a task packs its groups one after another, so that their number bounds nothing
     placed = pieces.repartitionById(min(n_groups, MAX_TASKS), (F.col("pack_group") % min(n_groups, MAX_TASKS)).cast("int")).sortWithinPartitions("pack_group", "doc_id", "start")
     return placed.mapInArrow(tidy(_pack(length)), "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
