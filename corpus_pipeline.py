@@ -37,7 +37,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 9: pieces of all documents in sequences of at most 4096 tokens."""
-    return pack_documents(docs)
+    return pack_documents(docs, remembered=64 << 20)  # executors still hold what earlier stages needed
 
 
 STAGES = [
