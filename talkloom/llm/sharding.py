@@ -10,35 +10,34 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._spark import scatter, stored
+from ._spark import groups, scatter, stored, tidy
 
 SEED = 20_240_607
 #: Text bytes a bucket holds on average; a task needs about three times that.
 BUCKET_BYTES = 64 << 20
-#: Rows handed back to Spark at once.
-BATCH_ROWS = 2048
+#: Tasks that shuffle at most, each bucket after bucket: map tasks times these are
+#: the blocks of the shuffle.
+MAX_TASKS = 20_000
+#: Text bytes handed back to Spark at once, or one row.
+BATCH_BYTES = 4 << 20
 
 
 def _fisher_yates(seed: int):
     def shuffle(batches):
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        table = pa.Table.from_batches(held)
-        buckets = table["__bucket"].to_numpy()
-        # arrival order differs from run to run: start from the order of the keys
-        start = pc.sort_indices(table.select(["__bucket", "__id", "__crc"]), [("__bucket", "ascending"), ("__id", "ascending"), ("__crc", "ascending")]).to_numpy()
-        for bucket in np.unique(buckets):
-            rows = start[buckets[start] == bucket]
-            np.random.default_rng([seed, int(bucket)]).shuffle(rows)
-            for at in range(0, len(rows), BATCH_ROWS):
-                some = rows[at : at + BATCH_ROWS]
-                out = table.take(pa.array(some)).drop_columns(["__id", "__crc"])
-                yield from out.append_column("__place", pa.array(np.arange(at, at + len(some)))).combine_chunks().to_batches()
+        # a bucket's rows come sorted, so that its order depends on the seed alone
+        for table in groups(batches, "__bucket"):
+            rows = np.arange(len(table))
+            np.random.default_rng([seed, table["__bucket"][0].as_py()]).shuffle(rows)
+            upto = np.cumsum(table["__size"].to_numpy()[rows])
+            at = 0
+            while at < len(rows):
+                end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + BATCH_BYTES, "right")))
+                out = table.take(pa.array(rows[at:end])).drop_columns(["__id", "__crc", "__size"])
+                yield from out.append_column("__place", pa.array(np.arange(at, end))).combine_chunks().to_batches()
+                at = end
 
     return shuffle
 
@@ -59,15 +58,15 @@ def shard_rows(table: DataFrame, shards: int = 16, key: str = "doc_id", text: st
     rows, total = table.agg(F.count("*"), F.sum(size.cast("long"))).first()
     n_buckets = max(1, -(-(total or 0) // bucket_bytes))
     scattered = scatter(table, key, n_buckets, rows, seed, "__bucket").withColumns(
-        {"__id": F.xxhash64(F.lit(seed + 1), F.col(key)), "__crc": F.crc32(F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary"))}
+        {"__id": F.xxhash64(F.lit(seed + 1), F.col(key)), "__crc": F.crc32(F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")), "__size": size.cast("long")}
     )
-    schema = scattered.drop("__id", "__crc").withColumn("__place", F.lit(0).cast("long")).schema
-    written = stored(scattered.repartitionById(n_buckets, F.col("__bucket")).mapInArrow(_fisher_yates(seed), schema), "shards")
-    # one number a bucket: 8 bytes for each bucket_bytes of text
-    counts = dict(written.groupBy("__bucket").count().collect())
-    starts = np.concatenate([[0], np.cumsum([counts.get(b, 0) for b in range(n_buckets)])])
-    spark = table.sparkSession
-    first = spark.createDataFrame([(b, int(starts[b])) for b in range(n_buckets)], "__bucket int, __first long")
+    schema = scattered.drop("__id", "__crc", "__size").withColumn("__place", F.lit(0).cast("long")).schema
+    tasks = min(n_buckets, MAX_TASKS)
+    dealt = scattered.repartitionById(tasks, (F.col("__bucket") % tasks).cast("int")).sortWithinPartitions("__bucket", "__id", "__crc")
+    written = stored(dealt.mapInArrow(tidy(_fisher_yates(seed)), schema), "shards")
+    # one row a bucket: 16 bytes for each bucket_bytes of text
+    before = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    first = written.groupBy("__bucket").agg(F.count("*").alias("__n")).select("__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__first"))
     place = F.col("__first") + F.col("__place")
     shard = F.expr(f"((__at + 1) * {shards} - 1) div {max(rows, 1)}")
     return (
