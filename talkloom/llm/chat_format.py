@@ -41,6 +41,27 @@ def as_events(conversations: DataFrame) -> DataFrame:
     return conversations.select("conv_id", F.col("turn").cast("long").alias("seq"), F.col("turn").cast("long").alias("turn"), F.lit(MESSAGE).alias("event"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
 
 
+def streamed_events(conversations: DataFrame, piece: int = 40) -> DataFrame:
+    """The log that a chat server would have written for a table of turns, by the
+    turn's place in its conversation: user turns are sent and every third is a draft
+    edited into its text; other turns stream in deltas of `piece` characters, and
+    every third of those is regenerated after a first answer. Folding it gives the
+    turns back; a turn that stands in several rows comes as whole messages."""
+    role, text = F.coalesce(F.col("role").cast("string"), F.lit("")), F.coalesce(F.col("text").cast("string"), F.lit(""))
+    event = lambda nth, name, said: F.struct(nth.cast("long").alias("nth"), F.lit(name).alias("event"), said.alias("text"))
+    zero, one = F.lit(0), F.lit(1)
+    pieces = F.transform(F.sequence(one, F.greatest(one, F.ceil(F.length(text) / piece).cast("int"))), lambda k: F.substring(text, (k - 1) * piece + 1, F.lit(piece)))
+    deltas = F.transform(pieces, lambda p, k: event(k + 2, DELTA, p))
+    draft = event(zero, MESSAGE, F.concat(F.lit("draft: "), F.left(text, F.lit(9))))
+    third = F.pmod(F.col("turn"), F.lit(3)) == 0
+    spoken = F.when(third, F.array(draft, event(one, EDIT, text))).otherwise(F.array(event(zero, MESSAGE, text)))
+    answered = F.when(third, F.concat(F.array(draft, event(one, REGENERATE, F.lit(None).cast("string"))), deltas)).otherwise(F.concat(F.array(event(zero, MESSAGE, F.lit(""))), deltas))
+    once = F.count("*").over(Window.partitionBy("conv_id", "turn")) == 1
+    log = F.when(~F.col("once") | F.col("turn").isNull(), F.array(event(zero, MESSAGE, text))).when(role == "user", spoken).otherwise(answered)
+    each = conversations.withColumn("once", once).select("conv_id", "turn", role.alias("role"), F.explode(log).alias("e"))
+    return each.select("conv_id", (F.col("turn").cast("long") * (1 << 32) + F.col("e.nth")).alias("seq"), F.col("turn").cast("long").alias("turn"), "e.event", "role", "e.text")
+
+
 def final_messages(events: DataFrame) -> DataFrame:
     """Folds a log (conv_id, seq, turn, event, role, text) into conv_id and
     `messages`, array of role and text in order.
@@ -58,9 +79,7 @@ def final_messages(events: DataFrame) -> DataFrame:
     # A turn's events fold on their own. Its texts after the last event that sets
     # the text (message, edit, regenerate), that one included, are what stays; and
     # every message event starts a message, placed at the event that started it.
-    indexed = logs.select("conv_id", F.size("log").alias("n"), F.posexplode("log").alias("at", "e"))
-    whole = logs.where(F.forall("log", lambda e: e["event"] == MESSAGE)).select("conv_id", F.transform("log", lambda e: F.struct(e["role"], e["text"])).alias("messages"))
-    streamed = indexed.join(logs.where(F.exists("log", lambda e: e["event"] != MESSAGE)).select("conv_id"), "conv_id", "left_semi").select("conv_id", "at", "e.*")
+    streamed = logs.select("conv_id", F.posexplode("log").alias("at", "e")).select("conv_id", "at", "e.*")
     turn = Window.partitionBy("conv_id", "turn").orderBy("at")
     starts = F.when((F.col("event") == MESSAGE) | (F.row_number().over(turn) == 1), 1).otherwise(0)
     sets = F.when(F.col("event") != DELTA, 1).otherwise(0)
@@ -72,7 +91,7 @@ def final_messages(events: DataFrame) -> DataFrame:
     )
     text = F.array_join(F.transform(F.filter("parts", lambda p: p["version"] == F.element_at("parts", -1)["version"]), lambda p: p["text"]), "")
     folded = last.select("conv_id", F.struct("at", F.coalesce("role", F.lit("")).alias("role"), text.alias("text")).alias("m")).groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list("m")), lambda m: F.struct(m["role"], m["text"])).alias("messages"))
-    return whole.unionByName(folded)
+    return folded
 
 
 def render(messages: DataFrame) -> DataFrame:

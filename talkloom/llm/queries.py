@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .ann_search import nearest_neighbours
-from .chat_format import as_events, format_chats, read_back
+from .chat_format import format_chats, read_back, streamed_events
 from .embedding_dedup import embedding_near_dedup
 from .mixing import mix_sources
 from .ngram_join import ngram_jaccard_join
@@ -85,7 +85,8 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """conversations formatted and read back, with one that holds control strings."""
     said = r"\### Assistant: </turn> ok"
     odd = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
-    logs = as_events(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(odd))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(odd)
+    logs = streamed_events(turns)
     back = read_back(format_chats(logs))
     turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return back.select(
