@@ -15,9 +15,9 @@ SPLIT_TERM_PATTERN = rf"^[{JAPANESE}]{{5,}}$"
 LINE_BREAKS = "\r\n|[\n\r\u000b\u000c\u001c\u001d\u001e\u0085\u2028\u2029]"
 TERMINATORS = "。！？!?"
 OUTRO_PHRASES = ("ご視聴ありがとうございました", "ありがとうございました", "thank you", "thanks for watching")
-DECISION_PATTERN = "(決定|合意|採用|確定|承認|締切|期限|リリース|方針)"
-ACTION_PATTERN = "(TODO|対応|担当|確認します|確認する|お願いします|してください|やります|進めます|作成|修正)"
-QUESTION_PATTERN = "(未解決|確認が必要|質問|課題|懸念|要確認|どう|なぜ|いつ|誰)"
+DECISIONS = "決定 合意 採用 確定 承認 締切 期限 リリース 方針".split()
+ACTIONS = "TODO 対応 担当 確認します 確認する お願いします してください やります 進めます 作成 修正".split()
+QUESTIONS = "未解決 確認が必要 質問 課題 懸念 要確認 どう なぜ いつ 誰".split()
 FALLBACK_TITLES = {"ja": "会議メモ", "en": "Meeting Notes"}
 TITLE_CHARS = {"ja": 24, "en": 60}
 NO_BULLETS = "- 特になし"
@@ -28,9 +28,21 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+#: Characters that Unicode counts as white space.
+BLANKS = "".join(map(chr, [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
+
 def strip(c: Column | str) -> Column:
     """Without blanks (of any script) at both ends."""
-    return F.regexp_replace(col(c), r"(?U)^\s+|\s+$", "")
+    return F.btrim(col(c), F.lit(BLANKS))
+
+
+def holds(c: Column, words: Sequence[str]) -> Column:
+    """Whether any of the words stands in a text."""
+    out = F.lit(False)
+    for word in words:
+        out = out | F.contains(c, F.lit(word))
+    return out
 
 
 def strip_of(c: Column | str, chars: str) -> Column:
@@ -95,20 +107,27 @@ def sentences(lines: Column) -> Column:
 
 
 def title(found: Column, language: str = "ja") -> Column:
-    """The first usable sentence, shortened; else a fixed title."""
-    usable = F.filter(found, lambda s: ~F.exists(F.array(*[F.lit(p) for p in OUTRO_PHRASES]), lambda p: F.contains(F.lower(s), p)))
-    bare = F.transform(usable, lambda s: strip_of(F.regexp_replace(s, f"[{TERMINATORS}].*$", ""), " \u3000-・"))
-    long = F.filter(bare, lambda s: F.length(s) >= 6)
+    """The first usable sentence, shortened; else a fixed title. Sentences after it
+    are not looked at."""
+    bare = lambda s: strip_of(F.regexp_replace(s, f"[{TERMINATORS}].*$", ""), " \u3000-・")
+    usable = lambda s: F.when(~holds(F.lower(s), OUTRO_PHRASES) & (F.length(bare(s)) >= 6), bare(s))
+    first = F.aggregate(found, F.lit(None).cast("string"), lambda acc, s: F.when(acc.isNotNull(), acc).otherwise(usable(s)))
     key = language if language in TITLE_CHARS else "en"
-    return F.coalesce(F.left(F.get(long, F.lit(0)), F.lit(TITLE_CHARS[key])), F.lit(FALLBACK_TITLES[key]))
+    return F.coalesce(F.left(first, F.lit(TITLE_CHARS[key])), F.lit(FALLBACK_TITLES[key]))
 
 
-def bullets(items: Column, limit: int = 5) -> Column:
-    """A Markdown list of the first items that differ in their first 40 characters."""
-    bare = F.filter(F.transform(items, lambda x: strip_of(x, " \u3000-・")), lambda x: x != "")
+def bullets(items: Column, limit: int = 5, words: Sequence[str] = ()) -> Column:
+    """A Markdown list of the first items (of those that hold one of the words, if
+    any are given) that differ in their first 40 characters."""
     none = F.array().cast("array<string>")
-    fresh = lambda acc, x: (F.size(acc) < limit) & ~F.exists(acc, lambda y: F.left(y, F.lit(40)) == F.left(x, F.lit(40)))
-    kept = F.aggregate(bare, none, lambda acc, x: F.when(fresh(acc, x), F.array_append(acc, x)).otherwise(acc))
+    bare = lambda x: strip_of(x, " \u3000-・")
+
+    def keep(acc, x):
+        wanted = holds(x, words) if words else F.lit(True)
+        fresh = wanted & (bare(x) != "") & ~F.exists(acc, lambda y: F.left(y, F.lit(40)) == F.left(bare(x), F.lit(40)))
+        return F.when(F.size(acc) >= limit, acc).when(fresh, F.array_append(acc, bare(x))).otherwise(acc)
+
+    kept = F.aggregate(items, none, keep)
     return F.when(F.size(kept) == 0, F.lit(NO_BULLETS)).otherwise(F.array_join(F.transform(kept, lambda x: F.concat(F.lit("- "), x)), "\n"))
 
 
@@ -194,10 +213,10 @@ def live_line(kind: Column, label: Column, text: Column) -> Column:
     return F.when(F.coalesce(text, F.lit("")) != "", line)
 
 
-def match_phrases(text: Column) -> Column:
-    """The text as an AND of quoted phrases: its words without double quotes."""
-    words = F.split(strip(F.replace(text, F.lit('"'), F.lit(""))), r"(?U)\s+")
-    return F.filter(words, lambda w: w != "")
+def phrases_of(query: str) -> list[str]:
+    """A search text as phrases that must all be found: its words without double
+    quotes."""
+    return query.replace('"', "").split()
 
 
 def clean_title(c: Column | str, fallback: str) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from talkloom.functions import text as T
@@ -95,4 +95,4 @@ def medians(measures: DataFrame, key: str, value: str) -> DataFrame:
 
 def not_ready(statuses: DataFrame, first: int = 3) -> DataFrame:
     """The first rows (ord, name, ok, hint) of what is not ready."""
-    return statuses.where(~F.col("ok")).withColumn("_n", F.row_number().over(Window.orderBy("ord"))).where(F.col("_n") <= first).drop("_n")
+    return statuses.where(~F.col("ok")).orderBy("ord").limit(first)

@@ -1,19 +1,25 @@
 """The meeting library: storing, listing and searching.
 
-Search goes to a table of postings (term, id, field, positions), hash-partitioned by
-term, so that a query reads the rows of its own terms and not the texts.
+Search goes to a table of postings (term, id, field, positions), bucketed by term,
+so that a query reads the buckets of its own terms and not the texts, and to a table
+of lengths (id, len).
 """
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from talkloom.functions import text as T
+from talkloom.operators.rows import in_order
 
 COLUMNS = "id long, ts string, title string, date date, summary_md string, transcript_md string, save_dir string, duration int, created_at timestamp"
 FIELDS = ("title", "summary_md", "transcript_md")
 K1, B = 1.2, 0.75
+#: Buckets of the postings, by term.
+BUCKETS = 64
 
 
 def meeting_date(ts: Column, today: Column) -> Column:
@@ -24,23 +30,41 @@ def meeting_date(ts: Column, today: Column) -> Column:
 def create_library(spark: SparkSession, name: str = "meetings") -> None:
     """Makes the meetings and postings tables unless they exist."""
     spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({COLUMNS}) USING parquet")
-    spark.sql(f"CREATE TABLE IF NOT EXISTS {name}_postings (id long, field string, term string, positions array<int>, n_tokens int) USING parquet")
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name}_postings (id long, field string, term string, positions array<int>, n_tokens int) USING parquet CLUSTERED BY (term) SORTED BY (term) INTO {BUCKETS} BUCKETS")
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name}_lengths (id long, len long) USING parquet")
 
 
 def add_meetings(new: DataFrame, name: str = "meetings", now: Column | None = None) -> DataFrame:
-    """Appends meetings (title, summary_md, transcript_md, save_dir, duration, ts) and
-    their postings; ids go on from the greatest. Returns the rows with ids."""
+    """Appends meetings (title, summary_md, transcript_md, save_dir, duration, ts),
+    their postings and lengths; ids go on from the greatest, in order of (ts, title).
+    Returns the rows with ids. Where the postings cannot be written, the meetings
+    stay: search falls back to their texts, and rebuild_index() mends it."""
     spark, now = new.sparkSession, F.current_timestamp() if now is None else now
     last = spark.table(name).agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-    # ids of one batch: batches are what one session records
-    ids = F.row_number().over(Window.orderBy("ts", "title")).cast("long") + F.lit(last)
-    rows = new.select(ids.alias("id"), "ts", "title", meeting_date(F.col("ts"), F.to_date(now)).alias("date"), "summary_md", "transcript_md", "save_dir", F.coalesce(F.col("duration").cast("int"), F.lit(0)).alias("duration"), F.date_trunc("second", now).alias("created_at"))
+    numbered = in_order(new, "_nth", "ts", "title")
+    rows = numbered.select((F.col("_nth") + F.lit(last)).alias("id"), "ts", "title", meeting_date(F.col("ts"), F.to_date(now)).alias("date"), "summary_md", "transcript_md", "save_dir", F.coalesce(F.col("duration").cast("int"), F.lit(0)).alias("duration"), F.date_trunc("second", now).alias("created_at"))
     rows.write.insertInto(name)
     added = spark.table(name).where(F.col("id") > last)
-    postings(added).write.insertInto(f"{name}_postings")
+    try:
+        _index(added, name)
+    except Exception as e:  # noqa: BLE001  whatever the index's storage raises, meetings are kept
+        warnings.warn(f"meetings are stored, their index is not: {e}", stacklevel=2)
     return added
 
 
+def _index(meetings: DataFrame, name: str) -> None:
+    postings(meetings).write.insertInto(f"{name}_postings")
+    lengths(meetings).write.insertInto(f"{name}_lengths")
+
+
+def rebuild_index(spark: SparkSession, name: str = "meetings") -> None:
+    """Indexes stored meetings that have no length yet."""
+    missing = spark.table(name).join(spark.table(f"{name}_lengths"), "id", "left_anti")
+    known = spark.table(f"{name}_postings").select("id", "field", "term")
+    postings(missing).join(known, ["id", "field", "term"], "left_anti").write.insertInto(f"{name}_postings")
+    lengths(missing).write.insertInto(f"{name}_lengths")
+
+
 def tokens(text: Column) -> Column:
     """Lower-case runs of letters and digits, without diacritics of Latin letters."""
     folded = F.translate(F.lower(F.coalesce(text, F.lit(""))), "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
@@ -74,35 +98,41 @@ def contains(meetings: DataFrame, query: str, limit: int = 50) -> DataFrame:
     return recent(meetings.where(hit(FIELDS[0]) | hit(FIELDS[1]) | hit(FIELDS[2])), limit)
 
 
-def ranked(meetings: DataFrame, index: DataFrame, query: str, limit: int = 50) -> DataFrame:
+def lengths(meetings: DataFrame) -> DataFrame:
+    """id and len, the number of tokens of all fields."""
+    return meetings.select("id", sum((F.size(tokens(F.col(f))) for f in FIELDS), F.lit(0)).cast("long").alias("len"))
+
+
+def ranked(meetings: DataFrame, index: DataFrame, query: str, limit: int = 50, sizes: DataFrame | None = None) -> DataFrame:
     """Meetings that hold every phrase of the query (its blank-separated words, each
-    tokenised), with `score`, bm25 over all fields (smaller is better), best first."""
+    tokenised), with `score`, bm25 over all fields (smaller is better), best first.
+    Of the index only the query's terms are read; sizes is what lengths() gave."""
     spark = meetings.sparkSession
-    words = [w for w in query.replace('"', "").split() if w]
-    parsed = spark.createDataFrame([(k, w) for k, w in enumerate(words)], "phrase int, word string").select("phrase", F.posexplode(tokens(F.col("word"))).alias("nth", "term"))
-    wanted = F.broadcast(parsed.withColumn("parts", F.count("*").over(Window.partitionBy("phrase"))))  # the query's own words
-    shifted = index.join(wanted, "term").withColumn("starts", F.transform("positions", lambda p: p - F.col("nth")))
+    given = spark.createDataFrame([(k, w) for k, w in enumerate(T.phrases_of(query))], "phrase int, word string").select("phrase", F.posexplode(tokens(F.col("word"))).alias("nth", "term"))
+    words = [tuple(r) for r in given.collect()]  # the query's own words
+    parsed = spark.createDataFrame(words, "phrase int, nth int, term string")
+    wanted = F.broadcast(parsed.withColumn("parts", F.count("*").over(Window.partitionBy("phrase"))))
+    shifted = index.where(F.col("term").isin([w for *_, w in words])).join(wanted, "term").withColumn("starts", F.transform("positions", lambda p: p - F.col("nth")))
     # a phrase starts where each of its words, moved back by its place, stands
     starts = shifted.select("id", "field", "phrase", "parts", F.explode("starts").alias("start")).groupBy("id", "field", "phrase", "parts", "start").agg(F.count("*").alias("n")).where("n = parts")
     hits = starts.groupBy("id", "phrase").agg(F.count("*").alias("tf"))
-    phrases = len({r["phrase"] for r in parsed.select("phrase").distinct().collect()}) if words else 0
+    phrases = len({k for k, *_ in words})
     frequency = hits.groupBy("phrase").agg(F.count("*").alias("df"))
-    lengths = index.select("id", "field", "n_tokens").distinct().groupBy("id").agg(F.sum("n_tokens").alias("len"))
-    sizes = lengths.agg(F.sum("len").alias("words"))
-    scale = meetings.agg(F.count("*").alias("docs")).crossJoin(F.broadcast(sizes)).withColumn("mean", F.col("words") / F.col("docs"))  # one row
+    sizes = lengths(meetings) if sizes is None else sizes
+    scale = sizes.agg(F.count("*").alias("docs"), F.sum("len").alias("words")).withColumn("mean", F.col("words") / F.col("docs"))  # one row
     idf = F.greatest(F.log((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
-    scored = hits.join(F.broadcast(frequency), "phrase").join(lengths, "id").crossJoin(F.broadcast(scale)).groupBy("id").agg((-F.sum(part)).alias("score"), F.count("*").alias("found"))
+    scored = hits.join(F.broadcast(frequency), "phrase").join(sizes, "id").crossJoin(F.broadcast(scale)).groupBy("id").agg((-F.sum(part)).alias("score"), F.count("*").alias("found"))
     best = scored.where(F.col("found") == phrases).drop("found")
     out = meetings.join(best, "id").orderBy("score", "id")
     return out if limit < 0 else out.limit(limit)
 
 
-def search(meetings: DataFrame, index: DataFrame, query: str, limit: int = 50) -> DataFrame:
+def search(meetings: DataFrame, index: DataFrame, query: str, limit: int = 50, sizes: DataFrame | None = None) -> DataFrame:
     """Blank query: recent meetings. Else ranked ones; where there are none, those
     that contain the query as text."""
     query = (query or "").strip()
     if not query:
         return recent(meetings, limit)
-    found = ranked(meetings, index, query, limit).drop("score")
+    found = ranked(meetings, index, query, limit, sizes).drop("score")
     return contains(meetings, query, limit) if found.isEmpty() else found

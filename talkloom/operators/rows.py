@@ -109,3 +109,14 @@ def newly_present(snapshots: DataFrame, key: str, at: str, member: str) -> DataF
 def first_of_each(df: DataFrame, value: str, order: str, *keys: str) -> DataFrame:
     """Distinct values of each key, each at its first place."""
     return df.groupBy(*keys, value).agg(F.min(order).alias(order))
+
+
+def in_order(df: DataFrame, into: str, *order: str) -> DataFrame:
+    """Adds `into`, the place from 1 in the given order. Rows are range-partitioned
+    and numbered within partitions; only one count a partition meets in one task."""
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_row", F.monotonically_increasing_id())
+    part, row = F.shiftright("_row", 33), F.col("_row").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return placed.withColumn("_part", part).join(F.broadcast(starts), "_part").withColumn(into, F.col("_before") + row + 1).drop("_row", "_part", "_before")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,11 +52,11 @@ def corrected_rows(spark, sf):
 
 
 @query(
-    "WITH e AS (SELECT conv_id AS meeting_id, turn AS ord, substr(text, 1, 2) AS text, (conv_id * 7 + turn * 13) % 100 / 100.0::DOUBLE AS c FROM conversations) "
+    f"WITH {B.SAID_TWICE_SQL}, e AS (SELECT conv_id AS meeting_id, turn AS ord, text, (conv_id * 7 + turn * 13) % 100 / 100.0::DOUBLE AS c FROM d) "
     "SELECT meeting_id, ord, text, first_value(c) OVER (PARTITION BY meeting_id, text ORDER BY ord) AS confidence FROM e"
 )
 def first_match_confidence(spark, sf):
-    events = B.table(spark, sf, "conversations").selectExpr("conv_id AS meeting_id", "turn AS ord", "substr(text, 1, 2) AS text", "(conv_id * 7 + turn * 13) % 100 / 100D AS confidence")
+    events = B.said_twice(spark, sf).selectExpr("conv_id AS meeting_id", "turn AS ord", "text", "(conv_id * 7 + turn * 13) % 100 / 100D AS confidence")
     return R.with_first_confidence(events)
 
 
@@ -83,13 +82,14 @@ def rows_without_outros(spark, sf):
 
 
 @query(
-    f"WITH {B.ROWS_SQL}, s AS (SELECT meeting_id, ord, st, en, label, left(txt, 1) AS txt FROM r), "
+    f"WITH {B.ROWS_SQL}, s AS (SELECT meeting_id, 2 * ord + k AS ord, st, en + k * (1 - meeting_id % 3) AS en, label, txt FROM r, (VALUES (0), (1)) v(k)), "
     "a AS (SELECT *, row_number() OVER w AS place, CASE WHEN lag(label) OVER w = label AND lag(txt) OVER w = txt THEN 0 ELSE 1 END AS fresh FROM s WINDOW w AS (PARTITION BY meeting_id ORDER BY st, label, txt, ord)), "
     "i AS (SELECT *, sum(fresh) OVER (PARTITION BY meeting_id ORDER BY place) AS island FROM a) "
     "SELECT meeting_id, ord, st, en, label, txt FROM i QUALIFY row_number() OVER (PARTITION BY meeting_id, island ORDER BY en DESC, place) = 1"
 )
 def rows_without_adjacent_repeats(spark, sf):
-    return R.without_adjacent_repeats(B.rows(spark, sf).withColumn("txt", F.left("txt", F.lit(1))))
+    twice = B.rows(spark, sf).withColumn("k", F.explode(F.array(F.lit(0), F.lit(1))))
+    return R.without_adjacent_repeats(twice.withColumns({"ord": 2 * F.col("ord") + F.col("k"), "en": F.col("en") + F.col("k") * (1 - F.col("meeting_id") % 3)}).drop("k"))
 
 
 @query(f"WITH {B.ROWS_SQL} SELECT meeting_id, ord, txt FROM r QUALIFY row_number() OVER (PARTITION BY meeting_id ORDER BY ord DESC) <= 3")
@@ -128,9 +128,9 @@ def newly_present_members(spark, sf):
     return R.newly_present(s, "host", "tick", "member")
 
 
-@query("SELECT conv_id AS meeting_id, left(text, 2) AS v, min(turn) AS ord FROM conversations GROUP BY ALL")
+@query(f"WITH {B.SAID_TWICE_SQL} SELECT conv_id AS meeting_id, text AS v, min(turn) AS ord FROM d GROUP BY ALL")
 def ordered_distinct(spark, sf):
-    df = B.table(spark, sf, "conversations").select(F.col("conv_id").alias("meeting_id"), F.left("text", F.lit(2)).alias("v"), F.col("turn").alias("ord"))
+    df = B.said_twice(spark, sf).select(F.col("conv_id").alias("meeting_id"), F.col("text").alias("v"), F.col("turn").alias("ord"))
     return R.first_of_each(df, "v", "ord", "meeting_id")
 
 
@@ -200,8 +200,9 @@ def quantised_samples(spark, sf):
     "SELECT meeting_id, label, CAST(n AS INTEGER) AS n, round(list_sum(x[:n]), 5) AS total FROM n"
 )
 def aligned_channels(spark, sf):
-    whole = B.blocks(spark, sf).groupBy("meeting_id", "label").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("frame_ix", "samples"))), lambda p: p["samples"])).alias("samples"))
-    return channels.aligned(whole).select("meeting_id", "label", F.size("samples").alias("n"), F.round(F.aggregate("samples", F.lit(0.0), lambda s, x: s + x), 5).alias("total"))
+    cut = channels.aligned_blocks(B.blocks(spark, sf))
+    total = F.aggregate("samples", F.lit(0.0), lambda s, x: s + x)
+    return cut.groupBy("meeting_id", "label").agg(F.sum(F.size("samples")).cast("int").alias("n"), F.round(F.sum(total), 5).alias("total"))
 
 
 # --- speakers -----------------------------------------------------------------------
@@ -235,24 +236,29 @@ def diarization_accuracy(spark, sf):
 
 # --- quality ------------------------------------------------------------------------
 
+_JAPANESE = "文字起こしのライブを確認します"
+_LATIN = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_KANA = "あいうえおかきくけこさしすせそたちつてとなにぬねのはまみむめもやゆよらりるれろわをんアイウエオカキクケコサシ"
 _CANDIDATES = """SELECT conv_id AS meeting_id, role AS cand, CASE role WHEN 'user' THEN 1 WHEN 'assistant' THEN 2 ELSE 0 END AS cand_ord, role = 'system' AS live, turn AS ord, text AS txt,
  (conv_id * 7 + turn * 13) % 100 / 100.0{d} AS confidence FROM conversations"""
 
 
 def _candidates(spark, sf):
-    B.table(spark, sf, "conversations").createOrReplaceTempView("_conversations")
-    df = spark.sql(_CANDIDATES.format(d="D").replace("100.0D", "100D").replace("FROM conversations", "FROM _conversations"))
-    # Japanese text in most of each row, so that scores spread around the gate
-    japanese = F.concat(F.repeat(F.lit("文字起こしを確認します"), (F.length("txt") % 13).cast("int")), F.left("txt", (F.col("ord") + 2).cast("int")))
+    df = B.table(spark, sf, "conversations").selectExpr(
+        "conv_id AS meeting_id", "role AS cand", "CASE role WHEN 'user' THEN 1 WHEN 'assistant' THEN 2 ELSE 0 END AS cand_ord", "role = 'system' AS live",
+        "turn AS ord", "text AS txt", "(conv_id * 7 + turn * 13) % 100 / 100D AS confidence",
+    )
+    # Latin letters as Japanese ones in most rows, so that scores spread around the gate
+    japanese = F.concat(F.repeat(F.lit(_JAPANESE), (F.length("txt") % 13).cast("int")), F.when(F.col("ord") % 4 == 0, F.col("txt")).otherwise(F.translate("txt", _LATIN, _KANA)))
     return df.withColumn("txt", japanese).withColumn("st", F.col("ord").cast("double")).withColumn("label", F.col("cand"))
 
 
 _CAND_SQL = (
-    f"c AS (SELECT * REPLACE (repeat('文字起こしを確認します', CAST(length(txt) % 13 AS INTEGER)) || left(txt, ord + 2) AS txt) FROM ({_CANDIDATES.format(d='::DOUBLE')})), "
+    f"c AS (SELECT * REPLACE (repeat('{_JAPANESE}', CAST(length(txt) % 13 AS INTEGER)) || CASE WHEN ord % 4 = 0 THEN txt ELSE translate(txt, '{_LATIN}', '{_KANA}') END AS txt) FROM ({_CANDIDATES.format(d='::DOUBLE')})), "
     "g AS (SELECT meeting_id, cand, cand_ord, live, avg(confidence) AS conf, string_agg(txt, '。' ORDER BY ord) AS joined, string_agg(txt, ' ' ORDER BY ord) AS spaced FROM c GROUP BY ALL), "
     "q AS (SELECT *, least(length(joined), 120) / 8.0 + 20.0 * len(regexp_extract_all(joined, '[ぁ-んァ-ン一-龯]')) / greatest(1, length(joined)) "
     + "".join(f"+ 8.0 * CAST(contains(joined, '{t}') AS INTEGER) " for t in quality.DOMAIN_TERMS)
-    + "+ 35.0 * greatest(0, least(1, conf)) + CASE WHEN live THEN 4.0 ELSE 0.0 END - 2.5 * len(regexp_extract_all(joined, '[A-Za-z]')) - 1.2 * len(regexp_extract_all(joined, '[ッっー]{2,}')) "
+    + "+ 35.0 * greatest(0, least(1, conf)) + CASE WHEN live THEN 4.0 ELSE 0.0 END - 2.5 * len(regexp_extract_all(joined, '[A-Za-z]')) - 1.2 * (len(regexp_extract_all(joined, '[ッっー]{2,}')) + coalesce(list_sum(list_transform(regexp_extract_all(joined, '[ァ-ン]{2,}'), lambda x: length(x) // 2)), 0)) "
     "- CASE WHEN length(joined) < 6 THEN 12.0 ELSE 0.0 END - CASE WHEN NOT live AND conf <> 0 AND conf < 0.18 THEN 28.0 ELSE 0.0 END AS score FROM g)"
 )
 
@@ -283,10 +289,17 @@ def all_accepted_rows(spark, sf):
 # --- text ---------------------------------------------------------------------------
 
 
-@query("SELECT doc_id, list_distinct(regexp_extract_all(lower(left(text, 300)), '[A-Za-z0-9_]+|[一-龯ぁ-んァ-ンー]{2,}')) IS NOT NULL AS parsed, len(list_distinct(regexp_extract_all(lower(left(text, 300)), '[A-Za-z0-9_]+|[一-龯ぁ-んァ-ンー]{2,}'))) AS n_terms FROM documents")
+_JP = "一-龯ぁ-んァ-ンー"
+
+
+@query(
+    f"WITH t AS (SELECT doc_id, regexp_extract_all(lower(text || ' 文字起こしを確認します'), '[A-Za-z0-9_]+|[{_JP}]{{2,}}') AS t FROM documents), "
+    "g AS (SELECT doc_id, list_distinct(flatten(list_transform(t, lambda x: CASE WHEN regexp_full_match(x, '[" + _JP + "]{5,}') THEN list_concat([x], list_transform(range(1, length(x) - 2), lambda k: substr(x, CAST(k AS BIGINT), 4)), list_transform(range(1, length(x) - 1), lambda k: substr(x, CAST(k AS BIGINT), 3))) ELSE [x] END))) AS g FROM t) "
+    "SELECT doc_id, array_to_string(list_sort(g), ' ') AS terms, CAST(len(g) AS BIGINT) AS n_terms FROM g"
+)
 def query_terms(spark, sf):
-    terms = T.query_terms(F.left("text", F.lit(300)))
-    return B.table(spark, sf, "documents").select("doc_id", terms.isNotNull().alias("parsed"), F.size(terms).cast("long").alias("n_terms"))
+    terms = T.query_terms(F.concat("text", F.lit(" 文字起こしを確認します")))
+    return B.table(spark, sf, "documents").select("doc_id", F.array_join(F.array_sort(terms), " ").alias("terms"), F.size(terms).cast("long").alias("n_terms"))
 
 
 _SCORE_SQL = " + ".join(f"(length(lower(x)) - length(replace(lower(x), '{t}', '')))" for t in TERMS)
@@ -339,7 +352,11 @@ def excerpts(spark, sf):
     return B.table(spark, sf, "documents").select("doc_id", T.excerpt(F.col("text"), terms, F.lit(200)).alias("excerpt"))
 
 
-@query()
+@query(
+    "WITH RECURSIVE d AS (SELECT doc_id, length(text) AS whole, string_split(text, chr(10)) AS lines FROM documents), l AS (SELECT doc_id, whole, unnest(lines) AS x, generate_subscripts(lines, 1) AS i FROM d), "
+    "f AS (SELECT doc_id, whole, x, i, 0 AS k, length(x) + 1 AS size FROM l WHERE i = 1 UNION ALL SELECT l.doc_id, l.whole, l.x, l.i, CASE WHEN f.size + length(l.x) > 1000 THEN f.k + 1 ELSE f.k END, CASE WHEN f.size + length(l.x) > 1000 THEN length(l.x) + 1 ELSE f.size + length(l.x) + 1 END FROM f JOIN l ON l.doc_id = f.doc_id AND l.i = f.i + 1) "
+    "SELECT doc_id, CAST(CASE WHEN whole <= 1000 THEN 0 ELSE k END AS INTEGER) AS idx, string_agg(x, chr(10) ORDER BY i) AS chunk FROM f GROUP BY 1, 2"
+)
 def packed_chunks(spark, sf):
     return B.table(spark, sf, "documents").select("doc_id", F.posexplode(T.chunks("text", 1000)).alias("idx", "chunk"))
 
@@ -350,7 +367,31 @@ def chat_context(spark, sf):
     return retrieval.context(asked, 1000, 3000).select("doc_id", "context")
 
 
-@query()
+def _bullets_sql(items):
+    bare = f"list_filter(list_transform({items}, lambda x: trim(x, ' 　-・')), lambda x: x <> '')"
+    fresh = "list_filter(b, lambda x, i: list_position(h, left(x, 40)) = i)"
+    return f"(SELECT CASE WHEN len(u) = 0 THEN '{T.NO_BULLETS}' ELSE '- ' || array_to_string(u[:5], chr(10) || '- ') END FROM (SELECT {fresh} AS u FROM (SELECT b, list_transform(b, lambda x: left(x, 40)) AS h FROM (SELECT {bare} AS b))))"
+
+
+def _summary_sql(language):
+    """z (doc_id, text, title, body), of the tables that _SENT_SQL makes."""
+    names = summary.SECTIONS[language]
+    outro = " OR ".join(f"contains(lower(x), '{p}')" for p in T.OUTRO_PHRASES)
+    usable = f"list_filter(list_transform(list_filter(sent, lambda x: NOT ({outro})), lambda x: trim(regexp_replace(x, '[。！？!?].*$', ''), ' 　-・')), lambda x: length(x) >= 6)"
+    first = "trim(array_to_string(every[:3], '。'), ' ')"
+    stop = f" || CASE WHEN right({first}, 1) IN ('。', '！', '？', '!', '?') THEN '' ELSE '。' END" if language == "ja" else ""
+    overview = f"CASE WHEN {first} = '' THEN '{summary.SAVED_ONLY}' ELSE {first}{stop} END"
+    of = lambda words: _bullets_sql("list_filter(every, lambda x: " + " OR ".join(f"contains(x, '{w}')" for w in words) + ")")
+    bodies = [overview, _bullets_sql("every[:5]"), of(T.DECISIONS), of(T.ACTIONS), of(T.QUESTIONS)]
+    body = " || chr(10) || chr(10) || ".join(f"'## {n}' || chr(10) || {b}" for n, b in zip(names, bodies, strict=True))
+    title = f"coalesce(left({usable}[1], {T.TITLE_CHARS[language]}), '{T.FALLBACK_TITLES[language]}')"
+    return (
+        "y AS (SELECT doc_id, text, sent, CASE WHEN len(sent) = 0 THEN lines ELSE sent END AS every FROM s JOIN p USING (doc_id) JOIN documents USING (doc_id)), "
+        f"z AS (SELECT doc_id, text, CASE WHEN trim(text) = '' THEN '{summary.UNTITLED}' ELSE {title} END AS title, CASE WHEN trim(text) = '' THEN '{summary.NO_TRANSCRIPT}' ELSE {body} END AS body FROM y)"
+    )
+
+
+@query(f"WITH {_SENT_SQL}, {_summary_sql('en')} SELECT doc_id AS meeting_id, title, body FROM z")
 def fast_summaries(spark, sf):
     meetings = B.table(spark, sf, "documents").select(F.col("doc_id").alias("meeting_id"), F.col("text").alias("transcript"))
     return summary.fast_summary(meetings, "en").select("meeting_id", "title", "body")
@@ -364,25 +405,29 @@ def classified_lines(spark, sf):
     return documents.classified_lines(B.table(spark, sf, "documents").select("doc_id", "text"))
 
 
-@query("SELECT doc_id, left(regexp_replace(left(text, 90), '[\\\\/:*?\"<>|]', '_', 'g'), 60) AS name, replace(replace(replace(replace(replace(left(text, 90), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;') AS html, printf('%02d:%02d', n_chars // 60, n_chars % 60) AS clock FROM documents")
+@query("SELECT doc_id, left(regexp_replace(text, '[\\\\/:*?\"<>|]', '_', 'g'), 60) AS name, replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;') AS html, printf('%02d:%02d', n_chars // 60, n_chars % 60) AS clock FROM documents")
 def display_texts(spark, sf):
-    start = F.left("text", F.lit(90))
-    return B.table(spark, sf, "documents").select("doc_id", T.safe_file_name(start).alias("name"), T.escape_html(start).alias("html"), T.minutes_seconds(F.col("n_chars")).alias("clock"))
+    text = F.col("text")
+    return B.table(spark, sf, "documents").select("doc_id", T.safe_file_name(text).alias("name"), T.escape_html(text).alias("html"), T.minutes_seconds(F.col("n_chars")).alias("clock"))
 
 
 @query(
-    f"WITH {B.ROWS_SQL}, x AS (SELECT meeting_id, string_agg('**' || label || '**: ' || txt, chr(10) ORDER BY st, ord) AS t FROM r GROUP BY meeting_id) "
-    "SELECT meeting_id AS doc_id, length(t) > 20 AS has_transcript_section, true AS has_transcript_label, contains(t, 'the') OR contains(t, 'les') AS has_expected_text, contains(t, '**あなた**:') AS has_unexpected_mic_row, length(t) > 20 AND (contains(t, 'the') OR contains(t, 'les')) AND NOT contains(t, '**あなた**:') AS accepted FROM x"
+    f"WITH {B.ROWS_SQL}, {_OUTRO_SQL}, x AS (SELECT meeting_id, string_agg('**' || label || '**: ' || txt, chr(10) ORDER BY st, ord) AS t FROM o GROUP BY meeting_id), "
+    "v AS (SELECT meeting_id AS doc_id, length(t) > 20 AS has_transcript_section, regexp_matches(t, '(^|\\n)\\*\\*[^*]+\\*\\*:') AS has_transcript_label, contains(t, 'the') OR contains(t, 'les') AS has_expected_text, "
+    f"contains(t, '{documents.PLACEHOLDER}') AS has_placeholder, " + " OR ".join(f"contains(t, '{w}')" for w in documents.VERDICT_OUTROS) + " AS has_outro, regexp_matches(t, '(^|\\n)\\*\\*あなた\\*\\*:') AS has_unexpected_mic_row FROM x) "
+    "SELECT *, has_transcript_section AND has_transcript_label AND has_expected_text AND NOT has_placeholder AND NOT has_outro AND NOT has_unexpected_mic_row AS accepted FROM v"
 )
 def summary_verdicts(spark, sf):
-    text = R.transcript(B.rows(spark, sf)).select(F.col("meeting_id").alias("doc_id"), summary.document(F.lit("title"), F.lit("body"), F.col("transcript")).alias("text"))
-    return documents.verdicts(text, [["the", "les"]]).select("doc_id", "has_transcript_section", "has_transcript_label", "has_expected_text", "has_unexpected_mic_row", "accepted")
+    text = R.transcript(_with_outros(B.rows(spark, sf))).select(F.col("meeting_id").alias("doc_id"), summary.document(F.lit("title"), F.lit("body"), F.col("transcript")).alias("text"))
+    return documents.verdicts(text, [["the", "les"]]).select("doc_id", "has_transcript_section", "has_transcript_label", "has_expected_text", "has_placeholder", "has_outro", "has_unexpected_mic_row", "accepted")
 
 
-@query("SELECT DISTINCT 'documents/' || doc_id || CASE WHEN doc_id % 10 = 0 THEN '.pdf' ELSE '.txt' END AS path FROM documents WHERE doc_id % 10 <> 0 AND (" + " OR ".join(f"contains(text, '{m}')" for m in documents.SECRET_MARKS) + ")")
+_MARKED = "text || CASE doc_id % 5 WHEN 1 THEN ' ghp_' || doc_id WHEN 2 THEN ' AKIA' || doc_id ELSE '' END"
+
+
+@query(f"SELECT DISTINCT 'documents/' || doc_id || '.txt' AS path FROM (SELECT doc_id, {_MARKED} AS text FROM documents) WHERE " + " OR ".join(f"contains(text, '{m}')" for m in documents.SECRET_MARKS))
 def files_with_secrets(spark, sf):
-    path = F.concat(F.lit("documents/"), F.col("doc_id"), F.when(F.col("doc_id") % 10 == 0, ".pdf").otherwise(".txt"))
-    return documents.with_secrets(B.table(spark, sf, "documents").select(path.alias("path"), "text"))
+    return documents.with_secrets(B.table(spark, sf, "documents").selectExpr("'documents/' || doc_id || '.txt' AS path", f"{_MARKED} AS text"))
 
 
 @query("WITH u AS (SELECT doc_id, list_filter(['en-US', 'en', 'fr-CA', 'DE'], lambda x: lower(string_split(x, '-')[1]) = lower(string_split(lang, '-')[1]))[1] AS near, list_contains(['en-US', 'en', 'fr-CA', 'DE'], lang) AS exact, lang FROM documents) SELECT doc_id, CASE WHEN exact THEN lang ELSE coalesce(near, 'en-US') END AS language FROM u")
@@ -404,10 +449,17 @@ def file_manifest(spark, sf):
 
 # --- phrases ------------------------------------------------------------------------
 
-_PHRASE_SQL = (
-    "e AS (SELECT doc_id, unnest(list_concat(list_filter(['idiot', 'public'], lambda t: contains(text, t)), list_filter(list_transform(regexp_extract_all(text, '[一-龯ぁ-んァ-ンA-Za-z0-9０-９ー]{4,24}'), lambda p: CASE WHEN regexp_full_match(p, '[0-9０-９]+') THEN '' ELSE p END), lambda p: p <> ''))) AS phrase FROM documents), "
-    "c AS (SELECT phrase, count(*) AS n FROM e GROUP BY 1)"
-)
+
+
+def _phrase_sql(terms):
+    return (
+        f"h AS (SELECT doc_id, list_filter({terms}::VARCHAR[], lambda t: contains(text, t)) AS held, regexp_extract_all(text, '[一-龯ぁ-んァ-ンA-Za-z0-9０-９ー]{{4,24}}') AS runs FROM documents), "
+        "e AS (SELECT doc_id, len(held) AS n_held, unnest(list_concat(held, runs)) AS phrase, generate_subscripts(list_concat(held, runs), 1) - 1 AS nth FROM h), "
+        "c AS (SELECT phrase, count(*) AS n, min([doc_id, nth]) AS first FROM e WHERE nth < n_held OR NOT regexp_full_match(phrase, '[0-9０-９]+') GROUP BY 1)"
+    )
+
+
+_PHRASE_SQL = _phrase_sql(["idiot", "public"])
 
 
 @query(f"WITH {_PHRASE_SQL} SELECT phrase, n FROM c")
@@ -416,30 +468,35 @@ def phrase_counts(spark, sf):
     return phrases.phrase_counts(texts, ["idiot", "public"]).select("phrase", "n")
 
 
-@query(f"WITH {_PHRASE_SQL} SELECT CAST(sum(n) AS BIGINT) AS total, min(n) AS least, count(*) AS phrases FROM (SELECT n FROM c ORDER BY n DESC LIMIT 500)")
+@query(f"WITH {_PHRASE_SQL} SELECT phrase, n FROM c ORDER BY n DESC, first LIMIT 500")
 def most_common_phrases(spark, sf):
     texts = B.table(spark, sf, "documents").select(F.col("doc_id").alias("ord"), "text")
-    top = phrases.most_common(phrases.phrase_counts(texts, ["idiot", "public"]))
-    return top.agg(F.sum("n").alias("total"), F.min("n").alias("least"), F.count("*").alias("phrases"))
+    return phrases.most_common(phrases.phrase_counts(texts, ["idiot", "public"]))
 
 
-@query("WITH p AS (SELECT doc_id AS ord, trim(string_split(text, ' ')[1], ' ' || chr(10)) AS phrase FROM documents) SELECT phrase, min(ord) AS ord FROM p WHERE length(phrase) BETWEEN 3 AND 28 GROUP BY 1 ORDER BY 2 LIMIT 100")
+@query("WITH w AS (SELECT doc_id, regexp_split_to_array(text, '\\s+') AS w FROM documents), p AS (SELECT doc_id * 10000000 + generate_subscripts(w, 1) - 1 AS ord, unnest(w) AS phrase FROM w) SELECT phrase, min(ord) AS ord FROM p WHERE length(phrase) BETWEEN 3 AND 28 GROUP BY 1 ORDER BY 2 LIMIT 100")
 def hint_phrases(spark, sf):
-    first = B.table(spark, sf, "documents").select(F.col("doc_id").alias("ord"), F.get(F.split("text", " "), F.lit(0)).alias("phrase"))
-    return phrases.distinct_phrases(first, 100)
+    words = B.table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", r"\s+")).alias("at", "phrase"))
+    return phrases.distinct_phrases(words.select((F.col("doc_id") * 10_000_000 + F.col("at")).alias("ord"), "phrase"), 100)
 
 
-@query("SELECT * FROM (VALUES (0, 'a', 'b'), (1000, 'c', 'd'), (1001, 'e', 'f')) v(ord, pattern, replacement)")
+@query(
+    f"WITH {_phrase_sql([])}, b(ord, pattern, replacement, triggers) AS (VALUES (0, 'a', 'b', NULL), (1000, 'c', 'd', ['License', 'absent phrase']), (1001, 'e', 'f', ['License', 'absent phrase']), (2000, 'g', 'h', ['absent phrase'])) "
+    "SELECT ord, pattern, replacement FROM b WHERE triggers IS NULL OR EXISTS (SELECT 1 FROM c WHERE list_contains(triggers, phrase))"
+)
 def expanded_rules(spark, sf):
     texts = B.table(spark, sf, "documents").select(F.col("doc_id").alias("ord"), "text")
     counts = phrases.phrase_counts(texts)
     return phrases.expanded_rules(counts, [["a", "b"]], [(["License", "absent phrase"], [["c", "d"], ["e", "f"]]), (["absent phrase"], [["g", "h"]])])
 
 
-@query("SELECT page_id AS ord, trim(regexp_replace(trim(regexp_replace(html, '^#+\\s*', '')), '^\\*\\*[^*]+\\*\\*:\\s*', '')) AS text FROM (SELECT page_id, string_split(html, '>')[2] || '>' AS html FROM pages) WHERE trim(html) <> '' AND html NOT LIKE '-%'")
+@query(
+    "WITH h AS (SELECT page_id, string_split(html, '>') AS h FROM pages), l AS (SELECT page_id * 1000000 + generate_subscripts(h, 1) - 1 AS ord, unnest(h) || '>' AS x FROM h) "
+    "SELECT ord, text FROM (SELECT ord, trim(regexp_replace(trim(regexp_replace(x, '^#+\\s*', ''), ' ' || chr(9) || chr(10) || chr(13)), '^\\*\\*[^*]+\\*\\*:\\s*', ''), ' ' || chr(9) || chr(10) || chr(13)) AS text FROM l) WHERE text <> '' AND text NOT LIKE '-%'"
+)
 def corpus_lines(spark, sf):
-    lines = B.table(spark, sf, "pages").select(F.col("page_id").alias("ord"), F.concat(F.get(F.split("html", ">"), F.lit(1)), F.lit(">")).alias("value"))
-    return phrases.corpus_lines(lines)
+    pieces = B.table(spark, sf, "pages").select("page_id", F.posexplode(F.split("html", ">")).alias("at", "piece"))
+    return phrases.corpus_lines(pieces.select((F.col("page_id") * 1_000_000 + F.col("at")).alias("ord"), F.concat("piece", F.lit(">")).alias("value")))
 
 
 # --- library ------------------------------------------------------------------------
@@ -464,10 +521,10 @@ _TOKENS = "regexp_extract_all(translate(lower({0}), 'àáâãäåçèéêëìí
 _POSTINGS_SQL = B.MEETINGS_SQL + ", k AS (" + " UNION ALL ".join(f"SELECT id, '{f}' AS field, {_TOKENS.format(f)} AS t FROM m" for f in library.FIELDS) + "), p AS (SELECT id, field, len(t) AS n_tokens, unnest(t) AS term, generate_subscripts(t, 1) - 1 AS pos FROM k)"
 
 
-@query(f"WITH {_POSTINGS_SQL} SELECT id, field, term, CAST(count(*) AS BIGINT) AS tf, CAST(sum(pos) AS BIGINT) AS places, CAST(min(n_tokens) AS BIGINT) AS n_tokens FROM p GROUP BY ALL")
+@query(f"WITH {_POSTINGS_SQL} SELECT id, field, term, CAST(count(*) AS BIGINT) AS tf, string_agg(pos, ' ' ORDER BY pos) AS places, CAST(min(n_tokens) AS BIGINT) AS n_tokens FROM p GROUP BY ALL")
 def postings(spark, sf):
     p = library.postings(B.meetings(spark, sf))
-    return p.select("id", "field", "term", F.size("positions").cast("long").alias("tf"), F.aggregate("positions", F.lit(0).cast("long"), lambda s, x: s + x).alias("places"), F.col("n_tokens").cast("long").alias("n_tokens"))
+    return p.select("id", "field", "term", F.size("positions").cast("long").alias("tf"), F.array_join(F.transform("positions", lambda x: x.cast("string")), " ").alias("places"), F.col("n_tokens").cast("long").alias("n_tokens"))
 
 
 @query(
@@ -478,14 +535,17 @@ def postings(spark, sf):
 )
 def ranked_meetings(spark, sf):
     m = B.meetings(spark, sf)
-    # a library keeps its postings; a query that makes them reads them four times
-    return library.ranked(m, library.postings(m).persist(StorageLevel.DISK_ONLY), "idiot of_the", -1).select("id", F.round("score", 5).alias("score"))
+    return library.ranked(m, library.postings(m), "idiot of_the", -1).select("id", F.round("score", 5).alias("score"))
 
 
-@query()
+@query(
+    f"WITH {_POSTINGS_SQL}, r AS (SELECT DISTINCT x.id FROM p x JOIN p y ON x.id = y.id AND x.field = y.field AND y.pos = x.pos + 1 JOIN p z ON x.id = z.id AND x.field = z.field AND z.pos = x.pos + 2 WHERE x.term = 'and' AND y.term = 'the' AND z.term = 'is'), "
+    "f AS (SELECT *, lower(title) AS a, lower(summary_md) AS b, lower(transcript_md) AS c FROM m), "
+    "l AS (SELECT id, title FROM f WHERE (a LIKE '%and_the%is%' OR b LIKE '%and_the%is%' OR c LIKE '%and_the%is%') AND NOT EXISTS (SELECT 1 FROM r) ORDER BY created_at DESC, id DESC LIMIT 50) SELECT id, title FROM m JOIN r USING (id) UNION ALL SELECT id, title FROM l"
+)
 def searched_meetings(spark, sf):
     m = B.meetings(spark, sf)
-    return library.search(m, library.postings(m).persist(StorageLevel.DISK_ONLY), "and_the%is").select("id", "title")
+    return library.search(m, library.postings(m), "and_the%is").select("id", "title")
 
 
 @query("SELECT doc_id, coalesce(try_strptime(CASE WHEN doc_id % 3 = 0 THEN 'no date' ELSE printf('2024%02d%02d_120000', 1 + doc_id % 12, 1 + doc_id % 31) END, '%Y%m%d_%H%M%S')::DATE, DATE '2025-01-01')::VARCHAR AS date FROM documents")
@@ -497,8 +557,8 @@ def meeting_dates(spark, sf):
 # --- calendar -----------------------------------------------------------------------
 
 _HINT_SQL = (
-    "e AS (SELECT event_type || '-' || event_id AS title, ts AS start, CASE WHEN event_id % 4 = 0 THEN ts + INTERVAL 1 HOUR ELSE ts + to_minutes(1 + event_id % 50) END AS stop FROM events WHERE event_id % 7 <> 0), "
-    "w AS (SELECT o_orderkey AS moment_id, TIMESTAMP '2024-01-01' + to_minutes(o_orderkey * 37 % 43200) AS now FROM orders WHERE o_orderkey % 5 = 0), "
+    "e AS (SELECT event_type || '-' || event_id AS title, ts AS start, CASE WHEN event_id % 4 = 0 THEN ts + INTERVAL 1 HOUR ELSE ts + to_minutes(1 + event_id % 50) END AS stop FROM events), "
+    "w AS (SELECT o_orderkey AS moment_id, TIMESTAMP '2024-01-01' + to_minutes(o_orderkey * 37 % 43200) AS now FROM orders), "
     "n AS (SELECT moment_id, title, now BETWEEN start AND stop AS running, start, stop, abs(epoch_us(start) - epoch_us(now)) AS gap FROM w JOIN e ON start <= now + INTERVAL 10 MINUTE AND stop >= now - INTERVAL 15 MINUTE), "
     "b AS (SELECT moment_id, title FROM n QUALIFY row_number() OVER (PARTITION BY moment_id ORDER BY running DESC, CASE WHEN running THEN -epoch_us(start) ELSE gap END, CASE WHEN running THEN -epoch_us(stop) ELSE epoch_us(start) END, title) = 1)"
 )
@@ -506,10 +566,10 @@ _HINT_SQL = (
 
 @query(f"WITH {_HINT_SQL} SELECT moment_id, coalesce(nullif(b.title, ''), 'generated') AS title FROM w LEFT JOIN b USING (moment_id)")
 def calendar_titles(spark, sf):
-    events = B.table(spark, sf, "events").where("event_id % 7 <> 0").selectExpr(
+    events = B.table(spark, sf, "events").selectExpr(
         "event_type || '-' || event_id AS title", "cast(ts as timestamp) AS start", "CASE WHEN event_id % 4 = 0 THEN NULL ELSE cast(ts as timestamp) + make_interval(0, 0, 0, 0, 0, 1 + event_id % 50, 0) END AS end"
     )
-    moments = B.table(spark, sf, "orders").where("o_orderkey % 5 = 0").selectExpr("o_orderkey AS moment_id", "timestamp'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, cast(o_orderkey * 37 % 43200 as int), 0) AS now")
+    moments = B.table(spark, sf, "orders").selectExpr("o_orderkey AS moment_id", "timestamp'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, cast(o_orderkey * 37 % 43200 as int), 0) AS now")
     hints = calendar.title_hints(moments, calendar.valid_events(events))
     return hints.select("moment_id", calendar.titled(F.col("hint"), F.lit("generated")).alias("title"))
 
@@ -519,14 +579,17 @@ def calendar_titles(spark, sf):
 
 @query(
     f"WITH {B.ROWS_SQL}, {B.TURNS_SQL}, k AS (SELECT meeting_id, count(DISTINCT spk) AS n FROM t GROUP BY 1), "
-    "p AS (SELECT r.meeting_id, r.ord, t.spk, t.turn_ord, greatest(0, least(r.en, t.te) - greatest(r.st, t.ts)) AS ov, greatest(t.ts - r.en, r.st - t.te, 0) AS gap FROM r JOIN t USING (meeting_id)), "
-    "x AS (SELECT meeting_id, ord, spk FROM p QUALIFY row_number() OVER (PARTITION BY meeting_id, ord ORDER BY ov DESC, gap, turn_ord) = 1), "
-    f"y AS (SELECT r.meeting_id, r.ord, r.st, CASE WHEN r.label = '{R.SYSTEM}' AND coalesce(k.n, 0) >= 2 THEN r.label || CAST(x.spk + 1 AS VARCHAR) ELSE r.label END AS label, r.txt FROM r LEFT JOIN x USING (meeting_id, ord) LEFT JOIN k USING (meeting_id)) "
-    "SELECT meeting_id, CAST(count(*) AS BIGINT) AS n_rows, max(st) AS last_start, length(string_agg('**' || label || '**: ' || txt, chr(10) ORDER BY st, ord)) AS transcript_chars FROM y GROUP BY meeting_id"
+    "pair AS (SELECT r.meeting_id, r.ord, t.spk, t.turn_ord, greatest(0, least(r.en, t.te) - greatest(r.st, t.ts)) AS ov, greatest(t.ts - r.en, r.st - t.te, 0) AS gap FROM r JOIN t USING (meeting_id)), "
+    "x AS (SELECT meeting_id, ord, spk FROM pair QUALIFY row_number() OVER (PARTITION BY meeting_id, ord ORDER BY ov DESC, gap, turn_ord) = 1), "
+    f"said AS (SELECT r.meeting_id, r.ord, r.st, CASE WHEN r.label = '{R.SYSTEM}' AND coalesce(k.n, 0) >= 2 THEN r.label || CAST(x.spk + 1 AS VARCHAR) ELSE r.label END AS label, r.txt FROM r LEFT JOIN x USING (meeting_id, ord) LEFT JOIN k USING (meeting_id)), "
+    "judged AS (SELECT *, regexp_replace(txt, '[\\s。．、,.!！?？]+', '', 'g') IN ('" + "', '".join(R.OUTROS) + "') AS bad FROM said), "
+    "w AS (SELECT *, count(*) FILTER (WHERE NOT bad) OVER m AS good, max(label) OVER m <> min(label) OVER m AS two FROM judged WINDOW m AS (PARTITION BY meeting_id)), "
+    "documents AS (SELECT meeting_id AS doc_id, count(*) AS n_rows, max(st) AS last_start, string_agg('**' || label || '**: ' || txt, chr(10) ORDER BY st, ord) AS text FROM w WHERE NOT two OR good = 0 OR NOT bad GROUP BY meeting_id), "
+    f"{_SENT_SQL}, {_summary_sql('ja')} SELECT doc_id AS meeting_id, CAST(n_rows AS BIGINT) AS n_rows, last_start, title, body, '# ' || title || chr(10) || chr(10) || body || chr(10) || chr(10) || '---' || chr(10) || chr(10) || '## {summary.TRANSCRIPT_HEADING}' || chr(10) || chr(10) || z.text AS document FROM z JOIN documents USING (doc_id)"
 )
 def meeting_summary(spark, sf):
     """The flagship: speakers, closing phrases, transcript and extractive summary."""
     from talkloom.plans.meeting import summarised
 
     done = summarised(B.rows(spark, sf), B.turns(spark, sf))
-    return done.select("meeting_id", "n_rows", "last_start", F.length("transcript").cast("long").alias("transcript_chars"))
+    return done.select("meeting_id", "n_rows", "last_start", "title", "body", "document")

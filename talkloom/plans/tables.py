@@ -36,26 +36,35 @@ ROWS_SQL = f"""r AS (SELECT conv_id AS meeting_id, CAST(turn AS INTEGER) AS ord,
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Speaker turns (meeting_id, turn_ord, ts, te, spk) of conversations; every fifth
-    is left out, so that some rows overlap none."""
-    return table(spark, sf_dir, "conversations").where("(conv_id + turn) % 5 <> 0").selectExpr(
+    comes 1000 seconds late, so that some rows overlap none."""
+    return table(spark, sf_dir, "conversations").selectExpr(
         "conv_id AS meeting_id",
         "CAST(turn AS INT) AS turn_ord",
-        "(turn * 8 + (conv_id * 5 + turn) % 9) / 2D AS ts",
-        "(turn * 8 + (conv_id * 5 + turn) % 9 + 2 + (conv_id + turn) % 4) / 2D AS te",
+        "(if((conv_id + turn) % 5 = 0, 2000, 0) + turn * 8 + (conv_id * 5 + turn) % 9) / 2D AS ts",
+        "(if((conv_id + turn) % 5 = 0, 2000, 0) + turn * 8 + (conv_id * 5 + turn) % 9 + 2 + (conv_id + turn) % 4) / 2D AS te",
         "CAST((conv_id + turn) % (1 + conv_id % 3) AS INT) AS spk",
     )
 
 
 TURNS_SQL = """t AS (SELECT conv_id AS meeting_id, CAST(turn AS INTEGER) AS turn_ord,
- (turn * 8 + (conv_id * 5 + turn) % 9) / 2.0::DOUBLE AS ts,
- (turn * 8 + (conv_id * 5 + turn) % 9 + 2 + (conv_id + turn) % 4) / 2.0::DOUBLE AS te,
- CAST((conv_id + turn) % (1 + conv_id % 3) AS INTEGER) AS spk FROM conversations WHERE (conv_id + turn) % 5 <> 0)"""
+ (if((conv_id + turn) % 5 = 0, 2000, 0) + turn * 8 + (conv_id * 5 + turn) % 9) / 2.0::DOUBLE AS ts,
+ (if((conv_id + turn) % 5 = 0, 2000, 0) + turn * 8 + (conv_id * 5 + turn) % 9 + 2 + (conv_id + turn) % 4) / 2.0::DOUBLE AS te,
+ CAST((conv_id + turn) % (1 + conv_id % 3) AS INTEGER) AS spk FROM conversations)"""
+
+
+def said_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """conversations in which every turn is repeated at once: conv_id, turn (twice
+    the given one, and one more), role, text."""
+    return table(spark, sf_dir, "conversations").selectExpr("conv_id", "explode(array(2 * turn, 2 * turn + 1)) AS turn", "role", "text")
+
+
+SAID_TWICE_SQL = "d AS (SELECT conv_id, unnest([2 * turn, 2 * turn + 1]) AS turn, role, text FROM conversations)"
 
 
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sample blocks (meeting_id, label, frame_ix, samples) of events: two samples
     each, the channel by kind of event, loudness by meeting."""
-    return table(spark, sf_dir, "events").where("event_type <> 'signup'").selectExpr(
+    return table(spark, sf_dir, "events").selectExpr(
         "user_id AS meeting_id",
         f"CASE WHEN event_type IN ('click', 'view') THEN '{MIC}' ELSE '{SYSTEM}' END AS label",
         "event_id AS frame_ix",
@@ -65,7 +74,7 @@ def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 BLOCKS_SQL = f"""b AS (SELECT user_id AS meeting_id,
  CASE WHEN event_type IN ('click', 'view') THEN '{MIC}' ELSE '{SYSTEM}' END AS label, event_id AS frame_ix,
- [value / (10 + 90 * (user_id % 4)), - value / (20 + 2000 * (user_id % 3))] AS samples FROM events WHERE event_type <> 'signup')"""
+ [value / (10 + 90 * (user_id % 4)), - value / (20 + 2000 * (user_id % 3))] AS samples FROM events)"""
 
 LEVELS_SQL = BLOCKS_SQL + """, s AS (SELECT meeting_id, label, unnest(samples) AS x FROM b),
 l AS (SELECT meeting_id, label, sqrt(avg(x * x)) AS rms, avg(CASE WHEN abs(x) >= CAST(0.98 AS FLOAT) THEN 1.0 ELSE 0.0 END) AS clip FROM s GROUP BY ALL)"""

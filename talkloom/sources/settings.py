@@ -1,80 +1,97 @@
-"""Settings: a flat JSON object on the driver, coerced to the defaults' types."""
+"""Settings: a flat JSON object on the driver, read by a declared schema."""
 
 from __future__ import annotations
 
 import json
-from datetime import datetime
+from itertools import count
 from pathlib import Path
+from typing import NamedTuple
 
-#: Settings of the engine and their defaults.
-DEFAULTS: dict[str, object] = {
-    "language": "ja",
-    "final_channel_policy": "auto_dedupe",
-    "summary_sections": [],
-    "summary_extra_instructions": "",
-    "fast_summary": True,
-    "speaker_labels": True,
-    "live_backend": "auto",
-    "record_mic": True,
-    "live_window_sec": 8.0,
-    "live_interval_sec": 1.2,
-    "live_stable_margin_sec": 1.5,
-    "live_min_audio_sec": 0.8,
-    "calendar_title_hint": False,
-    "calendar_lookback_min": 15,
-    "calendar_lookahead_min": 10,
+
+class Setting(NamedTuple):
+    """Default, kind of value, and the least number allowed."""
+
+    default: object
+    kind: str
+    least: float | None = None
+
+
+SCHEMA: dict[str, Setting] = {
+    "language": Setting("ja", "text"),
+    "final_channel_policy": Setting("auto_dedupe", "text"),
+    "summary_sections": Setting([], "names"),
+    "summary_extra_instructions": Setting("", "text"),
+    "fast_summary": Setting(True, "flag"),
+    "speaker_labels": Setting(True, "flag"),
+    "live_backend": Setting("auto", "text"),
+    "record_mic": Setting(True, "flag"),
+    "live_window_sec": Setting(8.0, "number", 0),
+    "live_interval_sec": Setting(1.2, "number", 0),
+    "live_stable_margin_sec": Setting(1.5, "number", 0),
+    "live_min_audio_sec": Setting(0.8, "number", 0),
+    "calendar_title_hint": Setting(False, "flag"),
+    "calendar_lookback_min": Setting(15, "whole", 0),
+    "calendar_lookahead_min": Setting(10, "whole", 0),
 }
-NOT_NEGATIVE = frozenset(k for k, v in DEFAULTS.items() if isinstance(v, (int, float)) and not isinstance(v, bool))
+DEFAULTS: dict[str, object] = {name: setting.default for name, setting in SCHEMA.items()}
+_FLAGS = {"true": True, "false": False}
+
 
+def _names(value: object) -> list[str]:
+    if isinstance(value, str):
+        value = [part.strip() for part in value.split(",")]
+    if not isinstance(value, list):
+        raise TypeError("no list of names")
+    return [str(v) for v in value if str(v).strip()]
 
-def _as(default: object, value: object, not_negative: bool) -> object:
-    if isinstance(default, bool):
-        return value.strip().lower() == "true" if isinstance(value, str) and value.strip().lower() in ("true", "false") else bool(value)
-    if isinstance(default, (int, float)):
-        out = type(default)(value)
-        return default if not_negative and out < 0 else out
-    if isinstance(default, list):
-        parts = value.split(",") if isinstance(value, str) else value if isinstance(value, list) else default
-        return [s for p in parts if (s := str(p).strip() if isinstance(value, str) else str(p)).strip()]
-    return str(value)
 
+#: How a value of each kind is read; ValueError and TypeError mean that it is none.
+CONVERSIONS = {
+    "text": str,
+    "flag": lambda value: _FLAGS.get(str(value).strip().lower(), bool(value)),
+    "whole": int,
+    "number": float,
+    "names": _names,
+}
 
-def coerce(raw: object, defaults: dict[str, object] = DEFAULTS, not_negative: frozenset = NOT_NEGATIVE) -> dict[str, object]:
-    """Known keys with the type of their default; what does not convert, and
-    negatives where none may be, become the default; unknown keys go."""
+
+def _value(setting: Setting, given: object) -> object:
+    try:
+        read = CONVERSIONS[setting.kind](given)
+    except (TypeError, ValueError):
+        return setting.default
+    return setting.default if setting.least is not None and read < setting.least else read
+
+
+def coerce(raw: object, schema: dict[str, Setting] = SCHEMA) -> dict[str, object]:
+    """Every setting of the schema: as given where it can be read and is not below
+    its least value, else its default. Names that the schema lacks go."""
     if not isinstance(raw, dict):
         raise ValueError("settings must be a JSON object")
-    out = dict(defaults)
-    for key in defaults.keys() & raw.keys():
-        try:
-            out[key] = _as(defaults[key], raw[key], key in not_negative)
-        except (TypeError, ValueError):
-            out[key] = defaults[key]
-    return out
+    return {name: _value(setting, raw.get(name, setting.default)) for name, setting in schema.items()}
 
 
-def load(path: str, defaults: dict[str, object] = DEFAULTS) -> dict[str, object]:
-    """Settings of a file; defaults without one. A broken file is set aside, and the
-    result says so under _load_error and _backup."""
+def load(path: str, schema: dict[str, Setting] = SCHEMA) -> dict[str, object]:
+    """Settings of a file; defaults without one. A file that cannot be read is renamed,
+    and the result tells why (_load_error) and its new name (_set_aside, empty if
+    renaming failed)."""
     file = Path(path)
     if not file.exists():
-        return dict(defaults)
+        return coerce({}, schema)
     try:
-        return coerce(json.loads(file.read_text(encoding="utf-8")), defaults)
+        return coerce(json.loads(file.read_text(encoding="utf-8")), schema)
     except (OSError, ValueError) as e:
-        backup = file.with_name(f"{file.stem}.invalid_{datetime.now():%Y%m%d_%H%M%S}.json")
+        aside = next(p for n in count(1) if not (p := file.with_name(f"{file.name}.broken-{n}")).exists())
         try:
-            file.replace(backup)
-            kept = str(backup)
-        except OSError as move:
-            kept = f"backup failed: {move}"
-        return dict(defaults) | {"_load_error": f"{file}: {e}", "_backup": kept}
+            file.rename(aside)
+        except OSError:
+            aside = ""
+        return coerce({}, schema) | {"_load_error": f"{file}: {e}", "_set_aside": str(aside)}
 
 
 def save(settings: dict[str, object], path: str) -> None:
-    """Writes settings; keys that begin with _ are not kept."""
-    kept = coerce({k: v for k, v in settings.items() if not k.startswith("_")})
-    Path(path).write_text(json.dumps(kept, ensure_ascii=False, indent=2), encoding="utf-8")
+    """Writes the schema's settings; notes such as _load_error are not kept."""
+    Path(path).write_text(json.dumps(coerce(settings), ensure_ascii=False, indent=2), encoding="utf-8")
 
 
 def live_backend(settings: dict[str, object], has_gpu: bool) -> str:

@@ -6,10 +6,11 @@ import json
 from collections.abc import Sequence
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talkloom.operators.calendar import valid_events
+from talkloom.operators.rows import in_order
 
 EVENT = "type string, text string, confidence double, error string, ts long"
 #: Time zones that calendars name in another way.
@@ -28,7 +29,7 @@ TIME_ZONES = {
 def read_events(spark: SparkSession, path: str) -> DataFrame:
     """Recogniser events of JSON-lines files; lines that do not parse go."""
     rows = spark.read.schema(EVENT + ", _bad string").option("columnNameOfCorruptRecord", "_bad").option("mode", "PERMISSIVE").json(path)
-    return rows.cache().where("_bad is null and type is not null").drop("_bad")
+    return rows.where("_bad is null and type is not null").drop("_bad")
 
 
 def stream_events(spark: SparkSession, path: str) -> DataFrame:
@@ -131,4 +132,4 @@ def write_dictionary(path: str, rules: Sequence, drop: Sequence[str], phrases: S
 
 def numbered(df: DataFrame, *order: str) -> DataFrame:
     """Adds ord, the place in the given order."""
-    return df.withColumn("ord", F.row_number().over(Window.orderBy(*order)))
+    return in_order(df, "ord", *order)
