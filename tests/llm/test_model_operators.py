@@ -266,6 +266,24 @@ def test_neighbours_recall_on_the_table(spark, sf):
     assert hits / total >= 0.9
 
 
+def test_few_rows_are_verified_and_most_neighbours_found(spark):
+    """On vectors without any clusters, the hardest case."""
+    from talkloom.llm.ann_search import Block
+
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect()
+    ids, x = np.array([r["vec_id"] for r in rows]), np.array([r["embedding"] for r in rows], float)
+    block = Block(ids, x)
+    some = np.arange(0, len(ids), 40)
+    found = block.search(ids[some], x[some], 10)
+    hits = 0
+    for q, best in zip(some, found, strict=True):
+        distance = np.sqrt(((x - x[q]) ** 2).sum(1))
+        distance[q] = np.inf
+        hits += len({i for _, i in best} & set(ids[np.argsort(distance)[:10]].tolist()))
+    assert hits / (10 * len(some)) >= 0.9
+    assert block.verified / (len(some) * len(ids)) < 0.15
+
+
 def test_neighbours_of_awkward_vectors(spark, monkeypatch):
     import talkloom.llm.ann_search as A
 
