@@ -25,7 +25,7 @@ END_ID, LENGTH = 2, 4096
 #: Text characters in a group, on average.
 GROUP_CHARS = 8 << 20
 #: Bytes of words and ids that a Python worker remembers within a task, at most about.
-REMEMBERED_BYTES = 160 << 20
+REMEMBERED_BYTES = 256 << 20
 #: Documents encoded together.
 ROWS_AT_ONCE = 256
 #: Tasks that pack at most, each group after group: map tasks times these are the
