@@ -58,7 +58,8 @@ def streamed_events(conversations: DataFrame, piece: int = 40) -> DataFrame:
     answered = F.when(third, F.concat(F.array(draft, event(one, REGENERATE, F.lit(None).cast("string"))), deltas)).otherwise(F.concat(F.array(event(zero, MESSAGE, F.lit(""))), deltas))
     once = F.count("*").over(Window.partitionBy("conv_id", "turn")) == 1
     log = F.when(~F.col("once") | F.col("turn").isNull(), F.array(event(zero, MESSAGE, text))).when(role == "user", spoken).otherwise(answered)
-    each = conversations.withColumn("once", once).select("conv_id", "turn", role.alias("role"), F.explode(log).alias("e"))
+    # one shuffle, of turns: the window and the fold of their events keep its partitioning
+    each = conversations.repartition("conv_id").withColumn("once", once).select("conv_id", "turn", role.alias("role"), F.explode(log).alias("e"))
     return each.select("conv_id", (F.col("turn").cast("long") * (1 << 32) + F.col("e.nth")).alias("seq"), F.col("turn").cast("long").alias("turn"), "e.event", "role", "e.text")
 
 
