@@ -27,6 +27,12 @@ def transcript(rows: DataFrame) -> DataFrame:
     return rows.groupBy("meeting_id").agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("transcript"))
 
 
+def in_time_order(rows: DataFrame) -> DataFrame:
+    """Adds place, from 1: a row's place in its meeting by start, then label, then
+    order of input."""
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy("meeting_id").orderBy("st", "label", "ord")))
+
+
 def merge_channels(*channels: DataFrame) -> DataFrame:
     """Rows of several channels in one table."""
     out = channels[0]

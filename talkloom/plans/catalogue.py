@@ -2,19 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talkloom.functions import text as T
 from talkloom.operators import calendar, channels, documents, library, phrases, quality, retrieval, speakers, summary
 from talkloom.operators import rows as R
+from talkloom.plans import streams  # noqa: F401  registers its queries
 from talkloom.plans import tables as B
+from talkloom.plans.registry import ORACLE_SQL, QUERIES, query  # noqa: F401  read from here by the entry points
 
 FLAGSHIP = "meeting_summary"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
 
 #: A small dictionary for texts of the test tables.
 RULES = [[r"\bthe\b", "THE"], [r"(an)d\b", r"\1t"], ["[", "skipped"], [r"\s+of\s+", " / "]]
@@ -23,18 +20,6 @@ QUESTION = "What did the anon threa onth say_about THE tion?"
 TERMS = ["idiot", "onthe", "license", "the ", "public"]
 
 
-def query(sql: str | None = None):
-    """Registers a query under its function's name, with its SQL if it has one."""
-
-    def register(fn):
-        QUERIES[fn.__name__] = fn
-        if sql:
-            ORACLE_SQL[fn.__name__] = sql
-        return fn
-
-    return register
-
-
 # --- rows -------------------------------------------------------------------------
 
 

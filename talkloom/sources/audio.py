@@ -58,6 +58,10 @@ def decoded_spool(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInArrow(parse, "path string, frame_ix int, samples array<float>")
 
 
+def make_folder(path: str) -> None:
+    os.makedirs(path, exist_ok=True)
+
+
 def write_wav(channels: DataFrame, folder: str, rate: int = 16_000) -> DataFrame:
     """Writes one 16-bit WAV file for each channel (meeting_id, label, samples) to a
     folder that all executors share; gives meeting_id, label, path and error (null

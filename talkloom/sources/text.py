@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talkloom.operators.calendar import valid_events
-from talkloom.operators.rows import in_order
+from talkloom.operators.rows import MIC, SYSTEM, in_order, merge_channels
 
 EVENT = "type string, text string, confidence double, error string, ts long"
 #: Time zones that calendars name in another way.
@@ -37,6 +37,24 @@ def stream_events(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(EVENT).json(path).where("type is not null")
 
 
+def dispatched(events: DataFrame) -> DataFrame:
+    """Events by what they say: kind final (results with text), provisional
+    (hypotheses with text), status or error, and txt; others go."""
+    text = F.trim(F.coalesce("text", F.lit("")))
+    kind = F.when((F.col("type") == "result") & (text != ""), "final").when((F.col("type") == "hypothesis") & (text != ""), "provisional").when(F.col("type").isin("status", "error"), F.col("type"))
+    txt = F.when(kind == "error", F.coalesce("error", F.lit(""))).when(kind == "status", F.lit("...")).otherwise(text)
+    return events.withColumn("kind", kind).withColumn("txt", txt).where("kind is not null").drop("type", "text", "error")
+
+
+def two_sources(microphone: DataFrame | None, system: DataFrame | None) -> DataFrame:
+    """Streams or tables of both channels as one, with their labels; a channel that is
+    off is None."""
+    on = [df.withColumn("label", F.lit(label)) for df, label in ((microphone, MIC), (system, SYSTEM)) if df is not None]
+    if not on:
+        raise ValueError("both channels are off")
+    return merge_channels(*on)
+
+
 def results(events: DataFrame) -> DataFrame:
     """Recognised texts that are not blank."""
     return events.where("type = 'result' and trim(coalesce(text, '')) <> ''")

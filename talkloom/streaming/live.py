@@ -30,11 +30,12 @@ def commit(rows: list[tuple[float, float, str]], captured: float, until: float)
     return final, [row for row in rows if row[1] > until + SETTLED], until
 
 
-def live_captions(results: DataFrame, timeout: str = "10 minutes") -> DataFrame:
+def live_captions(results: DataFrame, timeout: str | None = "10 minutes") -> DataFrame:
     """Captions of a stream of recognition results (meeting_id, label, captured, st,
     en, txt): each evaluation of the window is rows of one `captured`. Rows that
     settle come once as kind final; open ones as provisional, only when their text
-    changed. State ends after `timeout` without results."""
+    changed. State ends after `timeout` without results; with None it stays. A run
+    with trigger availableNow ends only with None: a timeout asks for batches on."""
 
     def update(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         meeting, label = key
@@ -53,11 +54,12 @@ def live_captions(results: DataFrame, timeout: str = "10 minutes") -> DataFrame:
                 out += [(meeting, label, *r, "provisional") for r in rest]
                 shown = text
         state.update((until, shown))
-        state.setTimeoutDuration(pd.Timedelta(timeout) // pd.Timedelta("1ms"))
+        if timeout:
+            state.setTimeoutDuration(pd.Timedelta(timeout) // pd.Timedelta("1ms"))
         if out:
             yield pd.DataFrame(out, columns=["meeting_id", "label", "st", "en", "txt", "kind"])
 
-    return results.groupBy("meeting_id", "label").applyInPandasWithState(update, CAPTION, "until double, shown string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return results.groupBy("meeting_id", "label").applyInPandasWithState(update, CAPTION, "until double, shown string", "append", GroupStateTimeout.ProcessingTimeTimeout if timeout else GroupStateTimeout.NoTimeout)
 
 
 def latest_text(events: DataFrame) -> DataFrame:
@@ -75,6 +77,33 @@ def latest_text(events: DataFrame) -> DataFrame:
     return newest.unionByName(status)
 
 
+def shown_text(events: DataFrame) -> DataFrame:
+    """latest_text() of a stream: a row (meeting_id, label, ord, txt, kind) whenever
+    what a channel shows changes. Results always show, as final; a hypothesis unless
+    it repeats the last result or what is shown; detected speech, as status, only
+    before any text. Events of one batch are taken by ord; blank texts do not count."""
+
+    def update(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        said, shown = state.get if state.exists else ("", "")
+        out = []
+        for r in pd.concat(list(batches), ignore_index=True).sort_values("ord", kind="stable").itertuples():
+            text = r.text if r.text and r.text.strip() else ""
+            if r.type == "result" and text:
+                said = shown = text
+                out.append((*key, r.ord, text, "final"))
+            elif r.type == "hypothesis" and text and text not in (said, shown):
+                shown = text
+                out.append((*key, r.ord, text, "provisional"))
+            elif r.type == "status" and not shown:
+                shown = "..."
+                out.append((*key, r.ord, shown, "status"))
+        state.update((said, shown))
+        if out:
+            yield pd.DataFrame(out, columns=["meeting_id", "label", "ord", "txt", "kind"])
+
+    return events.groupBy("meeting_id", "label").applyInPandasWithState(update, "meeting_id long, label string, ord int, txt string, kind string", "said string, shown string", "append", GroupStateTimeout.NoTimeout)
+
+
 def ring(blocks: DataFrame, rate: int = 16_000, window: float = WINDOW) -> DataFrame:
     """Blocks (meeting_id, label, frame_ix, samples) that a bounded buffer holds:
     from the newest back while those before fit; whole blocks go."""

@@ -108,7 +108,7 @@ def run_stream(spark, rows, schema, transform, tmp_path, batches, mode="append")
 def test_live_captions_settle_once(spark, tmp_path):
     schema = "meeting_id long, label string, captured double, st double, en double, txt string"
     rows = [(1, "m", 2.0, 0.0, 0.4, "a"), (1, "m", 2.0, 0.5, 1.9, "b?"), (1, "m", 4.0, 0.0, 0.4, "a"), (1, "m", 4.0, 0.5, 2.0, "b"), (1, "m", 4.0, 2.1, 3.9, "c?")]
-    out = run_stream(spark, rows, schema, live.live_captions, tmp_path, [(0, 1), (2, 3, 4)])
+    out = run_stream(spark, rows, schema, lambda s: live.live_captions(s, timeout=None), tmp_path, [(0, 1), (2, 3, 4)])
     assert sorted((r["txt"], r["kind"]) for r in out) == [("a", "final"), ("b", "final"), ("b?", "provisional"), ("c?", "provisional")]
 
 
