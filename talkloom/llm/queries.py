@@ -11,9 +11,12 @@ from .embedding_dedup import embedding_near_dedup
 from .mixing import mix_sources
 from .ngram_join import ngram_jaccard_join
 from .packing import pack_documents
+from .piece_codec import decode_pieces, encode_pieces
 from .pii import KINDS, redact_personal_data
+from .prefix_trie import prefix_trie, rebuilt_conversations
 from .sharding import shard_rows
 from .substring_dedup import remove_repeats
+from .token_alignment import align_tokenizers
 from .toxicity import fit, held_out, score_toxicity
 
 #: Target weights of the mix: four domains (source number modulo 4), languages,
@@ -118,6 +121,23 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), F.col("toxic_score").alias("score"), F.col("toxic").alias("predicted"), F.size("toxic_segments").alias("n_segments"))
 
 
+def op11_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents as SentencePiece ids, and decoded from them again."""
+    encoded = encode_pieces(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    ids = F.array_join(F.col("piece_ids").cast("array<string>"), ",")
+    return decode_pieces(encoded).select("doc_id", F.size("piece_ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the trie of conversations that share first turns."""
+    return prefix_trie(rebuilt_conversations(table(spark, sf_dir, "conversations")))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links between the tokens of two tokenizers in each of documents."""
+    return align_tokenizers(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -131,6 +151,9 @@ QUERIES = {
         op8_mix_sources,
         op9_pack_sequences,
         op10_toxicity,
+        op11_piece_codec,
+        op12_prefix_trie,
+        op13_token_alignment,
     )
 }
 
@@ -161,4 +184,18 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
 sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
 CAST(sum(14 + length(replace({_ESC.format("role")}, ':', ':\')) + length({_ESC.format("text")})) AS BIGINT) AS formatted_chars FROM a GROUP BY conv_id""",
+    # crc32 bit by bit; nodes are the prefixes themselves
+    "op12_prefix_trie": """WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS nth FROM t),
+h AS (SELECT c, c - c % 5 AS base, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+  lambda s, x: list_reduce(list_prepend(xor(s, x), range(8)), lambda a, k: xor(a >> 1, 3988292384 * (a & 1)))), 4294967295) % 9 AS h FROM (SELECT DISTINCT conv_id AS c FROM t)),
+b AS (SELECT c, 0 AS side, nth, role, text FROM h JOIN o ON o.conv_id = base AND nth <= h UNION ALL SELECT c, 1, nth, role, text FROM h JOIN o ON o.conv_id = c AND nth > h),
+w AS (SELECT h.c, coalesce(list({'role': role, 'text': text} ORDER BY side, nth) FILTER (WHERE nth IS NOT NULL), []) AS turns FROM h LEFT JOIN b ON b.c = h.c GROUP BY h.c),
+m AS (SELECT c, d, turns[1:d] AS p, len(turns) = d AS ends FROM (SELECT c, turns, unnest(range(0, len(turns) + 1)) AS d FROM w)),
+n AS (SELECT p, d, p[1:d - 1] AS up, min(c) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE ends), '')) AS ends_sha256 FROM m GROUP BY p, d),
+k AS (SELECT up AS p, count(*) AS n_children FROM n WHERE d > 0 GROUP BY up),
+x AS (SELECT n.p, n.d, coalesce(n_children, 0) AS n_children, CASE WHEN n.d = 0 THEN 0 ELSE (n_convs - 1) * octet_length(encode(n.p[n.d].text)) END AS saved FROM n LEFT JOIN k ON k.p = n.p),
+s AS (SELECT p[1:a] AS p, sum(saved) AS saved_tokens, count(*) FILTER (WHERE n_children = 0) AS n_leaves FROM (SELECT p, saved, n_children, unnest(range(0, d + 1)) AS a FROM x) GROUP BY 1)
+SELECT n.conv_id, CAST(n.d AS BIGINT) AS depth, u.conv_id AS parent_conv_id, n.n_convs, CAST(coalesce(k.n_children, 0) AS BIGINT) AS n_children, s.n_leaves, CAST(s.saved_tokens AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM n JOIN s ON s.p = n.p LEFT JOIN k ON k.p = n.p LEFT JOIN n u ON n.d > 0 AND u.p = n.up""",
 }
