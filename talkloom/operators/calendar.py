@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from datetime import datetime
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LOOKBACK, LOOKAHEAD = 15, 10
@@ -31,18 +33,35 @@ def merge_events(*sources: DataFrame) -> DataFrame:
     return out
 
 
+def store_events(events: DataFrame, path: str) -> None:
+    """Lays events (title, start, end) down by day, each under every day it touches."""
+    days = F.sequence(F.to_date("start"), F.greatest(F.to_date("start"), F.to_date("end")))
+    events.where("start is not null and end is not null").withColumn("day", F.explode(days)).repartition("day").write.partitionBy("day").mode("append").parquet(path)
+
+
+def events_between(spark: SparkSession, path: str, begin: datetime, stop: datetime) -> DataFrame:
+    """Stored events that touch begin to stop, each once. Only the window's days are
+    read: an event counts on the first of them that it touches."""
+    begin, stop = F.lit(begin).cast("timestamp"), F.lit(stop).cast("timestamp")
+    stored = spark.read.parquet(path)
+    days = stored.where((F.col("day") >= F.to_date(begin)) & (F.col("day") <= F.to_date(stop)))
+    first = F.col("day") == F.greatest(F.to_date("start"), F.to_date(begin))
+    return days.where((F.col("start") <= stop) & (F.col("end") >= begin) & first).drop("day")
+
+
 def title_hints(moments: DataFrame, events: DataFrame, lookback: int = LOOKBACK, lookahead: int = LOOKAHEAD) -> DataFrame:
     """Adds `hint` to (moment_id, now): the title of the event in progress that began
     last, else of the nearest one from lookback minutes before to lookahead after.
 
-    Both sides are cut into buckets of an hour, so that the range join is an
-    equi-join with an exact condition after it; an event is found in its own hours."""
-    hour = lambda c: F.floor(F.unix_seconds(c) / 3600)
+    Both sides are cut into buckets of the window's length, so that the range join is
+    an equi-join with an exact condition after it; an event is found in its own buckets."""
+    bucket = max(60, 60 * (lookback + lookahead) // 2)
+    place = lambda c: F.floor(F.unix_seconds(c) / bucket)
     begin, stop = F.col("now") - F.make_interval(mins=F.lit(lookback)), F.col("now") + F.make_interval(mins=F.lit(lookahead))
     windows = moments.select("moment_id", "now", begin.alias("_from"), stop.alias("_to"))
-    left = windows.withColumn("_hour", F.explode(F.sequence(hour(F.col("_from")), hour(F.col("_to")))))
-    right = events.withColumn("_hour", F.explode(F.sequence(hour(F.col("start")), hour(F.col("end")))))
-    near = left.join(right, "_hour").where((F.col("start") <= F.col("_to")) & (F.col("end") >= F.col("_from")))
+    left = windows.withColumn("_bucket", F.explode(F.sequence(place(F.col("_from")), place(F.col("_to")))))
+    right = events.withColumn("_bucket", F.explode(F.sequence(place(F.col("start")), place(F.col("end")))))
+    near = left.join(right, "_bucket").where((F.col("start") <= F.col("_to")) & (F.col("end") >= F.col("_from")))
     running = (F.col("start") <= F.col("now")) & (F.col("end") >= F.col("now"))
     gap = F.abs(F.unix_micros("start") - F.unix_micros("now"))
     key = F.struct(

@@ -7,13 +7,17 @@ of lengths (id, len).
 
 from __future__ import annotations
 
+import json
+import uuid
 import warnings
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from talkloom.functions import text as T
 from talkloom.operators.rows import in_order
+from talkloom.streaming.runs import file_system, stored
 
 COLUMNS = "id long, ts string, title string, date date, summary_md string, transcript_md string, save_dir string, duration int, created_at timestamp"
 FIELDS = ("title", "summary_md", "transcript_md")
@@ -134,5 +138,88 @@ def search(meetings: DataFrame, index: DataFrame, query: str, limit: int = 50, s
     query = (query or "").strip()
     if not query:
         return recent(meetings, limit)
-    found = ranked(meetings, index, query, limit, sizes).drop("score")
-    return contains(meetings, query, limit) if found.isEmpty() else found
+    # ranked once: what is found is laid down, then looked at and joined
+    best = stored(ranked(meetings.select("id"), index, query, limit, lengths(meetings) if sizes is None else sizes), "found")
+    return contains(meetings, query, limit) if best.isEmpty() else meetings.join(best, "id").orderBy("score", "id").drop("score")
+
+
+# --- a library of files, published whole ----------------------------------------------
+
+#: Its tables, each a folder of Parquet files by version.
+TABLES = ("meetings", "postings", "lengths")
+
+
+def publish(new: DataFrame, path: str, now: Column | None = None) -> int:
+    """Adds meetings (title, summary_md, transcript_md, save_dir, duration, ts) to the
+    library at a path: rows, postings and lengths are written aside, then one manifest
+    publishes them together. Returns the version's number.
+
+    A reader sees all three tables of a version or none: what a failed call has written
+    is named by no manifest. Manifests are numbered, and made only where there is none of
+    that number, so of two writers at once one goes first and the other follows it. Ids
+    go on from the greatest, in order of (ts, title): rows hold their place in the
+    version, and the manifest what comes before."""
+    spark, now = new.sparkSession, F.current_timestamp() if now is None else now
+    version = uuid.uuid4().hex
+    numbered = in_order(new, "id", "ts", "title")
+    rows = numbered.select(F.col("id").cast("long").alias("id"), "ts", "title", meeting_date(F.col("ts"), F.to_date(now)).alias("date"), "summary_md", "transcript_md", "save_dir", F.coalesce(F.col("duration").cast("int"), F.lit(0)).alias("duration"), F.date_trunc("second", now).alias("created_at"))
+    rows.write.parquet(f"{path}/meetings/version={version}")
+    written = spark.read.parquet(f"{path}/meetings/version={version}")
+    terms = postings(written).repartition("term").sortWithinPartitions("term")  # so that a term's files and row groups are few
+    terms.write.parquet(f"{path}/postings/version={version}")
+    lengths(written).write.parquet(f"{path}/lengths/version={version}")
+    return _announce(spark, path, version, written.count())
+
+
+def _announce(spark: SparkSession, path: str, version: str, rows: int) -> int:
+    while True:
+        number, known = _newest(spark, path)
+        before = sum(v["rows"] for v in known)
+        listed = [*known, {"version": version, "rows": rows, "before": before}]
+        fs, place = file_system(spark, f"{path}/manifests/{number + 1:010d}.json")
+        try:
+            out = fs.create(place, False)
+        except Py4JJavaError as e:
+            if fs.exists(place):
+                continue  # another writer was first
+            raise e
+        try:
+            out.write(bytearray(json.dumps(listed).encode()))
+        finally:
+            out.close()
+        return number + 1
+
+
+def _newest(spark: SparkSession, path: str) -> tuple[int, list[dict]]:
+    """The greatest number of a manifest, and what the newest whole one lists."""
+    fs, place = file_system(spark, f"{path}/manifests")
+    if not fs.exists(place):
+        return 0, []
+    names = sorted((str(s.getPath().getName()) for s in fs.listStatus(place) if str(s.getPath().getName()).endswith(".json")), reverse=True)
+    for name in names:
+        data = fs.open(file_system(spark, f"{path}/manifests/{name}")[1])
+        try:
+            text = bytes(data.readAllBytes()).decode()
+        finally:
+            data.close()
+        try:
+            return int(names[0].split(".")[0]), json.loads(text)
+        except json.JSONDecodeError:
+            continue  # its writer stopped within it
+    return int(names[0].split(".")[0]) if names else 0, []
+
+
+def published(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """meetings, postings and lengths of the library at a path, all of the newest whole
+    version; later ones do not change what this has returned."""
+    schemas = {"meetings": COLUMNS, "postings": "id long, field string, term string, positions array<int>, n_tokens int", "lengths": "id long, len long"}
+    _, known = _newest(spark, path)
+    if not known:
+        return {name: spark.createDataFrame([], schema) for name, schema in schemas.items()}
+    before = F.create_map(*[x for v in known for x in (F.lit(v["version"]), F.lit(v["before"]))])
+    out = {}
+    for name in TABLES:
+        # versions are partitions: those that no manifest names are not read
+        rows = spark.read.option("basePath", f"{path}/{name}").schema(f"{schemas[name]}, version string").parquet(*[f"{path}/{name}/version={v['version']}" for v in known])
+        out[name] = rows.withColumn("id", F.col("id") + F.element_at(before, F.col("version"))).drop("version")
+    return out

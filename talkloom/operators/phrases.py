@@ -16,12 +16,13 @@ PHRASE_PATTERN = "[一-龯ぁ-んァ-ンA-Za-z0-9０-９ー]{4,24}"
 def phrase_counts(texts: DataFrame, terms: Sequence[str] = ()) -> DataFrame:
     """phrase, n and first place (of texts: ord, text): once for each text that holds
     a term, and once for each cleaned run of 4 to 24 characters."""
-    held = F.filter(F.array(*[F.lit(t) for t in terms]).cast("array<string>"), lambda t: F.contains(F.col("text"), t))
+    said = lambda phrase, term: F.struct(phrase.alias("phrase"), F.lit(term).alias("term"))
+    held = F.transform(F.filter(F.array(*[F.lit(t) for t in terms]).cast("array<string>"), lambda t: F.contains(F.col("text"), t)), lambda t: said(t, True))
     # a run needs no cleaning, but for runs of digits alone: those go once counted
-    runs = F.regexp_extract_all("text", F.lit(PHRASE_PATTERN), 0)
-    each = texts.select("ord", F.size(held).alias("held"), F.posexplode(F.concat(held, runs)).alias("at", "phrase"))
-    term = F.col("at") < F.col("held")
-    counted = each.groupBy("phrase").agg(F.count("*").alias("n"), F.count_if(term).alias("held"), F.min(F.struct("ord", "at")).alias("first"), F.min(F.when(term, F.struct("ord", "at"))).alias("first_held"))
+    runs = F.transform(F.regexp_extract_all("text", F.lit(PHRASE_PATTERN), 0), lambda r: said(r, False))
+    # what a phrase is travels with it: nothing looks at the text again
+    each = texts.select("ord", F.posexplode(F.concat(held, runs)).alias("at", "said")).select("ord", "at", "said.phrase", "said.term")
+    counted = each.groupBy("phrase").agg(F.count("*").alias("n"), F.count_if("term").alias("held"), F.min(F.struct("ord", "at")).alias("first"), F.min(F.when(F.col("term"), F.struct("ord", "at"))).alias("first_held"))
     digits = F.regexp_like("phrase", F.lit("^[0-9０-９]+$"))
     n, first = F.when(digits, F.col("held")).otherwise(F.col("n")), F.when(digits, F.col("first_held")).otherwise(F.col("first"))
     return counted.select("phrase", n.alias("n"), first.alias("first")).where("n > 0")

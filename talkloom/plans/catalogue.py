@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import UTC, datetime
+
 from pyspark.sql import functions as F
 
 from talkloom.functions import text as T
@@ -10,6 +12,7 @@ from talkloom.operators import rows as R
 from talkloom.plans import streams  # noqa: F401  registers its queries
 from talkloom.plans import tables as B
 from talkloom.plans.registry import ORACLE_SQL, QUERIES, query  # noqa: F401  read from here by the entry points
+from talkloom.streaming.runs import new_folder
 
 FLAGSHIP = "meeting_summary"
 
@@ -213,7 +216,18 @@ def built_conversation(spark, sf):
     return speakers.conversation_turns(u).select("meeting_id", "ord", F.round("ts", 4).alias("ts"), F.round("te", 4).alias("te"))
 
 
-@query()
+@query(
+    f"WITH RECURSIVE {B.ROWS_SQL}, {B.TURNS_SQL}, "
+    "g AS (SELECT meeting_id, f, arg_max(spk, ord) AS t FROM (SELECT meeting_id, ord, CAST(ord % 2 AS INTEGER) AS spk, unnest(range(CAST(floor(st / 0.01::DOUBLE) AS BIGINT), CAST(floor(en / 0.01::DOUBLE) AS BIGINT))) AS f FROM r) GROUP BY ALL), "
+    "k AS (SELECT meeting_id, f, arg_max(spk, turn_ord) AS h FROM (SELECT meeting_id, turn_ord, spk, unnest(range(CAST(floor(ts / 0.01::DOUBLE) AS BIGINT), CAST(floor(te / 0.01::DOUBLE) AS BIGINT))) AS f FROM t) GROUP BY ALL), "
+    "c AS (SELECT meeting_id, t, h, count(*) AS n FROM g LEFT JOIN k USING (meeting_id, f) GROUP BY ALL), "
+    # every truth speaker in turn takes a found one that is free, or none
+    "s AS (SELECT meeting_id, t, row_number() OVER (PARTITION BY meeting_id ORDER BY t) AS nth FROM (SELECT DISTINCT meeting_id, t FROM c)), "
+    "o AS (SELECT meeting_id, t, h, n FROM c WHERE h IS NOT NULL UNION ALL SELECT meeting_id, t, NULL, 0 FROM s), "
+    "m(meeting_id, nth, used, hits) AS (SELECT DISTINCT meeting_id, CAST(0 AS BIGINT), CAST([] AS INTEGER[]), CAST(0 AS BIGINT) FROM c "
+    "UNION ALL SELECT m.meeting_id, s.nth, CASE WHEN o.h IS NULL THEN used ELSE list_append(used, o.h) END, m.hits + o.n FROM m JOIN s ON s.meeting_id = m.meeting_id AND s.nth = m.nth + 1 JOIN o ON o.meeting_id = s.meeting_id AND o.t = s.t WHERE o.h IS NULL OR NOT list_contains(used, o.h)) "
+    "SELECT meeting_id, round(max(hits) / any_value(total)::DOUBLE, 6) AS accuracy FROM m JOIN (SELECT meeting_id, sum(n) AS total FROM c GROUP BY 1) USING (meeting_id) GROUP BY meeting_id"
+)
 def diarization_accuracy(spark, sf):
     truth = B.rows(spark, sf).selectExpr("meeting_id", "ord AS turn_ord", "st AS ts", "en AS te", "cast(ord % 2 as int) AS spk")
     return _rounded(speakers.frame_accuracy(truth, B.turns(spark, sf)), "accuracy")
@@ -533,6 +547,21 @@ def searched_meetings(spark, sf):
     return library.search(m, library.postings(m), "and_the%is").select("id", "title")
 
 
+def _published(spark, sf):
+    """A library of documents, published in two versions: even doc_ids, then odd ones."""
+    m, folder = B.meetings(spark, sf), new_folder(spark, "library")
+    for odd in (0, 1):
+        mine = m.where(F.col("id") % 2 == odd)
+        library.publish(mine.select(F.format_string("%012d", "id").alias("ts"), "title", "summary_md", "transcript_md", F.lit("").alias("save_dir"), F.lit(0).alias("duration")), folder)
+    return library.published(spark, folder)
+
+
+@query(f"SELECT nth AS id, score FROM ({ORACLE_SQL['ranked_meetings']}) JOIN (SELECT doc_id AS id, row_number() OVER (ORDER BY doc_id % 2, doc_id) AS nth FROM documents) USING (id)")
+def published_search(spark, sf):
+    found = _published(spark, sf)
+    return library.ranked(found["meetings"], found["postings"], "idiot of_the", -1, found["lengths"]).select("id", F.round("score", 5).alias("score"))
+
+
 @query("SELECT doc_id, coalesce(try_strptime(CASE WHEN doc_id % 3 = 0 THEN 'no date' ELSE printf('2024%02d%02d_120000', 1 + doc_id % 12, 1 + doc_id % 31) END, '%Y%m%d_%H%M%S')::DATE, DATE '2025-01-01')::VARCHAR AS date FROM documents")
 def meeting_dates(spark, sf):
     stamp = F.when(F.col("doc_id") % 3 == 0, "no date").otherwise(F.format_string("2024%02d%02d_120000", 1 + F.col("doc_id") % 12, 1 + F.col("doc_id") % 31))
@@ -559,6 +588,17 @@ def calendar_titles(spark, sf):
     return hints.select("moment_id", calendar.titled(F.col("hint"), F.lit("generated")).alias("title"))
 
 
+@query("WITH e AS (SELECT event_type || '-' || event_id AS title, ts AS s, CASE WHEN event_id % 4 = 0 THEN ts + INTERVAL 1 HOUR ELSE ts + to_minutes(1 + event_id % 3000) END AS e FROM events) SELECT title, CAST(floor(epoch(s)) AS BIGINT) AS start_s, CAST(floor(epoch(e)) AS BIGINT) AS end_s FROM e WHERE s <= TIMESTAMP '2024-01-12 20:00:00' AND e >= TIMESTAMP '2024-01-10 08:00:00'")
+def calendar_window(spark, sf):
+    events = B.table(spark, sf, "events").selectExpr(
+        "event_type || '-' || event_id AS title", "cast(ts as timestamp) AS start", "CASE WHEN event_id % 4 = 0 THEN NULL ELSE cast(ts as timestamp) + make_interval(0, 0, 0, 0, 0, 1 + event_id % 3000, 0) END AS end"
+    )
+    folder = new_folder(spark, "calendar")
+    calendar.store_events(calendar.valid_events(events), folder)
+    found = calendar.events_between(spark, folder, datetime(2024, 1, 10, 8, tzinfo=UTC), datetime(2024, 1, 12, 20, tzinfo=UTC))
+    return found.select("title", F.unix_seconds("start").alias("start_s"), F.unix_seconds("end").alias("end_s"))
+
+
 # --- whole meetings -----------------------------------------------------------------
 
 

@@ -1,19 +1,20 @@
 """Registered queries over streams, files and functions of the caller, with their SQL.
 
-Each stream runs over all rows of its table (trigger availableNow), and the query is
-what it has given by then."""
+The rows of a stream arrive in several portions, one after another (runs.replayed);
+the query is what the stream has given by the end."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from talkloom.operators import channels, slots
+from talkloom.operators import channels, echo, slots
 from talkloom.operators import rows as R
 from talkloom.plans import tables as B
 from talkloom.plans.registry import query
-from talkloom.sources import audio, text
-from talkloom.streaming import live
-from talkloom.streaming.runs import as_stream, finished, new_folder
+from talkloom.sources import text, wav
+from talkloom.streaming import live, recording
+from talkloom.streaming.runs import finished, new_folder, replayed
 
 # --- streams ------------------------------------------------------------------------
 
@@ -34,7 +35,8 @@ def streamed_captions(spark, sf):
     looks = r.select("meeting_id", "label", (F.col("ord") * 4.0 + 6).alias("captured"))
     # every look at a channel recognises what its last eight seconds hold
     heard = looks.join(r.drop("ord"), ["meeting_id", "label"]).where("st < captured and en > captured - 8")
-    return finished(live.live_captions(as_stream(heard.select("meeting_id", "label", "captured", "st", "en", "txt"), "results"), timeout=None), "captions")
+    heard = heard.select("meeting_id", "label", "captured", "st", "en", "txt")
+    return replayed(heard, "captions", F.least(F.lit(5), F.floor((F.col("captured") - 6) / 4)), lambda s: live.live_captions(s, timeout=None))
 
 
 _SHOWN = "CASE (conv_id + turn) % 4 WHEN 0 THEN 'status' WHEN 2 THEN 'result' ELSE 'hypothesis' END"
@@ -49,34 +51,98 @@ _SHOWN = "CASE (conv_id + turn) % 4 WHEN 0 THEN 'status' WHEN 2 THEN 'result' EL
 )
 def streamed_text(spark, sf):
     events = B.said_twice(spark, sf).select(F.col("conv_id").alias("meeting_id"), F.lit(R.MIC).alias("label"), F.col("turn").cast("int").alias("ord"), F.expr(_SHOWN).alias("type"), "text")
-    return finished(live.shown_text(as_stream(events, "events")), "shown")
+    return replayed(events, "shown", F.least(F.lit(5), F.floor(F.col("ord") / 2)), live.shown_text)
 
 
 @query("WITH s AS (SELECT CAST(user_id AS VARCHAR) AS host, event_id AS moment, [event_type, 'm' || (event_id % 3)] AS m FROM events), p AS (SELECT *, coalesce(lag(m) OVER (PARTITION BY host ORDER BY moment), CAST([] AS VARCHAR[])) AS b FROM s) SELECT host, moment, unnest(list_filter(m, lambda x: NOT list_contains(b, x))) AS member FROM p")
 def streamed_members(spark, sf):
     snapshots = B.table(spark, sf, "events").selectExpr("cast(user_id as string) AS host", "event_id AS at", "array(event_type, concat('m', event_id % 3)) AS members")
-    return finished(live.newly_running(as_stream(snapshots, "snapshots")), "members").withColumnRenamed("at", "moment")
+    return replayed(snapshots, "members", F.least(F.lit(5), F.floor(F.col("at") / 180)), live.newly_running).withColumnRenamed("at", "moment")
 
 
-@query("SELECT user_id AS meeting_id, event_type AS label, min(event_id / 1000.0::DOUBLE) AS captured FROM events WHERE event_id / 1000.0::DOUBLE >= 0.15 AND value / 1000.0::DOUBLE >= 0.01 GROUP BY ALL")
+#: Blocks arrive in order, but every seventh a portion late: that is late for good
+#: where a later one of its key was taken before.
+_ARRIVAL = "least(frame_ix // 180, 5) + CASE WHEN frame_ix % 7 = 0 THEN 1 ELSE 0 END"
+_ON_TIME_SQL = (
+    f"{B.BLOCKS_SQL}, v AS (SELECT *, {_ARRIVAL} AS arrival FROM b), "
+    "i AS (SELECT * FROM v QUALIFY frame_ix > coalesce(max(frame_ix) OVER (PARTITION BY {key} ORDER BY arrival RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1))"
+)
+
+
+def _arrival():
+    return F.expr(_ARRIVAL.replace("//", "div"))
+
+
+@query(
+    f"WITH {_ON_TIME_SQL.format(key='meeting_id, label')}, x AS (SELECT meeting_id, label, frame_ix, CAST(unnest(samples) AS FLOAT)::DOUBLE AS x, unnest([0, 1]) AS k FROM i), "
+    "r AS (SELECT *, row_number() OVER w AS n, sqrt(avg(x * x) OVER (w ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)) AS rms FROM x WINDOW w AS (PARTITION BY meeting_id, label ORDER BY frame_ix, k)) "
+    "SELECT meeting_id, label, min(n) / 16.0::DOUBLE AS captured FROM r WHERE k = 1 AND n >= 0.15 * 16 AND rms >= 0.01 GROUP BY ALL"
+)
 def streamed_activity(spark, sf):
-    levels = B.table(spark, sf, "events").selectExpr("user_id AS meeting_id", "event_type AS label", "event_id / 1000D AS captured", "value / 1000D AS rms")
-    return finished(live.first_activity(as_stream(levels, "levels")), "activity")
+    return replayed(B.blocks(spark, sf), "activity", _arrival(), lambda s: recording.first_sound(s, rate=16))
+
+
+@query(f"WITH {B.BLOCKS_SQL}, k AS (SELECT *, sum(len(samples)) OVER (PARTITION BY meeting_id, label ORDER BY frame_ix DESC) AS held, sum(len(samples)) OVER (PARTITION BY meeting_id, label) AS captured FROM b) "
+       "SELECT meeting_id, label, CAST(any_value(captured) AS BIGINT) AS captured, CAST(max(held) AS BIGINT) AS held, min(frame_ix) AS oldest, max(frame_ix) AS newest FROM k WHERE held <= 30 GROUP BY meeting_id, label")
+def streamed_buffer(spark, sf):
+    states = replayed(B.blocks(spark, sf), "buffer", _arrival(), lambda s: recording.buffered(s, rate=1))
+    last = states.groupBy("meeting_id", "label").agg(F.max_by(F.struct("captured", "held", "oldest", "newest"), "captured").alias("s"))
+    return last.select("meeting_id", "label", "s.*")
+
+
+def _loud_seconds(samples):
+    """Stands in for a recogniser: a second at a time, four samples, heard where loud."""
+    return [(k / 4, (k + 4) / 4, f"{(abs(samples[k : k + 4]) >= _LOUD).sum()} loud") for k in range(0, len(samples), 4) if (abs(samples[k : k + 4]) >= _LOUD).any()]
+
+
+_LOUD = np.float32(0.05)
 
 
 @query(
-    "WITH e AS (SELECT epoch_us(ts) // 7200000000 - k AS tick, user_id AS meeting_id, event_type AS label, value / 100 AS x, max(epoch_us(ts)) OVER () AS newest FROM events, (VALUES (0), (1), (2)) v(k)) "
+    f"WITH RECURSIVE {_ON_TIME_SQL.format(key='meeting_id')}, a AS (SELECT *, row_number() OVER (PARTITION BY meeting_id, label ORDER BY frame_ix) AS nth FROM i), "
+    # frames are taken once a later one has come; a look is due where five more samples are in the longest channel
+    f"f AS (SELECT *, max(frame_ix) OVER (PARTITION BY meeting_id) AS newest, 2 * count(*) FILTER (WHERE label = '{R.MIC}') OVER o AS mic, 2 * count(*) FILTER (WHERE label = '{R.SYSTEM}') OVER o AS sys FROM i WINDOW o AS (PARTITION BY meeting_id ORDER BY frame_ix)), "
+    "h AS (SELECT meeting_id, frame_ix AS look, mic, sys FROM (SELECT *, greatest(mic, sys) // 5 AS hop, lag(greatest(mic, sys) // 5, 1, 0) OVER (PARTITION BY meeting_id ORDER BY frame_ix) AS before FROM f) WHERE hop > before AND frame_ix < newest), "
+    f"c AS (SELECT h.meeting_id, look, label, CASE label WHEN '{R.MIC}' THEN mic ELSE sys END AS captured, nth, samples FROM h JOIN a ON a.meeting_id = h.meeting_id AND a.frame_ix <= look), "
+    "l AS (SELECT meeting_id, look, label, captured, sqrt(avg(x * x)) AS rms FROM (SELECT meeting_id, look, label, captured, CAST(unnest(samples) AS FLOAT)::DOUBLE AS x FROM c WHERE 2 * nth > captured - 12) GROUP BY ALL HAVING captured >= 0.8 * 4 AND sqrt(avg(x * x)) >= 0.001), "
+    f"p AS (SELECT *, max(rms) FILTER (WHERE label = '{R.MIC}') OVER w AS m, max(rms) FILTER (WHERE label = '{R.SYSTEM}') OVER w AS s FROM l WINDOW w AS (PARTITION BY meeting_id, look)), "
+    f"g AS (SELECT *, row_number() OVER (PARTITION BY meeting_id, look ORDER BY label <> '{R.SYSTEM}', rms DESC) AS place FROM p WHERE m IS NULL OR s IS NULL OR CASE WHEN s >= m * 0.75 THEN label = '{R.SYSTEM}' WHEN m >= s * 1.6 THEN label = '{R.MIC}' ELSE true END), "
+    "w AS (SELECT meeting_id, look, label, place, captured, flatten(list(samples ORDER BY nth)) AS x FROM g JOIN c USING (meeting_id, look, label, captured) WHERE 2 * nth > captured - 32 GROUP BY ALL), "
+    "e AS (SELECT *, (captured - len(x)) / 4.0::DOUBLE AS begin, unnest(range(0, len(x), 4)) AS k FROM w), "
+    "n AS (SELECT *, row_number() OVER (PARTITION BY meeting_id, label ORDER BY look, st) AS j FROM (SELECT meeting_id, look, label, place, captured / 4.0::DOUBLE AS captured, begin + k / 4.0::DOUBLE AS st, begin + (k + 4) / 4.0::DOUBLE AS en, len(list_filter(x[k + 1:k + 4], lambda v: abs(CAST(v AS FLOAT)) >= CAST(0.05 AS FLOAT))) AS loud FROM e) WHERE loud > 0), "
+    "u(meeting_id, label, j, settled, until) AS (SELECT meeting_id, label, CAST(0 AS BIGINT), false, CAST(0 AS DOUBLE) FROM (SELECT DISTINCT meeting_id, label FROM n) "
+    "UNION ALL SELECT u.meeting_id, u.label, n.j, n.en <= greatest(0, n.captured - 1.5) AND n.en > u.until + 0.05, CASE WHEN n.en <= greatest(0, n.captured - 1.5) AND n.en > u.until + 0.05 THEN greatest(u.until, n.en) ELSE u.until END FROM u JOIN n ON n.meeting_id = u.meeting_id AND n.label = u.label AND n.j = u.j + 1), "
+    "t AS (SELECT n.*, n.loud || ' loud' AS txt, u.settled, max(u.until) OVER (PARTITION BY n.meeting_id, n.label, n.look) AS until FROM n JOIN u USING (meeting_id, label, j)), "
+    "q AS (SELECT g.meeting_id, g.look, coalesce(string_agg(t.label || ': ' || txt, chr(10) ORDER BY g.place, st) FILTER (WHERE en > until + 0.05), '') AS shown FROM g LEFT JOIN t USING (meeting_id, look, label) GROUP BY ALL), "
+    "d AS (SELECT *, shown <> lag(shown, 1, '') OVER (PARTITION BY meeting_id ORDER BY look) AS changed FROM q) "
+    "SELECT meeting_id, label, captured, st, en, txt, 'final' AS kind FROM t WHERE settled UNION ALL SELECT t.meeting_id, t.label, captured, st, en, txt, 'provisional' FROM t JOIN d ON d.meeting_id = t.meeting_id AND d.look = t.look WHERE changed AND en > until + 0.05"
+)
+def streamed_transcription(spark, sf):
+    # samples in, captions out: looks every 5 samples at 4 a second, each over 8 seconds
+    return replayed(B.blocks(spark, sf), "transcription", _arrival(), lambda s: recording.live_transcription(s, _loud_seconds, rate=4, slack=1))
+
+
+#: Portions of six days; every fortieth event of the first six comes last, when its
+#: windows are long closed.
+_DAY = "CAST(epoch_us(ts) // 86400000000 - 19723 AS INTEGER)"
+
+
+@query(
+    f"WITH a AS (SELECT *, {_DAY} < 6 AND event_id % 40 = 0 AS late FROM events), "
+    "e AS (SELECT epoch_us(ts) // 7200000000 - k AS tick, user_id AS meeting_id, event_type AS label, value / 100 AS x, max(epoch_us(ts)) OVER () AS newest FROM a, (VALUES (0), (1), (2)) v(k) WHERE NOT late) "
     "SELECT tick * 7200 AS start_s, meeting_id, label, round(sqrt(avg(x * x)), 6) AS rms FROM e WHERE (tick + 3) * 7200000000 <= newest - 3600000000 GROUP BY ALL"
 )
 def streamed_levels(spark, sf):
-    blocks = B.table(spark, sf, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("meeting_id"), F.col("event_type").alias("label"), F.array(F.col("value") / 100).alias("samples"))
-    levels = live.windowed_levels(as_stream(blocks, "blocks"), window="6 hours", slide="2 hours", delay="1 hour")
-    return finished(levels, "windows").select(F.unix_seconds("start").alias("start_s"), "meeting_id", "label", F.round("rms", 6).alias("rms"))
+    blocks = B.table(spark, sf, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("meeting_id"), F.col("event_type").alias("label"), F.array(F.col("value") / 100).alias("samples"))
+    day = F.floor(F.unix_micros("ts") / 86_400_000_000) - 19_723
+    arrival = F.when((day < 6) & (F.col("event_id") % 40 == 0), 5).otherwise(F.least(F.lit(4), F.floor(day / 6)))
+    levels = replayed(blocks, "levels", arrival, lambda s: live.windowed_levels(s, window="6 hours", slide="2 hours", delay="1 hour"))
+    return levels.select(F.unix_seconds("start").alias("start_s"), "meeting_id", "label", F.round("rms", 6).alias("rms"))
 
 
 @query(f"WITH {B.BLOCKS_SQL} SELECT meeting_id, label, frame_ix, samples[1] AS first_sample, samples[2] AS second_sample FROM b")
 def spooled_blocks(spark, sf):
-    kept = finished(as_stream(B.blocks(spark, sf), "recorded"), "spool")
+    kept = replayed(B.blocks(spark, sf), "spool", _arrival(), lambda stream: stream)
     return kept.select("meeting_id", "label", "frame_ix", F.get("samples", F.lit(0)).alias("first_sample"), F.get("samples", F.lit(1)).alias("second_sample"))
 
 
@@ -113,16 +179,13 @@ _SIDE = "CASE WHEN event_type IN ('click', 'view') THEN 'mic' ELSE 'system' END"
 )
 def wav_files(spark, sf):
     side = F.when(F.col("label") == R.MIC, "mic").otherwise("system")
-    parts = F.array_sort(F.collect_list(F.struct("frame_ix", "samples")))
-    whole = B.blocks(spark, sf).groupBy("meeting_id", side.alias("label")).agg(F.flatten(F.transform(parts, lambda p: p["samples"])).alias("samples"))
     folder = new_folder(spark, "wav")
-    local = folder.removeprefix("file://")
-    audio.make_folder(local)
-    failed = audio.write_wav(whole, local).where("error is not null").count()
-    if failed:
-        raise OSError(f"{failed} channels were not written to {local}")
+    wav.write_channels(B.blocks(spark, sf).withColumn("label", side), folder)
+    if failed := wav.errors_of(folder):
+        raise OSError(f"{len(failed)} channels were not written to {folder}: {failed}")
     name = F.regexp_extract("path", r"([^/]+)\.wav$", 1)
-    blocks = audio.read_wav(spark, folder).withColumn("meeting_id", F.substring_index(name, "_", 1).cast("long")).withColumn("label", F.substring_index(name, "_", -1))
+    read = spark.read.format("talkloom_wav").option("split", 1 << 20).load(folder)
+    blocks = read.withColumn("meeting_id", F.substring_index(name, "_", 1).cast("long")).withColumn("label", F.substring_index(name, "_", -1))
     total = F.aggregate("samples", F.lit(0).cast("long"), lambda s, x: s + (x * 32768).cast("long"))
     return blocks.groupBy("meeting_id", "label", "rate").agg(F.sum(F.size("samples")).cast("long").alias("n"), F.sum(total).alias("total"))
 
@@ -158,6 +221,25 @@ def rows_in_time_order(spark, sf):
     return R.in_time_order(B.rows(spark, sf)).select("meeting_id", "ord", "st", "label", "place")
 
 
+@query(
+    f"WITH {B.BLOCKS_SQL}, x AS (SELECT meeting_id, label, frame_ix, unnest(samples) AS x, unnest([0, 1]) AS k FROM b), p AS (SELECT meeting_id, label, CAST(x AS FLOAT)::DOUBLE AS x, row_number() OVER (PARTITION BY meeting_id, label ORDER BY frame_ix, k) - 1 AS t FROM x), "
+    "n AS (SELECT meeting_id, min(c) AS n FROM (SELECT meeting_id, label, count(*) AS c FROM p GROUP BY ALL) GROUP BY meeting_id HAVING count(*) = 2), "
+    "z AS (SELECT meeting_id, label, n, t, x - avg(x) OVER (PARTITION BY meeting_id, label) AS x FROM p JOIN n USING (meeting_id) WHERE t < n), "
+    f"c AS (SELECT m.meeting_id, m.t - s.t AS lag, sum(m.x * s.x) AS x FROM z m JOIN z s ON s.meeting_id = m.meeting_id AND m.label = '{R.MIC}' AND s.label = '{R.SYSTEM}' AND m.t - s.t BETWEEN -20 AND 20 WHERE m.n >= 8 GROUP BY ALL), "
+    "l AS (SELECT meeting_id, lag FROM c QUALIFY row_number() OVER (PARTITION BY meeting_id ORDER BY abs(x) DESC, lag) = 1) SELECT meeting_id, CAST(n AS BIGINT) AS n, CAST(coalesce(lag, 0) AS INTEGER) AS lag FROM n LEFT JOIN l USING (meeting_id)"
+)
+def channel_delays(spark, sf):
+    return echo.delays(B.blocks(spark, sf), max_lag=20, least=8, width=32)
+
+
+@query()
+def echo_cancelled(spark, sf):
+    # frames of 16 samples, segments of 4 of them: tests hold the numbers against whole channels
+    cleaned = echo.cancel_echo_blocks(B.blocks(spark, sf), frame=16, hop=4, max_lag=20, least=8, frames=4, lag_segment=64)
+    square = F.aggregate("samples", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+    return cleaned.groupBy("meeting_id", "label").agg(F.sum(F.size("samples")).cast("long").alias("n"), F.round(F.sum(square), 4).alias("energy"))
+
+
 def _whole(spark, sf):
     parts = F.array_sort(F.collect_list(F.struct("frame_ix", "samples")))
     return B.blocks(spark, sf).groupBy("meeting_id", "label").agg(F.flatten(F.transform(parts, lambda p: p["samples"])).alias("samples"))

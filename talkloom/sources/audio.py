@@ -1,9 +1,9 @@
-"""WAV files as sample arrays, and back."""
+"""Whole WAV and spool files as sample arrays, on any path that Spark reads; wav.py
+reads large ones by ranges, and writes."""
 
 from __future__ import annotations
 
 import io
-import os
 import wave
 
 import numpy as np
@@ -58,34 +58,6 @@ def decoded_spool(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInArrow(parse, "path string, frame_ix int, samples array<float>")
 
 
-def make_folder(path: str) -> None:
-    os.makedirs(path, exist_ok=True)
-
-
-def write_wav(channels: DataFrame, folder: str, rate: int = 16_000) -> DataFrame:
-    """Writes one 16-bit WAV file for each channel (meeting_id, label, samples) to a
-    folder that all executors share; gives meeting_id, label, path and error (null
-    where all went well): a failing file does not stop the others."""
-
-    def write(batches):
-        for batch in batches:
-            rows = []
-            for meeting, label, samples in zip(*(batch.column(c).to_pylist() for c in ("meeting_id", "label", "samples")), strict=True):
-                path, error = os.path.join(folder, f"{meeting}_{label}.wav"), None
-                try:
-                    values = np.clip(np.asarray(samples, np.float64) * 32767, -32768, 32767).astype("<i2")
-                    with wave.open(path, "wb") as f:
-                        f.setnchannels(1), f.setsampwidth(2), f.setframerate(rate)
-                        f.writeframes(values.tobytes())
-                except OSError as e:
-                    error = str(e)
-                rows.append((meeting, label, path, error))
-            m, lab, p, e = zip(*rows, strict=True) if rows else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(m, pa.int64()), pa.array(lab, pa.string()), pa.array(p, pa.string()), pa.array(e, pa.string())], ["meeting_id", "label", "path", "error"])
-
-    return channels.select(F.col("meeting_id").cast("long").alias("meeting_id"), "label", "samples").mapInArrow(write, "meeting_id long, label string, path string, error string")
-
-
 def importable(files: DataFrame, wav_only: bool = False) -> DataFrame:
     """binaryFile rows whose type an import accepts."""
     kind = F.lower(F.regexp_extract("path", r"\.([^.]+)$", 1))

@@ -14,6 +14,17 @@ STABLE_MARGIN, SETTLED = 1.5, 0.05
 WINDOW, RING_LEAST, RING_EXTRA = 8.0, 30.0, 5.0
 ACTIVITY_SECONDS, ACTIVITY_RMS = 0.15, 0.01
 
+
+def _timing(timeout: str | None):
+    return GroupStateTimeout.ProcessingTimeTimeout if timeout else GroupStateTimeout.NoTimeout
+
+
+def _put_off(state: GroupState, timeout: str | None) -> None:
+    """A key's state ends this long after its last rows."""
+    if timeout:
+        state.setTimeoutDuration(pd.Timedelta(timeout) // pd.Timedelta("1ms"))
+
+
 CAPTION = "meeting_id long, label string, st double, en double, txt string, kind string"
 
 
@@ -34,7 +45,8 @@ def live_captions(results: DataFrame, timeout: str | None = "10 minutes") -> Dat
     """Captions of a stream of recognition results (meeting_id, label, captured, st,
     en, txt): each evaluation of the window is rows of one `captured`. Rows that
     settle come once as kind final; open ones as provisional, only when their text
-    changed. State ends after `timeout` without results; with None it stays. A run
+    changed. A channel's evaluations are taken by `captured` within a batch, and whole: one
+    that comes after later ones changes nothing that has settled. State ends after `timeout` without results; with None it stays. A run
     with trigger availableNow ends only with None: a timeout asks for batches on."""
 
     def update(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -54,39 +66,31 @@ def live_captions(results: DataFrame, timeout: str | None = "10 minutes") -> Dat
                 out += [(meeting, label, *r, "provisional") for r in rest]
                 shown = text
         state.update((until, shown))
-        if timeout:
-            state.setTimeoutDuration(pd.Timedelta(timeout) // pd.Timedelta("1ms"))
+        _put_off(state, timeout)
         if out:
             yield pd.DataFrame(out, columns=["meeting_id", "label", "st", "en", "txt", "kind"])
 
-    return results.groupBy("meeting_id", "label").applyInPandasWithState(update, CAPTION, "until double, shown string", "append", GroupStateTimeout.ProcessingTimeTimeout if timeout else GroupStateTimeout.NoTimeout)
+    return results.groupBy("meeting_id", "label").applyInPandasWithState(update, CAPTION, "until double, shown string", "append", _timing(timeout))
 
 
-def latest_text(events: DataFrame) -> DataFrame:
-    """What a channel shows now, from recogniser events (meeting_id, label, ord, type,
-    text): the newest hypothesis after the last result as provisional, unless that
-    result says the same; a detected-speech status only before any text."""
-    mine = Window.partitionBy("meeting_id", "label")
-    result = F.max(F.when(F.col("type") == "result", F.col("ord"))).over(mine)
-    said = F.max_by("text", F.when(F.col("type") == "result", F.col("ord"))).over(mine)
-    anything = F.max(F.col("type").isin("result", "hypothesis")).over(mine)
-    marked = events.withColumns({"_result": F.coalesce(result, F.lit(-1)), "_said": F.coalesce(said, F.lit("")), "_any": anything})
-    open_ = marked.where((F.col("type") == "hypothesis") & (F.col("ord") > F.col("_result")) & (F.trim("text") != "") & (F.col("text") != F.col("_said")))
-    newest = open_.groupBy("meeting_id", "label").agg(F.max_by("text", "ord").alias("txt")).withColumn("kind", F.lit("provisional"))
-    status = marked.where((F.col("type") == "status") & ~F.col("_any")).groupBy("meeting_id", "label").agg(F.lit("...").alias("txt")).withColumn("kind", F.lit("status"))
-    return newest.unionByName(status)
-
-
-def shown_text(events: DataFrame) -> DataFrame:
-    """latest_text() of a stream: a row (meeting_id, label, ord, txt, kind) whenever
+def shown_text(events: DataFrame, timeout: str | None = None) -> DataFrame:
+    """What a channel of a stream shows (meeting_id, label, ord, type, text): a row (meeting_id, label, ord, txt, kind) whenever
     what a channel shows changes. Results always show, as final; a hypothesis unless
     it repeats the last result or what is shown; detected speech, as status, only
-    before any text. Events of one batch are taken by ord; blank texts do not count."""
+    before any text. Events of a channel are taken by ord within a batch; one that comes
+    after later ones were taken is late and goes. Blank texts do not count. State ends
+    after `timeout` without events; with None it stays."""
 
     def update(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        said, shown = state.get if state.exists else ("", "")
+        if state.hasTimedOut:
+            state.remove()
+            return
+        said, shown, last = state.get if state.exists else ("", "", -1)
         out = []
         for r in pd.concat(list(batches), ignore_index=True).sort_values("ord", kind="stable").itertuples():
+            if r.ord <= last:
+                continue
+            last = r.ord
             text = r.text if r.text and r.text.strip() else ""
             if r.type == "result" and text:
                 said = shown = text
@@ -97,11 +101,12 @@ def shown_text(events: DataFrame) -> DataFrame:
             elif r.type == "status" and not shown:
                 shown = "..."
                 out.append((*key, r.ord, shown, "status"))
-        state.update((said, shown))
+        state.update((said, shown, last))
+        _put_off(state, timeout)
         if out:
             yield pd.DataFrame(out, columns=["meeting_id", "label", "ord", "txt", "kind"])
 
-    return events.groupBy("meeting_id", "label").applyInPandasWithState(update, "meeting_id long, label string, ord int, txt string, kind string", "said string, shown string", "append", GroupStateTimeout.NoTimeout)
+    return events.groupBy("meeting_id", "label").applyInPandasWithState(update, "meeting_id long, label string, ord int, txt string, kind string", "said string, shown string, last int", "append", _timing(timeout))
 
 
 def ring(blocks: DataFrame, rate: int = 16_000, window: float = WINDOW) -> DataFrame:
@@ -120,35 +125,27 @@ def windowed_levels(blocks: DataFrame, window: str = "8 seconds", slide: str = "
     return sums.select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), "meeting_id", "label", F.sqrt(F.col("square") / F.col("n")).alias("rms"))
 
 
-def first_activity(levels: DataFrame) -> DataFrame:
-    """Fires once for each channel of a stream (meeting_id, label, captured, rms):
-    when enough is captured and sounds."""
-
-    def update(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches), ignore_index=True)
-        if state.exists:
-            return
-        on = rows[(rows.captured >= ACTIVITY_SECONDS) & (rows.rms >= ACTIVITY_RMS)]
-        if len(on):
-            state.update((True,))
-            yield pd.DataFrame({"meeting_id": [key[0]], "label": [key[1]], "captured": [on.captured.min()]})
-
-    return levels.groupBy("meeting_id", "label").applyInPandasWithState(update, "meeting_id long, label string, captured double", "fired boolean", "append", GroupStateTimeout.NoTimeout)
-
-
-def newly_running(snapshots: DataFrame) -> DataFrame:
+def newly_running(snapshots: DataFrame, timeout: str | None = None) -> DataFrame:
     """Members of each snapshot of a stream (host, at, members array<string>) that the
-    one before lacked, sorted."""
+    one before lacked, sorted. Snapshots of a host are taken in order of `at` within a
+    batch; one that comes after later ones were taken is late and goes. State ends
+    after `timeout` without snapshots; with None it stays."""
 
     def update(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        before = set(state.get[0]) if state.exists else set()
+        if state.hasTimedOut:
+            state.remove()
+            return
+        before, last = (set(state.get[0]), state.get[1]) if state.exists else (set(), None)
         out = []
-        for r in pd.concat(list(batches), ignore_index=True).sort_values("at").itertuples():
+        for r in pd.concat(list(batches), ignore_index=True).sort_values("at", kind="stable").itertuples():
+            if last is not None and r.at <= last:
+                continue
             now = set(r.members)
             out += [(key[0], r.at, m) for m in sorted(now - before)]
-            before = now
-        state.update((sorted(before),))
+            before, last = now, r.at
+        state.update((sorted(before), last))
+        _put_off(state, timeout)
         if out:
             yield pd.DataFrame(out, columns=["host", "at", "member"])
 
-    return snapshots.groupBy("host").applyInPandasWithState(update, "host string, at long, member string", "members array<string>", "append", GroupStateTimeout.NoTimeout)
+    return snapshots.groupBy("host").applyInPandasWithState(update, "host string, at long, member string", "members array<string>, at long", "append", _timing(timeout))

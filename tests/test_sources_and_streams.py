@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from talkloom.operators import channels
-from talkloom.sources import audio, settings, sinks
+from talkloom.sources import audio, settings, sinks, wav
 from talkloom.sources import text as S
 from talkloom.streaming import live
 
@@ -18,10 +18,7 @@ from talkloom.streaming import live
 def test_wav_round_trip(spark, tmp_path):
     x = np.sin(np.arange(4000) / 20).astype(np.float32)
     df = spark.createDataFrame([(7, "mic", x.tolist()), (7, "sys", [2.0, -2.0, 0.0])], "meeting_id long, label string, samples array<float>")
-    done = audio.write_wav(df, str(tmp_path)).collect()
-    assert all(r["error"] is None for r in done)
-    bad = audio.write_wav(df, str(tmp_path / "none")).collect()
-    assert all(r["error"] for r in bad)
+    wav.write_channels(df.withColumn("frame_ix", F.lit(0)), str(tmp_path))
     (tmp_path / "broken.wav").write_bytes(b"RIFF")
     blocks = audio.read_wav(spark, str(tmp_path))
     rows = blocks.orderBy("path", "frame_ix").collect()
@@ -112,15 +109,16 @@ def test_live_captions_settle_once(spark, tmp_path):
     assert sorted((r["txt"], r["kind"]) for r in out) == [("a", "final"), ("b", "final"), ("b?", "provisional"), ("c?", "provisional")]
 
 
-def test_new_members_and_first_activity_of_streams(spark, tmp_path):
-    a, b = tmp_path / "a", tmp_path / "b"
-    a.mkdir(), b.mkdir()
+def test_new_members_of_streams(spark, tmp_path):
     snapshots = [("h", 1, ["x"]), ("h", 2, ["x", "y"]), ("h", 3, ["y"]), ("h", 4, ["z", "x", "y"])]
-    out = run_stream(spark, snapshots, "host string, at long, members array<string>", live.newly_running, a, [(0, 1), (2, 3)])
+    out = run_stream(spark, snapshots, "host string, at long, members array<string>", live.newly_running, tmp_path, [(0, 1), (2, 3)])
     assert sorted((r["at"], r["member"]) for r in out) == [(1, "x"), (2, "y"), (4, "x"), (4, "z")]
-    levels = [(1, "m", 0.1, 0.5), (1, "m", 0.2, 0.001), (1, "m", 0.3, 0.02), (1, "m", 0.4, 0.02)]
-    out = run_stream(spark, levels, "meeting_id long, label string, captured double, rms double", live.first_activity, b, [(0, 1), (2, 3)])
-    assert [r["captured"] for r in out] == [0.3]
+
+
+def test_late_snapshots_go(spark, tmp_path):
+    snapshots = [("h", 1, ["x"]), ("h", 5, ["x", "y"]), ("h", 3, ["z"]), ("h", 6, ["y"]), ("h", 7, ["y", "x"])]
+    out = run_stream(spark, snapshots, "host string, at long, members array<string>", live.newly_running, tmp_path, [(0, 1), (2, 3), (4,)])
+    assert sorted((r["at"], r["member"]) for r in out) == [(1, "x"), (5, "y"), (7, "x")]
 
 
 def test_hopping_levels_with_late_blocks(spark, tmp_path):
@@ -137,11 +135,11 @@ def test_ring_is_bounded(spark):
     assert kept == list(range(14, 20))  # 30 s at 2 Hz
 
 
-def test_latest_text_of_events(spark):
+def test_shown_text_of_events(spark, tmp_path):
     schema = "meeting_id long, label string, ord int, type string, text string"
-    rows = [(1, "m", 0, "status", ""), (2, "m", 0, "hypothesis", "he"), (2, "m", 1, "hypothesis", "hello"), (3, "m", 0, "hypothesis", "hi"), (3, "m", 1, "result", "hi"), (3, "m", 2, "hypothesis", "hi"), (4, "m", 0, "status", ""), (4, "m", 1, "result", "x")]
-    got = {r["meeting_id"]: (r["txt"], r["kind"]) for r in live.latest_text(spark.createDataFrame(rows, schema)).collect()}
-    assert got == {1: ("...", "status"), 2: ("hello", "provisional")}
+    rows = [(1, "m", 0, "status", ""), (2, "m", 0, "hypothesis", "he"), (2, "m", 1, "hypothesis", "hello"), (3, "m", 0, "hypothesis", "hi"), (3, "m", 1, "result", "hi"), (3, "m", 2, "hypothesis", "hi"), (4, "m", 1, "result", "x"), (4, "m", 0, "status", "")]
+    out = run_stream(spark, rows, schema, live.shown_text, tmp_path, [(0, 1, 3), (2, 4, 6), (5, 7)])
+    assert sorted((r["meeting_id"], r["ord"], r["txt"], r["kind"]) for r in out) == [(1, 0, "...", "status"), (2, 0, "he", "provisional"), (2, 1, "hello", "provisional"), (3, 0, "hi", "provisional"), (3, 1, "hi", "final"), (4, 1, "x", "final")]
 
 
 def test_rows_reach_a_callback(spark, tmp_path):
