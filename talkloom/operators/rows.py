@@ -53,6 +53,18 @@ def with_first_confidence(events: DataFrame, key: str = "meeting_id") -> DataFra
     return events.withColumn("confidence", F.first("confidence").over(first))
 
 
+def recognised(results: DataFrame, rules: Sequence[Sequence[str]], drop: Sequence[str] = DROP_IF_ALONE, key: str = "meeting_id") -> DataFrame:
+    """What a file's recogniser results (key, ord, text, confidence) give: texts are
+    normalised, empty ones go; all that is left is normalised again, noise goes, and
+    each takes the first event of its file that has this text after the first pass, with
+    that event's confidence. A text that the second pass still changes equals no event,
+    unless another says the same, and is lost."""
+    once = results.withColumn("text", T.correct("text", rules)).where("text <> ''").withColumn("confidence", F.coalesce("confidence", F.lit(0.0)))
+    twice = once.withColumn("said", T.correct("text", rules)).where((F.col("said") != "") & ~F.col("said").isin(*drop)).select(key, "ord", F.col("said").alias("text"))
+    first = once.groupBy(key, "text").agg(F.min_by("confidence", "ord").alias("confidence"))
+    return twice.join(first, [key, "text"]).select(key, "ord", "text", "confidence")
+
+
 def is_outro(text: Column | str) -> Column:
     """Whether a text, without blanks and marks, is a known closing phrase."""
     return F.regexp_replace(F.coalesce(T.col(text), F.lit("")), r"(?U)[\s。．、,.!！?？]+", "").isin(*OUTROS)

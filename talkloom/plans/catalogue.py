@@ -12,6 +12,7 @@ from talkloom.operators import rows as R
 from talkloom.plans import streams  # noqa: F401  registers its queries
 from talkloom.plans import tables as B
 from talkloom.plans.registry import ORACLE_SQL, QUERIES, query  # noqa: F401  read from here by the entry points
+from talkloom.sources import text
 from talkloom.streaming.runs import new_folder
 
 FLAGSHIP = "meeting_summary"
@@ -48,6 +49,27 @@ def first_match_confidence(spark, sf):
     return R.with_first_confidence(events)
 
 
+_LOOSE = [["on(on)", r"\1"], ["(?:an)+", "AN"]]
+
+
+@query(
+    "WITH e AS (SELECT conv_id AS meeting_id, turn AS ord, text, CASE WHEN turn % 4 = 3 THEN NULL ELSE (conv_id * 7 + turn * 13) % 100 / 100.0::DOUBLE END AS c FROM conversations WHERE (conv_id + turn) % 6 <> 0 UNION ALL SELECT conv_id, turn + 1000, CASE WHEN turn % 2 = 0 THEN text ELSE 'The.' END, 0.5 FROM conversations), "
+    "o AS (SELECT * REPLACE (trim(regexp_replace(regexp_replace(trim(text, ' ' || chr(10)), 'on(on)', '\\1', 'gi'), '(?:an)+', 'AN', 'gi'), ' ' || chr(10)) AS text, coalesce(c, 0) AS c) FROM e), "
+    "t AS (SELECT meeting_id, ord, trim(regexp_replace(regexp_replace(text, 'on(on)', '\\1', 'gi'), '(?:an)+', 'AN', 'gi'), ' ' || chr(10)) AS text FROM o WHERE text <> ''), "
+    "f AS (SELECT meeting_id, text, arg_min(c, ord) AS confidence FROM o GROUP BY 1, 2) SELECT t.meeting_id, ord, text, confidence FROM t JOIN f USING (meeting_id, text) WHERE text <> '' AND text NOT IN ('The.', 'Of.', 'Les.')"
+)
+def recognised_files(spark, sf):
+    # recogniser output as files of JSON lines, every sixth line broken; read back, cleaned, matched
+    said = lambda what, confidence, nth, broken: c.selectExpr("'result' AS type", f"{what} AS text", f"{confidence} AS confidence", f"conv_id * 100000 + {nth} AS ts", f"{broken} AS broken")
+    c = B.table(spark, sf, "conversations")
+    lines = said("text", "CASE WHEN turn % 4 = 3 THEN NULL ELSE (conv_id * 7 + turn * 13) % 100 / 100D END", "turn", "(conv_id + turn) % 6 = 0")
+    lines = lines.unionByName(said("CASE WHEN turn % 2 = 0 THEN text ELSE 'The.' END", "0.5D", "turn + 1000", "false"))
+    folder = new_folder(spark, "recognised")
+    lines.select(F.when(F.col("broken"), "{broken").otherwise(F.to_json(F.struct("type", "text", "confidence", "ts"))).alias("value")).write.text(folder)
+    events = text.results(text.read_events(spark, folder)).selectExpr("ts div 100000 AS meeting_id", "ts % 100000 AS ord", "text", "confidence")
+    return R.recognised(events, _LOOSE, NOISE)
+
+
 def _with_outros(df):
     """Every third row says a closing phrase."""
     n = F.col("meeting_id") * 5 + F.col("ord") * 7
@@ -360,7 +382,34 @@ def packed_chunks(spark, sf):
     return B.table(spark, sf, "documents").select("doc_id", F.posexplode(T.chunks("text", 1000)).alias("idx", "chunk"))
 
 
-@query()
+def _chunks_sql(source, most):
+    """ch (doc_id, idx, chunk): the lines of source (doc_id, text), packed greedily."""
+    return (
+        f"cl AS (SELECT doc_id, length(text) AS whole, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM {source}), "
+        f"cf AS (SELECT doc_id, whole, x, i, 0 AS k, length(x) + 1 AS size FROM cl WHERE i = 1 UNION ALL SELECT l.doc_id, l.whole, l.x, l.i, CASE WHEN f.size + length(l.x) > {most} THEN f.k + 1 ELSE f.k END, CASE WHEN f.size + length(l.x) > {most} THEN length(l.x) + 1 ELSE f.size + length(l.x) + 1 END FROM cf f JOIN cl l ON l.doc_id = f.doc_id AND l.i = f.i + 1), "
+        f"ch AS (SELECT doc_id, CAST(CASE WHEN whole <= {most} THEN 0 ELSE k END AS INTEGER) AS idx, string_agg(x, chr(10) ORDER BY i) AS chunk FROM cf GROUP BY 1, 2)"
+    )
+
+
+_ASKED = ["what", "did", "the", "anon", "threa", "onth", "say_about", "tion"]
+_SCORE = " + ".join(f"length(lower(chunk)) - length(replace(lower(chunk), '{t}', ''))" for t in _ASKED)
+_FIRST = ", ".join(f"nullif(strpos(lower(chunk), '{t}'), 0)" for t in _ASKED)
+
+
+@query(
+    f"WITH RECURSIVE {_chunks_sql('documents', 1000)}, z AS (SELECT doc_id, count(*) AS n, sum(length(chunk)) AS total, string_agg(chunk, chr(10) ORDER BY idx) AS whole FROM ch GROUP BY 1), "
+    f"s AS (SELECT ch.*, n, {_SCORE} AS score FROM ch JOIN z USING (doc_id) WHERE n > 2 AND total > 3000), "
+    "r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, idx) AS place, sum(CASE WHEN idx IN (0, n - 1) THEN length(chunk) ELSE 0 END) OVER (PARTITION BY doc_id) AS both_ends FROM s), "
+    # chunks by falling score join the first and the last until they fill the budget
+    "w(doc_id, n, place, picked, total) AS (SELECT DISTINCT doc_id, n, CAST(0 AS BIGINT), [0, CAST(n - 1 AS INTEGER)], CAST(-1 AS BIGINT) FROM r UNION ALL "
+    "SELECT w.doc_id, w.n, r.place, CASE WHEN list_contains(picked, idx) THEN picked ELSE list_append(picked, idx) END, CASE WHEN w.total < 0 THEN both_ends ELSE w.total END + CASE WHEN list_contains(picked, idx) THEN 0 ELSE length(chunk) END FROM w JOIN r ON r.doc_id = w.doc_id AND r.place = w.place + 1 WHERE score > 0 AND w.total < 3000), "
+    "p AS (SELECT doc_id, n, CASE WHEN len(picked) <= 2 THEN list_distinct(list_append(picked, CAST(n // 2 AS INTEGER))) ELSE picked END AS picked FROM w QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY place DESC) = 1), "
+    "q AS (SELECT doc_id, n, greatest(1200, 3000 // len(picked)) AS most, idx, chunk, row_number() OVER (PARTITION BY doc_id ORDER BY idx) AS j FROM p JOIN ch USING (doc_id) WHERE list_contains(picked, idx)), "
+    f"e AS (SELECT *, least(length(chunk), greatest(0, coalesce(least({_FIRST}) - 1, 0) - most // 2) + most) AS stop FROM q), "
+    "x AS (SELECT doc_id, j, '[chunk ' || (idx + 1) || '/' || n || ']' || chr(10) AS head, CASE WHEN length(chunk) <= most THEN chunk ELSE CASE WHEN stop > most THEN '...' || chr(10) ELSE '' END || substr(chunk, greatest(0, stop - most) + 1, most) || CASE WHEN stop < length(chunk) THEN chr(10) || '...' ELSE '' END END AS part FROM e), "
+    "k(doc_id, j, total, kept) AS (SELECT doc_id, j, length(part), true FROM x WHERE j = 1 UNION ALL SELECT x.doc_id, x.j, CASE WHEN k.total + length(part) > 3000 THEN k.total ELSE k.total + length(part) END, k.total + length(part) <= 3000 FROM k JOIN x ON x.doc_id = k.doc_id AND x.j = k.j + 1) "
+    "SELECT doc_id, string_agg(head || part, chr(10) || chr(10) || '...' || chr(10) || chr(10) ORDER BY j) AS context FROM x JOIN k USING (doc_id, j) WHERE kept GROUP BY doc_id UNION ALL SELECT doc_id, whole FROM z WHERE n <= 2 OR total <= 3000"
+)
 def chat_context(spark, sf):
     asked = B.table(spark, sf, "documents").select("doc_id", F.lit(QUESTION).alias("question"), F.col("text").alias("transcript"))
     return retrieval.context(asked, 1000, 3000).select("doc_id", "context")
@@ -498,6 +547,51 @@ def corpus_lines(spark, sf):
     return phrases.corpus_lines(pieces.select((F.col("page_id") * 1_000_000 + F.col("at")).alias("ord"), F.concat("piece", F.lit(">")).alias("value")))
 
 
+# --- generated texts ------------------------------------------------------------------
+
+
+def _echo(system, user, tokens):
+    """Stands in for a language model: tells of what it is asked."""
+    return f"{len(system)}-{len(user)}-{user.count('e')}-{tokens}"
+
+
+def _echo_sql(system, prompt, text, tokens):
+    e = f"length({text}) - length(replace({text}, 'e', ''))"
+    return f"'{len(system)}-' || ({len(prompt)} + length({text})) || '-' || ({prompt.count('e')} + {e}) || '-{tokens}'"
+
+
+_SYSTEM = summary.system_prompt("en", "names")
+_NAMES = "Facts, To do"
+_WANTED = summary.PROMPTS["merge"].format(lang="English", sections="\n".join(f"## {n}\n{summary.PROMPTS['first_section' if k == 0 else 'other_section']}" for k, n in enumerate(summary.section_names(_NAMES))))
+_BLANK = " ' ' || chr(9) || chr(10) || chr(13)"
+
+
+@query(
+    f"WITH RECURSIVE t AS (SELECT doc_id, trim(text, {_BLANK}) AS text FROM documents), {_chunks_sql('t', summary.SUMMARY_CHUNK)}, n AS (SELECT doc_id, count(*) AS n, CASE WHEN count(*) = 1 THEN any_value(chunk) ELSE string_agg({_echo_sql(_SYSTEM, summary.PROMPTS['notes'].format(lang='English'), 'chunk', 512)}, chr(10) ORDER BY idx) END AS source FROM ch GROUP BY 1) "
+    f"SELECT doc_id AS meeting_id, CASE WHEN text = '' THEN '{summary.UNTITLED}' ELSE {_echo_sql(_SYSTEM, summary.PROMPTS['title'].format(lang='English'), 'left(text, 3000)', 40)} END AS title, CASE WHEN text = '' THEN '{summary.NO_TRANSCRIPT}' ELSE {_echo_sql(_SYSTEM, _WANTED, 'source', 1024)} END AS body FROM t JOIN n USING (doc_id)"
+)
+def generated_summaries(spark, sf):
+    meetings = B.table(spark, sf, "documents").select(F.col("doc_id").alias("meeting_id"), F.col("text").alias("transcript"))
+    return summary.generated_summary(meetings, _echo, "en", _NAMES, "names").select("meeting_id", "title", "body")
+
+
+_CHAT = summary.system_prompt("en") + summary.PROMPTS["chat"].format(lang="English")
+
+
+@query(
+    f"WITH c AS (SELECT conv_id AS meeting_id, turn AS ord, role AS label, text AS txt FROM conversations), h AS (SELECT meeting_id, string_agg(label || ': ' || txt, chr(10) ORDER BY ord) AS past FROM (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY meeting_id ORDER BY ord DESC) <= 6) WHERE coalesce(txt, '') <> '' GROUP BY 1), "
+    "q AS (SELECT meeting_id, CASE WHEN meeting_id % 9 = 0 THEN ' ' ELSE max_by(txt, ord) END AS question, CASE WHEN meeting_id % 7 = 0 THEN '' ELSE string_agg(txt, chr(10) ORDER BY ord) END AS transcript FROM c GROUP BY 1), "
+    f"p AS (SELECT meeting_id, trim(question, {_BLANK}) AS question, transcript, '会議内容:' || chr(10) || transcript || chr(10) || chr(10) || CASE WHEN coalesce(past, '') <> '' THEN 'これまでの会話:' || chr(10) || past || chr(10) || chr(10) ELSE '' END || '質問: ' || trim(question, {_BLANK}) AS prompt FROM q LEFT JOIN h USING (meeting_id)) "
+    f"SELECT meeting_id, CASE WHEN question = '' THEN '' WHEN transcript = '' THEN '{summary.NO_ANSWER}' ELSE {_echo_sql(_CHAT, '', 'prompt', 1024)} END AS answer FROM p"
+)
+def chat_answers(spark, sf):
+    turns = B.table(spark, sf, "conversations").selectExpr("conv_id AS meeting_id", "turn AS ord", "role AS label", "text AS txt")
+    said = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "txt"))), lambda x: x["txt"]), "\n")
+    asked = turns.groupBy("meeting_id").agg(F.max_by("txt", "ord").alias("question"), said.alias("transcript"))
+    asked = asked.withColumn("question", F.when(F.col("meeting_id") % 9 == 0, " ").otherwise(F.col("question"))).withColumn("transcript", F.when(F.col("meeting_id") % 7 == 0, "").otherwise(F.col("transcript")))
+    return summary.chat(asked, _echo, turns, "en").select("meeting_id", "answer")
+
+
 # --- library ------------------------------------------------------------------------
 
 
