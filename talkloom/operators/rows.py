@@ -20,11 +20,12 @@ OUTROS = ("ご視聴ありがとうございました", "ご清聴ありがと
 DROP_IF_ALONE = ("っ", "の", "を", "8", "五")
 
 
-def transcript(rows: DataFrame) -> DataFrame:
-    """meeting_id and transcript: `**label**: text` lines by start, ties in order."""
+def transcript(rows: DataFrame, *more: Column) -> DataFrame:
+    """meeting_id and transcript: `**label**: text` lines by start, ties in order; and
+    further aggregates of a meeting's rows."""
     line = F.concat(F.lit("**"), F.col("label"), F.lit("**: "), F.col("txt"))
     lines = F.array_sort(F.collect_list(F.struct("st", "ord", line.alias("line"))))
-    return rows.groupBy("meeting_id").agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("transcript"))
+    return rows.groupBy("meeting_id").agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("transcript"), *more)
 
 
 def in_time_order(rows: DataFrame) -> DataFrame:

@@ -17,34 +17,37 @@ def assign_speakers(segments: DataFrame, turns: DataFrame, bucket_seconds: float
     turn_ord, ts, te, spk) name two speakers or more.
 
     The turn of greatest overlap speaks, the first on ties; without overlap the
-    nearest one, the first on ties. Overlaps are joined by meeting and time bucket,
-    so that a long meeting is not compared as a whole; only segments that no turn
-    overlaps look for the nearest one, among the last turn that starts before and
-    the next that starts after them and, for ties, by turn_ord."""
+    nearest one, the first on ties. Overlaps are joined by meeting and time bucket, so
+    that a long meeting is not compared as a whole; the nearest turn is the last that
+    ends before or the next that starts after. Both sides are shuffled once for that
+    join; its best pairs, segments and turns then meet once by meeting, and what comes
+    out is partitioned by it."""
     bucket = lambda c: F.floor(F.col(c) / bucket_seconds)
     cut = lambda df, a, b: df.withColumn("_bucket", F.explode(F.sequence(bucket(a), F.greatest(bucket(a), bucket(b)))))
     overlap = F.least("en", "te") - F.greatest("st", "ts")
     pairs = cut(segments.select("meeting_id", "ord", "st", "en"), "st", "en").join(cut(turns, "ts", "te"), ["meeting_id", "_bucket"]).where("ts < en and te > st")
-    best = pairs.groupBy("meeting_id", "ord").agg(F.min_by("spk", F.struct((-overlap).alias("o"), "turn_ord")).alias("_overlapping"))
-    speakers = turns.groupBy("meeting_id").agg(F.count_distinct("spk").alias("_speakers"))
-    found = segments.join(best, ["meeting_id", "ord"], "left").join(speakers, "meeting_id", "left")
-    alone = found.where("_overlapping is null and _speakers >= 1").select("meeting_id", "ord", "st", "en")
-    # before a segment the turn that ends last is nearest, after it the one that starts first
-    marks = alone.select("meeting_id", F.col("st").alias("at"), F.lit(1).alias("kind"), "ord", F.lit(None).cast("struct<edge:double,turn_ord:int,spk:int>").alias("turn"))
-    ends = turns.select("meeting_id", F.col("te").alias("at"), F.lit(0).alias("kind"), F.lit(None).cast("int").alias("ord"), F.struct(F.col("te").cast("double").alias("edge"), (-F.col("turn_ord")).cast("int").alias("turn_ord"), F.col("spk").cast("int").alias("spk")).alias("turn"))
-    up = Window.partitionBy("meeting_id").orderBy("at", "kind")
-    before = marks.unionByName(ends).withColumn("b", F.max("turn").over(up)).where("kind = 1").select("meeting_id", "ord", "b")
-    marks = alone.select("meeting_id", F.col("en").alias("at"), F.lit(1).alias("kind"), "ord", F.lit(None).cast("struct<edge:double,turn_ord:int,spk:int>").alias("turn"))
-    starts = turns.select("meeting_id", F.col("ts").alias("at"), F.lit(0).alias("kind"), F.lit(None).cast("int").alias("ord"), F.struct(F.col("ts").cast("double").alias("edge"), F.col("turn_ord").cast("int").alias("turn_ord"), F.col("spk").cast("int").alias("spk")).alias("turn"))
-    down = Window.partitionBy("meeting_id").orderBy(F.desc("at"), "kind")
-    after = marks.unionByName(starts).withColumn("a", F.min("turn").over(down)).where("kind = 1").select("meeting_id", "ord", "a")
-    near = alone.join(before, ["meeting_id", "ord"], "left").join(after, ["meeting_id", "ord"], "left")
+    # marks in time: of turns before a segment the one that ends last is nearest, of
+    # those after it, looked at backwards, the one that starts first
+    turn = lambda edge, nth: F.struct(F.col(edge).cast("double").alias("edge"), nth.cast("int").alias("turn_ord"), F.col("spk").cast("int").alias("spk"))
+    no_turn, no_pair, no_row = (F.lit(None).cast(kind) for kind in ("struct<edge:double,turn_ord:int,spk:int>", "struct<less:double,turn_ord:int,spk:int>", segments.select(F.struct(*segments.columns)).schema[0].dataType.simpleString()))
+    mark = lambda side, at, kind, found, row: F.struct(F.lit(side).alias("side"), at.cast("double").alias("at"), F.lit(kind).alias("kind"), found.alias("turn"), row.alias("row"))
+    row = F.struct(*[F.col(c) for c in segments.columns])
+    of_segments = segments.select("meeting_id", "ord", F.inline(F.array(mark("before", F.col("st"), 1, no_turn, row), mark("after", -F.col("en"), 1, no_turn, no_row))), no_pair.alias("pair"))
+    of_turns = turns.select("meeting_id", F.lit(None).cast(segments.schema["ord"].dataType).alias("ord"), F.inline(F.array(mark("before", F.col("te"), 0, turn("te", -F.col("turn_ord")), no_row), mark("after", -F.col("ts"), 0, turn("ts", F.col("turn_ord")), no_row))), no_pair.alias("pair"))
+    best = pairs.groupBy("meeting_id", "_bucket", "ord").agg(F.min(F.struct((-overlap).cast("double").alias("less"), F.col("turn_ord").cast("int").alias("turn_ord"), F.col("spk").cast("int").alias("spk"))).alias("pair"))
+    of_pairs = best.select("meeting_id", "ord", F.lit("pair").alias("side"), F.lit(0.0).alias("at"), F.lit(2).alias("kind"), no_turn.alias("turn"), no_row.alias("row"), "pair")
+    met = of_segments.unionByName(of_turns).unionByName(of_pairs).repartition("meeting_id")
+    along = Window.partitionBy("meeting_id", "side").orderBy("at", "kind")
+    seen = met.withColumns({"b": F.max("turn").over(along), "a": F.min("turn").over(along), "_speakers": F.size(F.collect_set("turn.spk").over(Window.partitionBy("meeting_id")))})
+    side = lambda name, found: F.max(F.when(F.col("side") == name, F.col(found))).alias(found)
+    found = seen.where("kind > 0").groupBy("meeting_id", "ord").agg(F.collect_list("row").alias("rows"), F.min("pair").alias("pair"), side("before", "b"), side("after", "a"), F.max("_speakers").alias("_speakers"))
+    others = [F.col("row")[c].alias(c) for c in segments.columns if c != "meeting_id"]  # meeting_id is the key's own: rows stay partitioned by it
+    each = found.select("meeting_id", "pair", "a", "b", "_speakers", F.explode("rows").alias("row")).select("meeting_id", *others, "pair", "a", "b", "_speakers")
     left, right = F.greatest(F.col("st") - F.col("b.edge"), F.lit(0.0)), F.greatest(F.col("a.edge") - F.col("en"), F.lit(0.0))
-    first = F.when(F.col("a").isNull(), F.col("b.spk")).when(F.col("b").isNull(), F.col("a.spk")).when(left < right, F.col("b.spk")).when(left > right, F.col("a.spk")).when(-F.col("b.turn_ord") <= F.col("a.turn_ord"), F.col("b.spk")).otherwise(F.col("a.spk"))
-    nearest = near.select("meeting_id", "ord", first.alias("_nearest"))
-    speaker = F.coalesce("_overlapping", "_nearest")
-    label = F.when(F.coalesce("_speakers", F.lit(0)) >= 2, F.concat("label", (speaker + 1).cast("string"))).otherwise(F.col("label"))
-    return found.join(nearest, ["meeting_id", "ord"], "left").select(*segments.columns, speaker.alias("speaker"), label.alias("speaker_label"))
+    nearest = F.when(F.col("a").isNull(), F.col("b.spk")).when(F.col("b").isNull(), F.col("a.spk")).when(left < right, F.col("b.spk")).when(left > right, F.col("a.spk")).when(-F.col("b.turn_ord") <= F.col("a.turn_ord"), F.col("b.spk")).otherwise(F.col("a.spk"))
+    speaker = F.coalesce("pair.spk", nearest)
+    label = F.when(F.col("_speakers") >= 2, F.concat("label", (speaker + 1).cast("string"))).otherwise(F.col("label"))
+    return each.select(*segments.columns, speaker.alias("speaker"), label.alias("speaker_label"))
 
 
 def conversation_turns(utterances: DataFrame) -> DataFrame:

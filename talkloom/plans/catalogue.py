@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from datetime import UTC, datetime
 
 from pyspark.sql import functions as F
@@ -49,6 +50,26 @@ def first_match_confidence(spark, sf):
     return R.with_first_confidence(events)
 
 
+@query(
+    f"WITH {B.ROWS_SQL}, c AS (SELECT * REPLACE (trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(txt, ' ' || chr(10)), 'en', 'nen', 'gi'), 'on', 'off', 'gi'), 'the', 'THE', 'gi'), 'en', 'nen', 'gi'), 'on', 'off', 'gi'), ' ' || chr(10)) AS txt) FROM r) "
+    "SELECT meeting_id, ord, txt FROM c WHERE txt <> '' AND txt NOT IN ('The.', 'Of.')"
+)
+def dictionary_rows(spark, sf):
+    # dictionaries are small JSON files of the driver: written, read one after another, duplicates kept
+    with tempfile.TemporaryDirectory() as folder:
+        first, second = f"{folder}/first.json", f"{folder}/second.json"
+        text.write_dictionary(first, [["en", "nen"], ["on", "off"]], ["The."], ["phrase"], ["top"])
+        text.write_dictionary(second, [["the", "THE"]], ["Of."], [], [])
+        words = text.read_dictionary(first, f"{folder}/missing.json", second, first)
+    return R.corrected(B.rows(spark, sf), words["regex"], words["drop_if_alone"]).select("meeting_id", "ord", "txt")
+
+
+@query("SELECT trim(html, ' ') AS text FROM pages WHERE trim(html, ' ') <> ''")
+def column_texts(spark, sf):
+    # the reader's row cap is above the table: every row passes
+    return text.read_column(spark, f"{sf}/pages.parquet", "html", 1 << 30)
+
+
 _LOOSE = [["on(on)", r"\1"], ["(?:an)+", "AN"]]
 
 
@@ -682,6 +703,17 @@ def calendar_titles(spark, sf):
     return hints.select("moment_id", calendar.titled(F.col("hint"), F.lit("generated")).alias("title"))
 
 
+@query(
+    "WITH e AS (SELECT event_type || '-' || event_id AS title, CAST(ts AS TIMESTAMP) AS s, CASE WHEN event_id % 4 = 0 THEN NULL ELSE ts + to_minutes(CAST(event_id % 50 - 9 AS BIGINT)) END AS e FROM events UNION ALL SELECT CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE o_orderpriority || ' ' || o_orderkey END, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_orderdate END, o_orderdate + INTERVAL 2 HOUR FROM orders) "
+    "SELECT title, CAST(floor(epoch(s)) AS BIGINT) AS start_s, CAST(floor(epoch(CASE WHEN e > s THEN e ELSE s + INTERVAL 1 HOUR END)) AS BIGINT) AS end_s FROM e WHERE coalesce(title, '') <> '' AND s IS NOT NULL"
+)
+def merged_calendars(spark, sf):
+    events = B.table(spark, sf, "events").selectExpr("event_type || '-' || event_id AS title", "cast(ts as timestamp) AS start", "CASE WHEN event_id % 4 = 0 THEN NULL ELSE cast(ts as timestamp) + make_interval(0, 0, 0, 0, 0, cast(event_id % 50 - 9 as int), 0) END AS end")
+    orders = B.table(spark, sf, "orders").selectExpr("CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE o_orderpriority || ' ' || o_orderkey END AS title", "CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE cast(o_orderdate as timestamp) END AS start", "cast(o_orderdate as timestamp) + interval 2 hours AS end")
+    found = calendar.valid_events(calendar.merge_events(events, orders))
+    return found.select("title", F.unix_seconds("start").alias("start_s"), F.unix_seconds("end").alias("end_s"))
+
+
 @query("WITH e AS (SELECT event_type || '-' || event_id AS title, ts AS s, CASE WHEN event_id % 4 = 0 THEN ts + INTERVAL 1 HOUR ELSE ts + to_minutes(1 + event_id % 3000) END AS e FROM events) SELECT title, CAST(floor(epoch(s)) AS BIGINT) AS start_s, CAST(floor(epoch(e)) AS BIGINT) AS end_s FROM e WHERE s <= TIMESTAMP '2024-01-12 20:00:00' AND e >= TIMESTAMP '2024-01-10 08:00:00'")
 def calendar_window(spark, sf):
     events = B.table(spark, sf, "events").selectExpr(

@@ -18,6 +18,6 @@ def labelled(rows: DataFrame, turns: DataFrame) -> DataFrame:
 def summarised(rows: DataFrame, turns: DataFrame, language: str = "ja") -> DataFrame:
     """meeting_id, n_rows, last_start, transcript, title, body and document."""
     kept = R.without_outros(labelled(rows, turns))
-    sizes = kept.groupBy("meeting_id").agg(F.count("*").alias("n_rows"), F.max("st").alias("last_start"))
-    made = summary.fast_summary(R.transcript(kept).join(sizes, "meeting_id"), language)
+    told = R.transcript(kept, F.count("*").alias("n_rows"), F.max("st").alias("last_start"))
+    made = summary.fast_summary(told, language)
     return made.withColumn("document", summary.document(F.col("title"), F.col("body"), F.col("transcript")))

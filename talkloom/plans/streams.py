@@ -245,6 +245,17 @@ def _whole(spark, sf):
     return B.blocks(spark, sf).groupBy("meeting_id", "label").agg(F.flatten(F.transform(parts, lambda p: p["samples"])).alias("samples"))
 
 
+@query(
+    f"WITH {B.BLOCKS_SQL}, w AS (SELECT meeting_id, label, flatten(list(samples ORDER BY frame_ix)) AS x FROM b GROUP BY ALL), "
+    "k AS (SELECT meeting_id, label, x, unnest(range(0, greatest(1, CAST(ceil((len(x) - 1) / 0.82::DOUBLE) AS BIGINT)))) AS k FROM w), "
+    "p AS (SELECT meeting_id, label, k, CAST(floor(k * 0.82::DOUBLE) AS BIGINT) AS low, k * 0.82::DOUBLE - floor(k * 0.82::DOUBLE) AS part, x FROM k) "
+    "SELECT meeting_id, label, k AS at, round(CAST(x[low + 1] * (1 - part) + coalesce(x[low + 2], x[low + 1]) * part AS FLOAT)::DOUBLE, 6) AS sample FROM p"
+)
+def pitch_shifted(spark, sf):
+    shifted = _whole(spark, sf).select("meeting_id", "label", F.posexplode(channels.pitch_shifted(F.col("samples"))).alias("at", "sample"))
+    return shifted.select("meeting_id", "label", F.col("at").cast("long").alias("at"), F.round(F.col("sample").cast("double"), 6).alias("sample"))
+
+
 def _loud(samples):
     """Stands in for a recogniser: eight samples at a time, heard where loud."""
     return [(k / 16, (k + 8) / 16, " loud " if abs(samples[k : k + 8]).max() >= 0.05 else " ") for k in range(0, len(samples), 8)]

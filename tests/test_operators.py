@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 import random
 import re
+import time
+from itertools import permutations
 
 import numpy as np
 import pytest
@@ -293,6 +295,49 @@ def test_accuracy_finds_the_best_mapping(spark):
     assert {r["meeting_id"]: r["accuracy"] for r in speakers.frame_accuracy(truth, found).collect()} == {1: 0.75, 2: 0.0}
 
 
+def test_mappings_equal_those_of_all_permutations():
+    draw = np.random.default_rng(1)
+    for k in range(400):
+        n, m = (int(x) for x in draw.integers(1, 8 if k < 20 else 6, 2))
+        hits = draw.integers(0, 4 if k % 2 else 1000, (n, m))
+        mapped = speakers.best_mapping(hits)
+        rows = np.flatnonzero(mapped >= 0)
+        assert len(set(mapped[rows])) == len(rows) == min(n, m)
+        few, many = (hits, m) if n <= m else (hits.T, n)
+        assert hits[rows, mapped[rows]].sum() == max(sum(few[i, p[i]] for i in range(len(few))) for p in permutations(range(many), len(few)))
+
+
+def test_thirty_speakers_take_no_time(spark):
+    schema = "meeting_id long, turn_ord int, ts double, te double, spk int"
+    truth = [(1, k, k * 1.0, k + 1.0, k % 30) for k in range(300)]
+    found = [(1, k, k * 1.0, k + 1.0, (k % 30 * 7 + 3) % 31 if k % 10 else 40) for k in range(300)]
+    began = time.time()
+    assert speakers.frame_accuracy(spark.createDataFrame(truth, schema), spark.createDataFrame(found, schema)).first()["accuracy"] >= 0.9
+    assert time.time() - began < 60
+
+
+def test_a_meeting_is_shuffled_three_times(spark):
+    from talkloom.plans import tables
+    from talkloom.plans.meeting import summarised
+
+    sf, key = "/root/testdata/sf0.001", "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")  # as for tables too large to broadcast
+    try:
+        plan = summarised(tables.rows(spark, sf), tables.turns(spark, sf))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(key, before)
+    assert plan.count("Exchange hashpartitioning") == 3 and "NestedLoop" not in plan
+
+
+def test_results_are_normalised_twice(spark):
+    schema = "meeting_id long, ord int, text string, confidence double"
+    rows = [(1, 0, " aab ", 0.9), (1, 1, "ab", None), (1, 2, "ab", 0.4), (1, 3, "aaaab", 0.7), (1, 4, "", 0.1), (1, 5, None, 0.1), (1, 6, "um", 0.2), (2, 0, "aaaab", 0.3)]
+    got = R.recognised(spark.createDataFrame(rows, schema), [["aa", "a"]], ["um"])
+    # aaaab becomes aab, then ab: of its own file the first ab is aab's, with its confidence
+    assert sorted((r["meeting_id"], r["ord"], r["text"], r["confidence"]) for r in got.collect()) == [(1, 0, "ab", 0.9), (1, 1, "ab", 0.9), (1, 2, "ab", 0.9), (1, 3, "ab", 0.9)]
+
+
 # --- quality ----------------------------------------------------------------------------
 
 
