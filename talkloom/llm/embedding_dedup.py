@@ -19,9 +19,9 @@ from pyspark.sql import functions as F
 from ._spark import block_tasks, components, map_groups, stored
 
 THRESHOLD = 0.98
-#: Vectors a cell is meant to own, pivots of a label, pivots of all labels: their
-#: vectors are broadcast, at most MAX_PIVOTS of them.
-CELL_ROWS, LABEL_PIVOTS, MAX_PIVOTS = 2048, 256, 65_536
+#: Vectors a cell is meant to own, and pivots of a label: 2 at least, at most so many.
+#: All labels share one list of pivots and use its first ones.
+CELL_ROWS, PIVOTS = 2048, 256
 #: Vectors of a cell that one block may hold, and rows multiplied at once.
 CELL_BLOCK, CHUNK = 4096, 512
 #: Slack for rounding in distances.
@@ -47,32 +47,40 @@ def unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.sqrt((rows * rows).sum(1, keepdims=True))
 
 
-def _cells(pivots: dict[int, np.ndarray], reach: float):
+def _pivots(drawn: np.ndarray, length: int) -> np.ndarray:
+    """PIVOTS unit vectors of a length: those drawn from the data, if they have it, then
+    fixed random directions. Results hold for any pivots; those of the data follow its
+    clusters."""
+    more = unit(np.random.default_rng(length).standard_normal((PIVOTS, length)))
+    return np.concatenate([drawn, more])[:PIVOTS] if drawn.shape[1] == length else more
+
+
+def _cells(drawn: np.ndarray, reach: float):
     def assign(batches):
+        known: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
-            space = batch.column("space").to_numpy()
+            lengths, counts = batch.column("v").value_lengths().to_numpy(zero_copy_only=False), batch.column("pivots").to_numpy()
             row, cell, own = [], [], []
-            for s in np.unique(space):
-                rows = np.flatnonzero(space == s)
-                if s not in pivots:
-                    row.append(rows), cell.append(np.zeros(len(rows), np.int64)), own.append(np.ones(len(rows), bool))
-                    continue
-                p = pivots[s]
-                between = np.sqrt(np.maximum(0, 2 - 2 * p @ p.T))
+            for length, k in np.unique(np.stack([lengths, counts], 1), axis=0).tolist():
+                rows = np.flatnonzero((lengths == length) & (counts == k))
+                if length not in known:
+                    p = _pivots(drawn, length)
+                    known[length] = p, np.sqrt(np.maximum(0, 2 - 2 * p @ p.T))
+                p, between = known[length][0][:k], known[length][1][:k, :k]
                 for at in range(0, len(rows), CHUNK):
                     some = rows[at : at + CHUNK]
                     x = unit(matrix(batch.column("v").take(pa.array(some))))
                     square = np.maximum(0, 2 - 2 * x @ p.T)
                     d, nearest = np.sqrt(square), square.argmin(1)
-                    k = np.arange(len(some))
-                    edge = (square - square[k, nearest][:, None]) <= 2 * (reach + SLACK) * between[nearest]
-                    copied = edge & (d <= d[k, nearest][:, None] + 2 * reach + SLACK)
-                    copied[k, nearest] = True
+                    one = np.arange(len(some))
+                    edge = (square - square[one, nearest][:, None]) <= 2 * (reach + SLACK) * between[nearest]
+                    copied = edge & (d <= d[one, nearest][:, None] + 2 * reach + SLACK)
+                    copied[one, nearest] = True
                     r, c = np.nonzero(copied)
                     row.append(some[r]), cell.append(c), own.append(nearest[r] == c)
             if row:
                 row, cell, own = (np.concatenate(x) for x in (row, cell, own))
-                out = batch.take(pa.array(row))
+                out = batch.drop_columns(["pivots"]).take(pa.array(row))
                 yield pa.RecordBatch.from_arrays([*out.columns, pa.array(cell.astype(np.int64)), pa.array(own)], [*out.schema.names, "cell", "own"])
 
     return assign
@@ -131,20 +139,14 @@ def embedding_near_dedup(embeddings: DataFrame, threshold: float = THRESHOLD) ->
         rows.where("live").groupBy(*key, "label", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")).withColumn("space", F.xxhash64("label", F.size("v"))).select(*key, "space", "rep", "copies", "v"),
         "embedding-classes",
     )
-    total = classes.count()
-    # spaces of at least two cells: no more than total / CELL_ROWS of them
-    big = {r["space"]: min(LABEL_PIVOTS, r["n"] // CELL_ROWS, r["n"] * MAX_PIVOTS // total) / r["n"] for r in classes.groupBy("space").agg(F.count("*").alias("n")).where(F.col("n") >= 2 * CELL_ROWS).collect()}
-    pivots: dict[int, np.ndarray] = {}
-    if big:
-        share = spark.createDataFrame(list(big.items()), "space long, share double")
-        draw = F.pmod(F.xxhash64(F.lit(5), "rep"), F.lit(1 << 40)) / F.lit(float(1 << 40))
-        chosen = classes.join(F.broadcast(share), "space").where(draw < F.col("share")).select("space", "v").limit(2 * MAX_PIVOTS).collect()
-        drawn: dict[int, list] = {}
-        for r in chosen:
-            drawn.setdefault(r["space"], []).append(r["v"])
-        pivots = {s: unit(np.array(v)) for s, v in drawn.items() if len(v) > 1}
+    # a bounded draw, spread by hash: what all labels take their pivots from
+    draw = classes.select("v", F.xxhash64(F.lit(5), "rep").alias("h")).orderBy("h").limit(PIVOTS).select("v").collect()
+    drawn = unit(np.array([r["v"] for r in draw if len(r["v"]) == len(draw[0]["v"])])) if draw else np.zeros((0, 0))
+    counted = classes.join(classes.groupBy("space").agg(F.count("*").alias("n")), "space")
+    # labels that nobody shares have nothing to compare
+    placed = counted.where("n > 1").withColumn("pivots", F.greatest(F.lit(2), F.least(F.lit(PIVOTS), F.expr(f"n div {CELL_ROWS}"))).cast("int")).select("space", "rep", "copies", "v", "pivots")
     schema = "space long, rep long, copies long, v array<double>, cell long, own boolean"
-    placed = classes.drop(*key).mapInArrow(_cells(pivots, reach), schema).withColumn("cell", F.xxhash64("space", "cell")).drop("space")
+    placed = placed.mapInArrow(_cells(drawn, reach), schema).withColumn("cell", F.xxhash64("space", "cell")).drop("space")
     placed = stored(placed, "embedding-cells")
     sized = placed.join(placed.groupBy("cell").agg(F.count("*").alias("members")), "cell")
     tasks = block_tasks(sized, "cell", "members", "rep", CELL_BLOCK).drop("cell", "members")

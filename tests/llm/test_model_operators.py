@@ -223,6 +223,23 @@ def brute_embeddings(rows, threshold=0.98):
     return sorted(((rows[i][0], len(links[i]), rows[label[i]][0]) for i in range(n)), key=repr)
 
 
+def test_many_pivots_on_all_labels_of_a_table(spark, monkeypatch):
+    import talkloom.llm.embedding_dedup as E
+
+    monkeypatch.setattr(E, "CELL_ROWS", 8)  # 25 pivots a label instead of 2
+    rows = [(r["vec_id"], r["embedding"], r["label"]) for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect()]
+    df = spark.createDataFrame(rows, VECTORS)
+    x = {r[0]: np.array(r[1], float) / np.linalg.norm(r[1]) for r in rows if usable(r)}
+    # a cosine that vectors without clusters reach, so that there are links to lose
+    found = {r["vec_id"]: r["n_links"] for r in embedding_near_dedup(df, 0.4).collect()}
+    want = {}
+    for label in {r[2] for r in rows}:
+        ids = [r[0] for r in rows if r[2] == label and r[0] in x]
+        m = np.array([x[i] for i in ids])
+        want |= dict(zip(ids, ((m @ m.T >= 0.4).sum(1) - 1).tolist(), strict=True))
+    assert sum(want.values()) > 100 and found == want
+
+
 @pytest.mark.parametrize("cell_rows,block", [(2048, 4096), (16, 4096), (16, 10)])
 def test_embedding_links_against_all_pairs(spark, monkeypatch, cell_rows, block):
     import talkloom.llm.embedding_dedup as E
@@ -249,7 +266,11 @@ def brute_neighbours(rows, queries, k):
     return out
 
 
-def test_neighbours_recall_on_the_table(spark, sf):
+@pytest.mark.parametrize("block", [8192, 128])
+def test_neighbours_recall_on_the_table(spark, sf, monkeypatch, block):
+    import talkloom.llm.ann_search as A
+
+    monkeypatch.setattr(A, "BLOCK_ROWS", block)  # one block, and several
     got = defaultdict(dict)
     for r in Q.op6_nearest_neighbours(spark, sf).collect():
         got[r["query_id"]][r["rank"]] = (r["score"], r["vec_id"])

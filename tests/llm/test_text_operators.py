@@ -167,6 +167,17 @@ def test_ngram_join_against_all_pairs(spark, sf):
     assert joined(docs) == brute_links(docs.collect())
 
 
+def test_ngram_join_by_shuffle_where_nothing_is_broadcast(spark, sf, monkeypatch):
+    import talkloom.llm.ngram_join as N
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id < 400")
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    links, kept = rows(ngram_jaccard_join(docs)), rows(one_of_each_class(docs))
+    monkeypatch.setattr(N, "BROADCAST_ROWS", 0)
+    assert rows(ngram_jaccard_join(docs)) == links and rows(one_of_each_class(docs)) == kept
+    assert len(kept) < 400
+
+
 def test_ngram_join_of_awkward_rows(spark, awkward):
     assert joined(awkward) == brute_links(awkward.collect())
     assert joined(awkward.limit(0)) == []
