@@ -36,7 +36,7 @@ def streamed_captions(spark, sf):
     # every look at a channel recognises what its last eight seconds hold
     heard = looks.join(r.drop("ord"), ["meeting_id", "label"]).where("st < captured and en > captured - 8")
     heard = heard.select("meeting_id", "label", "captured", "st", "en", "txt")
-    return replayed(heard, "captions", F.least(F.lit(5), F.floor((F.col("captured") - 6) / 4)), lambda s: live.live_captions(s, timeout=None))
+    return replayed(heard, "captions", F.least(F.lit(4), F.floor((F.col("captured") - 6) / 4)), lambda s: live.live_captions(s, timeout=None))
 
 
 _SHOWN = "CASE (conv_id + turn) % 4 WHEN 0 THEN 'status' WHEN 2 THEN 'result' ELSE 'hypothesis' END"
@@ -51,18 +51,18 @@ _SHOWN = "CASE (conv_id + turn) % 4 WHEN 0 THEN 'status' WHEN 2 THEN 'result' EL
 )
 def streamed_text(spark, sf):
     events = B.said_twice(spark, sf).select(F.col("conv_id").alias("meeting_id"), F.lit(R.MIC).alias("label"), F.col("turn").cast("int").alias("ord"), F.expr(_SHOWN).alias("type"), "text")
-    return replayed(events, "shown", F.least(F.lit(5), F.floor(F.col("ord") / 2)), live.shown_text)
+    return replayed(events, "shown", F.least(F.lit(4), F.floor(F.col("ord") / 2)), live.shown_text)
 
 
 @query("WITH s AS (SELECT CAST(user_id AS VARCHAR) AS host, event_id AS moment, [event_type, 'm' || (event_id % 3)] AS m FROM events), p AS (SELECT *, coalesce(lag(m) OVER (PARTITION BY host ORDER BY moment), CAST([] AS VARCHAR[])) AS b FROM s) SELECT host, moment, unnest(list_filter(m, lambda x: NOT list_contains(b, x))) AS member FROM p")
 def streamed_members(spark, sf):
     snapshots = B.table(spark, sf, "events").selectExpr("cast(user_id as string) AS host", "event_id AS at", "array(event_type, concat('m', event_id % 3)) AS members")
-    return replayed(snapshots, "members", F.least(F.lit(5), F.floor(F.col("at") / 180)), live.newly_running).withColumnRenamed("at", "moment")
+    return replayed(snapshots, "members", F.least(F.lit(4), F.floor(F.col("at") / 180)), live.newly_running).withColumnRenamed("at", "moment")
 
 
 #: Blocks arrive in order, but every seventh a portion late: that is late for good
 #: where a later one of its key was taken before.
-_ARRIVAL = "least(frame_ix // 180, 5) + CASE WHEN frame_ix % 7 = 0 THEN 1 ELSE 0 END"
+_ARRIVAL = "least(frame_ix // 180, 4) + CASE WHEN frame_ix % 7 = 0 THEN 1 ELSE 0 END"
 _ON_TIME_SQL = (
     f"{B.BLOCKS_SQL}, v AS (SELECT *, {_ARRIVAL} AS arrival FROM b), "
     "i AS (SELECT * FROM v QUALIFY frame_ix > coalesce(max(frame_ix) OVER (PARTITION BY {key} ORDER BY arrival RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1))"

@@ -252,7 +252,8 @@ class _Live(_InOrder):
             if max(c for c, _ in marks.values()) // self.hop > clock // self.hop:
                 rows, shown = self._look(key[0], rings, marks, shown)
                 out += rows
-        self.rings.put([(label, frame, x.tolist()) for label, ring in rings.items() for frame, x in ring])
+        kept = [(label, frame, x.tolist()) for label, ring in rings.items() for frame, x in ring]
+        self.rings.put(kept) if kept else self.rings.clear()
         for label, mark in marks.items():
             self.marks.updateValue((label,), tuple(mark))
         self.shown.update((shown,))
