@@ -8,6 +8,7 @@ import time
 
 import numpy as np
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from talkloom.operators.rows import MIC, SYSTEM
@@ -119,11 +120,23 @@ def test_state_ends_after_a_timeout(spark, tmp_path):
     stream = recording.buffered(spark.readStream.schema(df.schema).parquet(source), rate=1, timeout=1.0)
     with runs.with_state_store(spark):
         query = runs.spool(stream, out, f"{out}-checkpoint").trigger(processingTime="500 milliseconds").start()
+    # a query with timers runs batches on and on: its output is watched, with a deadline
+
+    def wait_for(rows: int) -> None:
+        deadline = time.time() + 60
+        while time.time() < deadline:
+            try:
+                if spark.read.schema(stream.schema).parquet(out).count() >= rows:
+                    return
+            except AnalysisException:
+                pass  # nothing is written yet
+            time.sleep(1)
+
     try:
-        query.processAllAvailable()
+        wait_for(2)
         time.sleep(6)
         df.where("frame_ix >= 5").coalesce(1).write.mode("append").parquet(source)
-        query.processAllAvailable()
+        wait_for(4)
     finally:
         query.stop()
     held = sorted((r.label, r.captured, r.oldest) for r in spark.read.parquet(out).collect())
