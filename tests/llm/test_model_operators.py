@@ -227,8 +227,8 @@ def test_many_pivots_on_all_labels_of_a_table(spark, monkeypatch):
     import talkloom.llm.embedding_dedup as E
 
     monkeypatch.setattr(E, "CELL_ROWS", 8)  # 25 pivots a label instead of 2
-    rows = [(r["vec_id"], r["embedding"], r["label"]) for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect()]
-    df = spark.createDataFrame(rows, VECTORS)
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding", "label")
+    rows = [tuple(r) for r in df.collect()]
     x = {r[0]: np.array(r[1], float) / np.linalg.norm(r[1]) for r in rows if usable(r)}
     # a cosine that vectors without clusters reach, so that there are links to lose
     found = {r["vec_id"]: r["n_links"] for r in embedding_near_dedup(df, 0.4).collect()}
