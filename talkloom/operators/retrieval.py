@@ -50,10 +50,13 @@ def context(questions: DataFrame, chunk_chars: int = CHUNK_CHARS, budget: int =
 
 
 def chunk_scores(chunks: DataFrame, terms: DataFrame) -> DataFrame:
-    """chunks (doc_id, idx, text) by terms (term): doc_id, idx and score, the sum of
-    occurrences times length. The terms of a question are a few rows."""
-    listed = terms.agg(F.collect_list("term").alias("_terms"))
-    return chunks.crossJoin(F.broadcast(listed)).select("doc_id", "idx", T.term_score(F.col("text"), F.col("_terms")).alias("score"))
+    """chunks (doc_id, idx, text, ...) by terms (term): doc_id, idx, what other columns
+    there are, and score, the sum of occurrences times length. The terms of a question
+    are a few rows and become literals: a filter on the score of a cross join is
+    sometimes pushed to the terms' side, where there is no text."""
+    listed = F.array(*[F.lit(r[0]) for r in terms.select("term").where("term is not null").collect()]).cast("array<string>")
+    kept = [c for c in chunks.columns if c != "text"]
+    return chunks.select(*kept, T.term_score(F.col("text"), listed).alias("score"))
 
 
 def within_budget(scored: DataFrame, budget: int) -> DataFrame:
