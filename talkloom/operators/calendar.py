@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from datetime import datetime
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,26 +54,82 @@ def events_between(spark: SparkSession, path: str, begin: datetime, stop: dateti
 def title_hints(moments: DataFrame, events: DataFrame, lookback: int = LOOKBACK, lookahead: int = LOOKAHEAD) -> DataFrame:
     """Adds `hint` to (moment_id, now): the title of the event in progress that began
     last, else of the nearest one from lookback minutes before to lookahead after.
-
-    Both sides are cut into buckets of the window's length, so that the range join is
-    an equi-join with an exact condition after it; an event is found in its own buckets."""
-    bucket = max(60, 60 * (lookback + lookahead) // 2)
-    place = lambda c: F.floor(F.unix_seconds(c) / bucket)
-    begin, stop = F.col("now") - F.make_interval(mins=F.lit(lookback)), F.col("now") + F.make_interval(mins=F.lit(lookahead))
-    windows = moments.select("moment_id", "now", begin.alias("_from"), stop.alias("_to"))
-    left = windows.withColumn("_bucket", F.explode(F.sequence(place(F.col("_from")), place(F.col("_to")))))
-    right = events.withColumn("_bucket", F.explode(F.sequence(place(F.col("start")), place(F.col("end")))))
-    near = left.join(right, "_bucket").where((F.col("start") <= F.col("_to")) & (F.col("end") >= F.col("_from")))
-    running = (F.col("start") <= F.col("now")) & (F.col("end") >= F.col("now"))
-    gap = F.abs(F.unix_micros("start") - F.unix_micros("now"))
-    key = F.struct(
-        F.when(running, 0).otherwise(1).alias("a"),
-        F.when(running, -F.unix_micros("start")).otherwise(gap).alias("b"),
-        F.when(running, -F.unix_micros("end")).otherwise(F.unix_micros("start")).alias("c"),
-        F.col("title").alias("d"),
-    )
-    best = near.groupBy("moment_id").agg(F.min_by("title", key).alias("hint"))
-    return moments.join(best, "moment_id", "left").withColumn("hint", F.coalesce("hint", F.lit("")))
+    Events (title, start, end) end after they start, as valid_events() has them.
+
+    No moment is compared with each event near it: distinct moments and events meet in
+    buckets of the window's length, where both are sorted by time and one pass (_sweep)
+    keeps the events that may still be a hint. A moment has one bucket; an event is in
+    all that its own window touches."""
+    back, ahead = 60_000_000 * lookback, 60_000_000 * lookahead
+    width = max(60_000_000, back + ahead)
+    start, stop, now = F.unix_micros(F.col("start").cast("timestamp")), F.unix_micros(F.col("end").cast("timestamp")), F.unix_micros(F.col("now").cast("timestamp"))
+    bucket = lambda c: F.floor(c / width)
+    known = events.where("start is not null and end is not null").select("title", start.alias("at"), stop.alias("stop"))
+    placed = known.select(F.explode(F.sequence(bucket(F.col("at") - ahead), bucket(F.greatest("at", "stop") + back))).alias("bucket"), "at", "stop", "title", F.lit(False).alias("asks"))
+    asked = moments.where("now is not null").select(now.alias("at")).distinct().select(bucket(F.col("at")).alias("bucket"), "at", F.lit(0).cast("long").alias("stop"), F.lit("").alias("title"), F.lit(True).alias("asks"))
+    # an event that starts at a moment comes before it; of events that start together the first title comes last
+    met = placed.unionByName(asked).repartition("bucket").sortWithinPartitions("bucket", "at", "asks", F.desc("title"))
+    found = met.mapInPandas(_sweep(back, ahead), "at long, hint string")
+    return moments.withColumn("_at", now).join(found.withColumnRenamed("at", "_at"), "_at", "left").select(*moments.columns, F.coalesce("hint", F.lit("")).alias("hint"))
+
+
+def _sweep(back: int, ahead: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Answers the moments of sorted buckets in one pass. What it holds: events that no
+    later one outlasts, and the moments since the last event that none of them answers
+    in progress."""
+
+    def sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        place, running, recent, waiting, coming, out = None, [], [], [], None, []
+
+        def settle() -> None:
+            for at, past in waiting:
+                gap = at - past[0] if past else None
+                if coming and coming[0] <= at + ahead and (gap is None or coming[0] - at < gap):
+                    out.append((at, coming[1]))
+                elif past:
+                    out.append((at, past[1]))
+            waiting.clear()
+
+        for batch in batches:
+            for bucket, at, stop, title, asks in zip(*(batch[c].tolist() for c in ("bucket", "at", "stop", "title", "asks")), strict=True):
+                if bucket != place:
+                    settle()
+                    place, coming = bucket, None
+                    running.clear(), recent.clear()
+                if asks:
+                    if coming:
+                        settle()
+                        coming = None
+                    while running and running[-1][2] < at:
+                        running.pop()
+                    if running:
+                        out.append((at, running[-1][1]))
+                        continue
+                    while recent and recent[-1][2] < at - back:
+                        recent.pop()
+                    waiting.append((at, recent[-1] if recent else None))
+                    continue
+                if waiting:
+                    if coming and coming[0] < at:
+                        settle()
+                    coming = (at, title) if waiting else None
+                event = (at, title, stop)
+                # of those that start together the one that ends last is in progress, the first title is the nearest
+                while running and running[-1][2] <= stop:
+                    running.pop()
+                if not running or running[-1][0] < at:
+                    running.append(event)
+                while recent and recent[-1][2] <= stop:
+                    recent.pop()
+                recent.append(event)
+            if out:
+                yield pd.DataFrame(out, columns=["at", "hint"])
+                out.clear()
+        settle()
+        if out:
+            yield pd.DataFrame(out, columns=["at", "hint"])
+
+    return sweep
 
 
 def titled(hint: Column, generated: Column) -> Column:
