@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from talkloom.functions import text as T
+from talkloom.streaming.runs import stored
 
 #: The two channels' labels and texts that silence tends to yield.
 MIC, SYSTEM = "あなた", "相手"
@@ -132,8 +133,10 @@ def first_of_each(df: DataFrame, value: str, order: str, *keys: str) -> DataFram
 
 def in_order(df: DataFrame, into: str, *order: str) -> DataFrame:
     """Adds `into`, the place from 1 in the given order. Rows are range-partitioned
-    and numbered within partitions; only one count a partition meets in one task."""
-    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_row", F.monotonically_increasing_id())
+    and numbered within partitions; only one count a partition meets in one task. They
+    are laid down with these numbers: ranges come from samples, and partitions are
+    coalesced by size, so that rows placed again for the counts would lie otherwise."""
+    placed = stored(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_row", F.monotonically_increasing_id()), "in-order")
     part, row = F.shiftright("_row", 33), F.col("_row").bitwiseAND(F.lit((1 << 33) - 1))
     counts = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
