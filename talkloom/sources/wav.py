@@ -324,7 +324,7 @@ def write_channels(blocks: DataFrame, folder: str, rate: int = SPOOL_RATE) -> No
     after another and holds a batch of them. Files appear whole, once all tasks are
     done; what failed is told by errors_of()."""
     register(blocks.sparkSession)
-    named = blocks.select(F.concat_ws("_", F.col("meeting_id").cast("string"), "label").alias("name"), "frame_ix", F.col("samples").cast("array<float>").alias("samples"))
+    named = blocks.select(F.concat_ws("_", F.col("meeting_id").cast("string"), "label").alias("name"), "frame_ix", F.col("samples").cast("array<double>").alias("samples"))  # not float: at the edge of a step that would round up what is cut off
     totals = named.groupBy("name").agg(F.sum(F.greatest(F.size("samples"), F.lit(0))).cast("long").alias("total"))
     rows = named.join(totals, "name").repartition("name").sortWithinPartitions("name", "frame_ix").select("name", "total", "samples")
     rows.write.format("talkloom_wav_files").option("rate", rate).mode("append").save(folder)
