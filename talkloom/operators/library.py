@@ -132,14 +132,16 @@ def ranked(meetings: DataFrame, index: DataFrame, query: str, limit: int = 50, s
     return out if limit < 0 else out.limit(limit)
 
 
-def search(meetings: DataFrame, index: DataFrame, query: str, limit: int = 50, sizes: DataFrame | None = None) -> DataFrame:
+def search(meetings: DataFrame, index: DataFrame, query: str, limit: int = 50, sizes: DataFrame | None = None, ranked_limit: int | None = None) -> DataFrame:
     """Blank query: recent meetings. Else ranked ones; where there are none, those
-    that contain the query as text."""
+    that contain the query as text. ranked_limit: of ranked ones, if another than
+    limit; a negative one is none."""
     query = (query or "").strip()
     if not query:
         return recent(meetings, limit)
     # ranked once: what is found is laid down, then looked at and joined
-    best = stored(ranked(meetings.select("id"), index, query, limit, lengths(meetings) if sizes is None else sizes), "found")
+    most = limit if ranked_limit is None else ranked_limit
+    best = stored(ranked(meetings.select("id"), index, query, most, lengths(meetings) if sizes is None else sizes), "found")
     return contains(meetings, query, limit) if best.isEmpty() else meetings.join(best, "id").orderBy("score", "id").drop("score")
 
 
