@@ -76,10 +76,16 @@ def tokens(text: Column) -> Column:
 
 
 def postings(meetings: DataFrame) -> DataFrame:
-    """id, field, term, positions and the field's number of tokens."""
+    """id, field, term, positions and the field's number of tokens. A field's tokens
+    stand in one row: sorted there by term and place, runs of a term are its positions,
+    and nothing is shuffled."""
     fields = F.array(*[F.struct(F.lit(f).alias("field"), tokens(F.col(f)).alias("t")) for f in FIELDS])
-    each = meetings.select("id", F.explode(fields).alias("f")).select("id", "f.field", F.size("f.t").alias("n_tokens"), F.posexplode("f.t").alias("at", "term"))
-    return each.groupBy("id", "field", "term", "n_tokens").agg(F.array_sort(F.collect_list("at")).alias("positions")).select("id", "field", "term", "positions", "n_tokens")
+    each = meetings.select("id", F.explode(fields).alias("f")).select("id", "f.field", F.transform("f.t", lambda t, at: F.struct(t.alias("term"), at.alias("at"))).alias("t")).where(F.size("t") > 0)
+    ordered = each.select("id", "field", F.sort_array("t").alias("t")).select("id", "field", F.col("t.term").alias("terms"), F.col("t.at").alias("places"), F.size("t").alias("n_tokens"))
+    starts = F.filter(F.sequence(F.lit(1), F.col("n_tokens")), lambda k: (k == 1) | (F.get("terms", k - 1) != F.get("terms", k - 2)))
+    runs = ordered.withColumn("starts", starts).withColumn("stops", F.concat(F.slice("starts", 2, F.size("starts")), F.array(F.col("n_tokens") + 1)))
+    out = runs.select("id", "field", "terms", "places", "n_tokens", F.explode(F.arrays_zip("starts", "stops")).alias("r"))
+    return out.select("id", "field", F.get("terms", F.col("r.starts") - 1).alias("term"), F.slice("places", F.col("r.starts"), F.col("r.stops") - F.col("r.starts")).alias("positions"), "n_tokens")
 
 
 def recent(meetings: DataFrame, limit: int = 50) -> DataFrame:
