@@ -6,7 +6,7 @@ import json
 from collections.abc import Sequence
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from talkloom.operators.calendar import valid_events
@@ -120,8 +120,17 @@ def read_corpus(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_column(spark: SparkSession, path: str, column: str, rows: int) -> DataFrame:
-    """Texts of one Parquet column that are not blank, among the first `rows`."""
-    return spark.read.parquet(path).select(F.trim(F.col(column)).alias("text")).limit(rows).where("text <> ''")
+    """Texts of one Parquet column that are not blank, among the first `rows`: by path
+    of file, then by place in it. Only the file where they end is known to the driver;
+    a limit would bring all of them to one task."""
+    table = spark.read.parquet(path)
+    files = table.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count("*").alias("n"))
+    upto = files.withColumn("upto", F.sum("n").over(Window.orderBy("file")))
+    end = upto.where(F.col("upto") > rows).orderBy("file").select("file", (F.col("n") - F.col("upto") + rows).alias("left")).first()
+    if end is not None:
+        file, place = F.col("_metadata.file_path"), F.col("_metadata.row_index")
+        table = table.where((file < end["file"]) | ((file == end["file"]) & (place < end["left"])))
+    return table.select(F.trim(F.col(column)).alias("text")).where("text <> ''")
 
 
 def catalogue(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
