@@ -15,8 +15,7 @@ import time
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
@@ -48,13 +47,13 @@ class _Idle(StatefulProcessor):
     def put_off(self) -> None:
         if self.timeout is None:
             return
-        if self.timer.exists():
-            self.handle.deleteTimer(self.timer.get()[0])
+        if before := self.timer.get():
+            self.handle.deleteTimer(before[0])
         at = int((time.time() + self.timeout) * 1000)
         self.handle.registerTimer(at)
         self.timer.update((at,))
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803  named by Spark
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803  named by Spark
         for state in self.states:
             state.clear()
         return iter(())
@@ -63,8 +62,8 @@ class _Idle(StatefulProcessor):
         pass
 
 
-def _rows(batches: Iterator[pd.DataFrame]) -> list[tuple]:
-    return [(r.label, int(r.frame_ix), np.asarray(r.samples if r.samples is not None else [], np.float32)) for batch in batches for r in batch.itertuples()]
+def _rows(rows: Iterator[Row]) -> list[tuple]:
+    return [(r.label, r.frame_ix, np.asarray(r.samples if r.samples is not None else [], np.float32)) for r in rows]
 
 
 def _in_state(blocks: list[tuple]) -> list[tuple]:
@@ -83,9 +82,9 @@ class _Ring(_Idle):
         self.counts = handle.getValueState("counts", "captured long, held long, gone long, oldest long, newest long")
         return [self.blocks, self.counts]
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N802, N803
         come = sorted(_rows(rows), key=lambda b: b[1])
-        captured, held, gone, oldest, newest = self.counts.get() if self.counts.exists() else (0, 0, -1 << 62, None, None)
+        captured, held, gone, oldest, newest = self.counts.get() or (0, 0, -1 << 62, None, None)
         captured += sum(len(b[2]) for b in come)
         come = [b for b in come if b[1] > gone]  # older than what is gone: gone as well
         new = sum(len(b[2]) for b in come)
@@ -105,11 +104,11 @@ class _Ring(_Idle):
             oldest, newest = (ring[0][1], ring[-1][1]) if ring else (None, None)
         self.counts.update((captured, held, gone, oldest, newest))
         self.put_off()
-        yield pd.DataFrame({"meeting_id": [key[0]], "label": [key[1]], "captured": [captured], "held": [held], "oldest": pd.array([oldest], "Int64"), "newest": pd.array([newest], "Int64")})
+        yield Row(meeting_id=key[0], label=key[1], captured=captured, held=held, oldest=oldest, newest=newest)
 
 
 def _with_state(grouped, processor: _Idle, schema: str) -> DataFrame:
-    return grouped.transformWithStateInPandas(processor, schema, "Append", "ProcessingTime" if processor.timeout is not None else "None")
+    return grouped.transformWithState(processor, schema, "Append", "ProcessingTime" if processor.timeout is not None else "None")
 
 
 def buffered(blocks: DataFrame, rate: int = channels.RATE, window: float = live.WINDOW, timeout: float | None = None) -> DataFrame:
@@ -142,18 +141,19 @@ class _InOrder(_Idle):
         """What blocks, in order, give. Called once a batch."""
         raise NotImplementedError
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        newest, taken = self.place.get() if self.place.exists() else (-1 << 62, -1 << 62)
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N802, N803
+        newest, taken = self.place.get() or (-1 << 62, -1 << 62)
         come = [b for b in _rows(rows) if b[1] > taken]
-        held = [(label, frame, np.asarray(x, np.float32)) for label, frame, x in self.waiting.get()] + come
+        held = [(label, frame, np.asarray(x, np.float32)) for label, frame, x in self.waiting.get()] + come if self.slack else come  # without slack none waits
         newest = max([newest, *(b[1] for b in come)])
         ready = sorted((b for b in held if b[1] <= newest - self.slack), key=lambda b: (b[1], b[0]))
         rest = [b for b in held if b[1] > newest - self.slack]
-        self.waiting.put(_in_state(rest)) if rest else self.waiting.clear()
+        if self.slack:
+            self.waiting.put(_in_state(rest)) if rest else self.waiting.clear()
         self.place.update((newest, max(taken, newest - self.slack)))
         self.put_off()
-        if ready and (out := self.take(key, ready)):
-            yield pd.DataFrame(out, columns=self.columns)
+        if ready:
+            yield from (Row(**dict(zip(self.columns, r, strict=True))) for r in self.take(key, ready))
 
 
 class _FirstSound(_InOrder):
@@ -171,9 +171,11 @@ class _FirstSound(_InOrder):
         return [self.sums]
 
     def take(self, key: tuple, blocks: list[tuple]) -> list[tuple]:
-        captured, fired, squares = self.sums.get() if self.sums.exists() else (0, False, [])
+        captured, fired, squares = self.sums.get() or (0, False, [])
+        if fired:
+            return []
         squares, out = np.asarray(squares if squares is not None else [], np.float64), []
-        for _, _, samples in [] if fired else blocks:
+        for _, _, samples in blocks:
             captured += len(samples)
             squares = np.concatenate([squares, samples.astype(np.float64) ** 2])[-self.tail :]
             if captured >= live.ACTIVITY_SECONDS * self.rate and len(squares) and np.sqrt(squares.mean()) >= live.ACTIVITY_RMS:
@@ -235,7 +237,7 @@ class _Live(_InOrder):
         for label, frame, x in self.rings.get():
             rings.setdefault(label, []).append((frame, np.asarray(x, np.float32)))
         marks = {k[0]: list(v) for k, v in self.marks.iterator()}
-        shown = self.shown.get()[0] if self.shown.exists() else ""
+        shown = (self.shown.get() or ("",))[0]
         out = []
         at = 0
         while at < len(blocks):
