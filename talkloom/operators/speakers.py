@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Fixed value: silence between utterances of a built conversation, in seconds.
 GAP = 0.7
+#: Frames of the buckets by which turns are scored.
+BUCKET_FRAMES = 400
 
 
 def assign_speakers(segments: DataFrame, turns: DataFrame, bucket_seconds: float = 30.0) -> DataFrame:
@@ -100,25 +102,56 @@ def best_mapping(hits: np.ndarray) -> np.ndarray:
     return out
 
 
-def frame_accuracy(truth: DataFrame, found: DataFrame, hop: float = 0.01) -> DataFrame:
-    """meeting_id and accuracy: the share of truth frames that the best one-to-one
-    mapping of found speakers gets right. Turns are (meeting_id, turn_ord, ts, te,
-    spk); where turns overlap the later one counts. Frames are counted by pair of
-    speakers in Spark; the counts of a meeting, one for each pair, go to one task."""
+def shared_frames(truth: DataFrame, found: DataFrame, hop: float = 0.01) -> DataFrame:
+    """meeting_id, t, h and n: in how many frames the truth's speaker is t and the found
+    one h (null: none). Turns are (meeting_id, turn_ord, ts, te, spk); where turns overlap
+    the later one counts.
+
+    Nothing is made for single frames. Turns are cut by bucket; within one, ends cut time
+    into intervals in which nothing changes, and each turn meets those that it covers. Of
+    turns that cover the same part of a bucket the latest is left, so that a bucket holds
+    a bounded number of them however many there are."""
     frame = lambda c: F.floor(F.col(c) / hop)
-    frames = lambda df, name: (
-        df.where(frame("te") > frame("ts"))
-        .select("meeting_id", "turn_ord", "spk", F.explode(F.sequence(frame("ts"), frame("te") - 1)).alias("frame"))
-        .groupBy("meeting_id", "frame")
-        .agg(F.max_by("spk", "turn_ord").alias(name))
+    bucket = lambda c: F.floor(F.col(c) / BUCKET_FRAMES)
+    start = F.col("bucket") * BUCKET_FRAMES
+
+    def parts(df: DataFrame, side: str) -> DataFrame:
+        turns = df.select("meeting_id", F.lit(side).alias("side"), "turn_ord", "spk", frame("ts").alias("a"), frame("te").alias("b")).where("b > a")
+        cut = turns.withColumn("bucket", F.explode(F.sequence(bucket("a"), F.floor((F.col("b") - 1) / BUCKET_FRAMES))))
+        return cut.select("meeting_id", "bucket", "side", "turn_ord", "spk", F.greatest("a", start).alias("a"), F.least("b", start + BUCKET_FRAMES).alias("b"))
+
+    latest = parts(truth, "t").unionByName(parts(found, "h")).groupBy("meeting_id", "bucket", "side", "a", "b").agg(F.max_by("spk", "turn_ord").alias("spk"), F.max("turn_ord").alias("turn_ord"))
+    held = latest.groupBy("meeting_id", "bucket").agg(F.collect_list(F.struct("side", "a", "b", "spk", "turn_ord")).alias("turns"))
+    edges = held.withColumn("edges", F.array_sort(F.array_union("turns.a", "turns.b")))
+    covered = edges.select("meeting_id", "bucket", "edges", F.inline("turns")).select(
+        "meeting_id", "bucket", "side", "spk", "turn_ord", F.explode(F.filter(F.arrays_zip(F.col("edges").alias("a"), F.slice("edges", 2, F.size("edges")).alias("b")), lambda e: (e["a"] >= F.col("a")) & (e["b"] <= F.col("b")))).alias("e")
     )
-    both = frames(truth, "t").join(frames(found, "h"), ["meeting_id", "frame"], "left")
-    counts = both.groupBy("meeting_id", "t", "h").agg(F.count("*").alias("n"))
+    of = lambda side, c: F.when(F.col("side") == side, F.col(c))
+    intervals = covered.groupBy("meeting_id", "bucket", "e").agg(*[F.max_by(of(side, "spk"), of(side, "turn_ord")).alias(side) for side in "th"], F.max(F.col("side") == "t").alias("said"))
+    return intervals.where("said").groupBy("meeting_id", "t", "h").agg(F.sum(F.col("e.b") - F.col("e.a")).alias("n"))
+
+
+def frame_accuracy(truth: DataFrame, found: DataFrame, hop: float = 0.01) -> DataFrame:
+    """meeting_id and accuracy: the share of truth frames that the best one-to-one
+    mapping of found speakers gets right. Turns are as in shared_frames(). Frames are
+    counted by pair of speakers in Spark; the counts of a meeting, one for each pair, go
+    to one task."""
+    pairs = shared_frames(truth, found, hop).groupBy("meeting_id").agg(F.collect_list(F.struct("t", "h", "n")).alias("pairs"))
+
+    def right(pairs: list[dict]) -> int:
+        known = [(p["t"], p["h"], p["n"]) for p in pairs if p["t"] is not None and p["h"] is not None]
+        if not known:
+            return 0
+        row, column = ({x: k for k, x in enumerate(dict.fromkeys(side))} for side in list(zip(*known, strict=True))[:2])
+        hits = np.zeros((len(row), len(column)), np.int64)
+        for t, h, n in known:
+            hits[row[t], column[h]] = n
+        mapped = best_mapping(hits)
+        return int(hits[np.flatnonzero(mapped >= 0), mapped[mapped >= 0]].sum())
 
-    def best(pdf: pd.DataFrame) -> pd.DataFrame:
-        hits = pdf.dropna().pivot_table(index="t", columns="h", values="n", aggfunc="sum", fill_value=0).to_numpy()
-        mapped = best_mapping(hits) if hits.size else np.zeros(0, int)
-        right = hits[np.flatnonzero(mapped >= 0), mapped[mapped >= 0]].sum() if hits.size else 0
-        return pd.DataFrame({"meeting_id": [pdf.meeting_id.iloc[0]], "accuracy": [right / pdf.n.sum()]})
+    def best(batches):
+        for batch in batches:
+            accuracy = [right(x) / sum(p["n"] for p in x) for x in batch.column("pairs").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("meeting_id"), pa.array(accuracy, pa.float64())], ["meeting_id", "accuracy"])
 
-    return counts.groupBy("meeting_id").applyInPandas(best, "meeting_id long, accuracy double")
+    return pairs.mapInArrow(best, "meeting_id long, accuracy double")
