@@ -1,7 +1,7 @@
 """Operator 13: alignment of the tokens of two tokenizers.
 
 Python only tokenises: ids and the byte offsets at which tokens end. All else are
-higher-order functions over these arrays. The ends of both, merged in order, cut a
+higher-order and array functions over these numbers. The ends of both, merged in order, cut a
 text into segments; each segment lies in one token of either, so that segments are the
 links; ends that both share close the groups.
 """
@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ._spark import stored, tidy
 from .piece_codec import BLANK, MODEL, WORD_CHARS, by_bytes, id_lists, model_path
@@ -25,10 +26,14 @@ from .piece_codec import BLANK, MODEL, WORD_CHARS, by_bytes, id_lists, model_pat
 TOKENIZER, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 #: Bytes of words that a Python worker remembers, at most about.
 REMEMBERED_BYTES = 96 << 20
+#: Text bytes that Python tokenises together: about ten arrays of all their tokens.
+TEXT_BYTES = 1 << 19
 #: Id pairs whose counts are broadcast (under 40 bytes each); more are joined by shuffle.
 BROADCAST_PAIRS = 1_000_000
 #: An id pair as one number: the first id times this, and the second.
 PAIR = 1 << 31
+#: What tokenized() gives. Arrays without nulls are sorted as plain numbers.
+TOKENS = T.StructType([T.StructField("doc_id", T.LongType()), *[T.StructField(c, T.ArrayType(T.LongType(), False)) for c in ("a_ends", "a", "a_places", "b_ends", "b", "b_places")]])
 
 #: A blank between such characters begins a word for both tokenizers, whatever stands
 #: around it; words of such characters alone are cut alike by both of A's libraries.
@@ -136,64 +141,67 @@ def _tokens(tokenizer: str, ranks: str | None, model: str):
             _pairs[key] = TokenPair(*key)
         both = _pairs[key]
         for whole in batches:
-            for batch in by_bytes(whole, "text"):
+            for batch in by_bytes(whole, "text", TEXT_BYTES):
                 columns = [batch.column("doc_id")]
-                for encoded, lengths in zip(both.encode([t or "" for t in batch.column("text").to_pylist()]), (both.a_lengths, both.b_lengths), strict=True):
+                for side, encoded, lengths in zip((0, PAIR), both.encode([t or "" for t in batch.column("text").to_pylist()]), (both.a_lengths, both.b_lengths), strict=True):
                     ids = id_lists(encoded)
                     flat = np.cumsum(lengths[ids.values.to_numpy()], dtype=np.int64)
                     offsets = ids.offsets.to_numpy()
-                    before = np.concatenate([[0], flat])[offsets[:-1]]
-                    ends = (flat - np.repeat(before, np.diff(offsets))).astype(np.int32)
-                    columns += [ids, pa.ListArray.from_arrays(ids.offsets, pa.array(ends))]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "a_ids", "a_ends", "b_ids", "b_ends"])
+                    size = np.diff(offsets)
+                    at = flat - np.repeat(np.concatenate([[0], flat])[offsets[:-1]], size)
+                    ends = at << 32
+                    place = np.arange(len(ends)) - np.repeat(offsets[:-1], size)
+                    columns += [pa.ListArray.from_arrays(ids.offsets, pa.array(x)) for x in (at, ends + ids.values.to_numpy(), ends + side + place)]
+                yield pa.RecordBatch.from_arrays(columns, TOKENS.names)
 
     return run
 
 
 def tokenized(documents: DataFrame, tokenizer: str = TOKENIZER, ranks: str | None = RANKS, model: str = MODEL) -> DataFrame:
-    """doc_id and, of blank and text, ids and byte ends by both tokenizers: a_ids,
-    a_ends, b_ids, b_ends (array<int>). A text that is null, empty or not the bytes of
-    its tokens has none. `ranks`: A's vocabulary for the faster library, if there is."""
+    """doc_id and, of blank and text, the bytes at which tokens end by both tokenizers:
+    a_ends and b_ends; and as numbers that sort by these (times 2 ** 32): a and b, with
+    the id added, a_places and b_places, with the token's place among its own added, and
+    with PAIR for b. A text that is null, empty or not the bytes of its tokens has none.
+    `ranks`: A's vocabulary for the faster library, if there is."""
     named = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return named.mapInArrow(tidy(_tokens(tokenizer, ranks, model)), "doc_id long, a_ids array<int>, a_ends array<int>, b_ids array<int>, b_ends array<int>")
+    return named.mapInArrow(tidy(_tokens(tokenizer, ranks, model)), TOKENS)
 
 
 def align(tokens: DataFrame) -> DataFrame:
-    """Groups and links of tokenized(): its doc_id and ids, n_groups, `links` (array
-    of long: first id times PAIR and second id, one for each pair of token occurrences
-    that overlap, in order) and `groups` (string `a1,a2|b1;a3|b2,b3`)."""
+    """Groups and links of tokenized(): its doc_id, a_ids, b_ids, n_a, n_b, n_groups, `links`
+    (array of long: first id times PAIR and second id, one for each pair of token
+    occurrences that overlap, in order), `segments` (links, and a null for each end that
+    makes none) and `groups` (string `a1,a2|b1;a3|b2,b3`). All steps take time in
+    proportion to the tokens of a document, besides sorting them. Columns that nobody
+    reads are not made. Arrays that lambdas run over are columns of their own, used twice:
+    Spark then compiles what makes them."""
     low = F.lit(PAIR - 1).cast("long")
-    coded = lambda side: lambda end, at: F.shiftleft(end.cast("long"), 32) + (at + F.lit(side * PAIR))
-    # ends of both in order, a's first; each with its place in its own array
-    merged = tokens.withColumn("merged", F.sort_array(F.concat(F.transform("a_ends", coded(0)), F.transform("b_ends", coded(1)))))
     end = lambda code: F.shiftright(code, 32)
-    at = lambda place: F.get("merged", place)
-
-    def segment(code, place):
-        """a's place << 32 | whether b ends here too << 31 | b's place. Of what stands
-        before, as many as have no place in its own array are of the other."""
-        own = code.bitwiseAND(low).cast("int")
-        other = place - own
-        from_a = F.shiftleft(own.cast("long"), 32) + other + F.when(end(at(place + 1)) == end(code), F.lit(PAIR)).otherwise(F.lit(0).cast("long"))
-        from_b = F.when((place > 0) & (end(at(place - 1)) == end(code)), F.lit(None).cast("long")).otherwise(F.shiftleft(other.cast("long"), 32) + own)
-        return F.when(code.bitwiseAND(F.lit(PAIR)) == 0, from_a).otherwise(from_b)
-
-    segments = merged.withColumn("segments", F.array_compact(F.transform("merged", segment))).drop("merged")
-    a_at = lambda s: F.shiftright(s, 32).cast("int")
-    b_at = lambda s: s.bitwiseAND(low).cast("int")
-    link = lambda s: F.get("a_ids", a_at(s)).cast("long") * F.lit(PAIR) + F.get("b_ids", b_at(s))
-    # groups end where both do
-    cuts = segments.withColumns({"links": F.transform("segments", link), "lasts": F.filter("segments", lambda s: s.bitwiseAND(F.lit(PAIR)) != 0)})
-    listed = lambda ids, first, last: F.array_join(F.slice(ids, first + 2, last - first).cast("array<string>"), ",")
-
-    def group(k):
-        last, before = F.get("lasts", k), F.when(k > 0, F.get("lasts", k - 1))
-        a, b = F.coalesce(a_at(before), F.lit(-1)), F.coalesce(b_at(before), F.lit(-1))
-        return F.concat(listed("a_ids", a, a_at(last)), F.lit("|"), listed("b_ids", b, b_at(last)))
-
-    shared = F.size(F.array_intersect("a_ends", "b_ends"))
-    groups = F.when(shared == 0, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(0), shared - 1), group))
-    return cuts.select("doc_id", "a_ids", "b_ids", shared.alias("n_groups"), "links", F.array_join(groups, ";").alias("groups"))
+    numbers = lambda codes: F.transform(codes, lambda x: x.bitwiseAND(F.lit((1 << 32) - 1)))
+    size = lambda c: F.size(c).cast("long")
+    # ends of both in order, a's first; and the ends that both share, which close groups
+    merged = tokens.withColumns({"merged": F.sort_array(F.concat("a_places", "b_places")), "shared": F.array_intersect("a_ends", "b_ends")})
+
+    def link(code, place):
+        """Of what stands before, as many as have no place in their own array are of the
+        other. An end of b that a shares closes no segment of its own."""
+        of_a, own = code.bitwiseAND(F.lit(PAIR)) == 0, code.bitwiseAND(low).cast("int")
+        pair = lambda a, b: F.get("a", a).bitwiseAND(low) * F.lit(PAIR) + F.get("b", b).bitwiseAND(low)
+        again = end(F.get("merged", place - 1)) == end(code)
+        return F.when(of_a, pair(own, place - own)).when(again, F.lit(None).cast("long")).otherwise(pair(place - own, own))
+
+    # a mark sorts behind the token that ends where it stands
+    marked = merged.withColumn("marks", F.transform("shared", lambda x: F.shiftleft(x, 32) + F.lit(PAIR)))
+    sorted_ = marked.withColumns({f"{side}_marked": F.sort_array(F.concat(side, "marks")) for side in "ab"})
+    whole = lambda c: F.when(F.size(c) > 0, numbers(c))
+    listed = sorted_.withColumns({f"{side}_listed": F.split(F.replace(F.concat(F.array_join(whole(f"{side}_marked").cast("array<string>"), ","), F.lit(",")), F.lit(f",{PAIR},"), F.lit(";")), ";") for side in "ab"})
+    groups = F.when(F.size("a_listed") == F.size("b_listed"), F.array_join(F.zip_with("a_listed", "b_listed", lambda a, b: F.concat(a, F.lit("|"), b)), ";"))
+    return listed.withColumn("joined", groups).select(
+        "doc_id", numbers("a").alias("a_ids"), numbers("b").alias("b_ids"), size("a").alias("n_a"), size("b").alias("n_b"), size("shared").alias("n_groups"),
+        F.transform("merged", link).alias("segments"), F.array_compact(F.transform("merged", link)).alias("links"),
+        # behind the last mark stands nothing
+        F.coalesce(F.substring("joined", F.lit(1), F.octet_length("joined") - 2), F.lit("")).alias("groups"),
+    )
 
 
 def align_tokenizers(documents: DataFrame, tokenizer: str = TOKENIZER, ranks: str | None = RANKS, model: str = MODEL, broadcast_pairs: int = BROADCAST_PAIRS) -> DataFrame:
@@ -208,17 +216,16 @@ def align_tokenizers(documents: DataFrame, tokenizer: str = TOKENIZER, ranks: st
     of the links table, 8 bytes a link. The counts of pairs are broadcast up to
     `broadcast_pairs` of them, and joined by shuffle beyond."""
     aligned = align(tokenized(documents, tokenizer, ranks, model))
-    n_a = F.size("a_ids").cast("long")
-    digest = F.when(n_a == 0, F.lit("")).otherwise(F.sha2("groups", 256))
+    digest = F.when(F.col("n_a") == 0, F.lit("")).otherwise(F.sha2("groups", 256))
     rows = stored(
-        aligned.select(F.monotonically_increasing_id().alias("row"), "doc_id", n_a.alias("n_a"), F.size("b_ids").cast("long").alias("n_b"), F.col("n_groups").cast("long").alias("n_groups"), F.size("links").cast("long").alias("n_links"), digest.alias("groups_sha256"), "links"),
+        aligned.select(F.monotonically_increasing_id().alias("row"), "doc_id", "n_a", "n_b", "n_groups", (F.col("n_a") + F.col("n_b") - F.col("n_groups")).alias("n_links"), digest.alias("groups_sha256"), "segments"),
         "token-links",
     )
-    counts = stored(rows.select(F.explode(F.array_distinct("links")).alias("pair")).groupBy("pair").agg(F.count("*").alias("n")), "token-pairs")
+    counts = stored(rows.select(F.explode(F.array_distinct("segments")).alias("pair")).where("pair IS NOT NULL").groupBy("pair").agg(F.count("*").alias("n")), "token-pairs")
     first = F.expr(f"pair div {PAIR}L")
     best = counts.groupBy(first.alias("a")).agg(F.max("n").alias("most"))
     ranked = stored(counts.withColumn("a", first).join(best, "a").select("pair", "n", (F.col("n") == F.col("most")).cast("long").alias("best")), "token-pairs-ranked")
     ranked = F.broadcast(ranked) if ranked.count() <= broadcast_pairs else ranked.hint("merge")
-    scores = rows.select("row", F.explode("links").alias("pair")).join(ranked, "pair").groupBy("row").agg(F.sum("best").alias("n_best"), F.sum("n").alias("count_sum"))
+    scores = rows.select("row", F.explode("segments").alias("pair")).where("pair IS NOT NULL").join(ranked, "pair").groupBy("row").agg(F.sum("best").alias("n_best"), F.sum("n").alias("count_sum"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
-    return rows.drop("links").join(scores, "row", "left").select("doc_id", "n_a", "n_b", "n_groups", "n_links", zero("n_best"), zero("count_sum"), "groups_sha256")
+    return rows.drop("segments").join(scores, "row", "left").select("doc_id", "n_a", "n_b", "n_groups", "n_links", zero("n_best"), zero("count_sum"), "groups_sha256")

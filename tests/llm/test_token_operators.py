@@ -11,6 +11,7 @@ import zlib
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from talkloom.llm import piece_codec, prefix_trie, queries, token_alignment
@@ -246,3 +247,9 @@ def test_links_overlap_and_groups_hold_all_tokens(spark):
         assert [int(i) for g in groups for i in g[0]] == r.a_ids
         assert [int(i) for g in groups for i in g[1]] == r.b_ids
         assert len(r.links) == len(r.a_ids) + len(r.b_ids) - r.n_groups
+
+
+def test_tokens_of_half_a_megabyte_of_text_are_held_at_once():
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(600)), "text": ["word " * 819] * 600})
+    made = list(token_alignment._tokens(token_alignment.TOKENIZER, token_alignment.RANKS, token_alignment.MODEL)([batch]))
+    assert sum(b.num_rows for b in made) == 600 and max(b.num_rows for b in made) <= 128
