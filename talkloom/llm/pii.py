@@ -5,16 +5,17 @@ high recall propose overlapping spans: addresses and numbers in other spellings.
 Boosted trees score each candidate by its format and its context, thresholds
 calibrated on held-out rows decide, and of overlapping winners the best stays.
 
-No table labels personal data, so the corpus teaches itself: base spans of a bounded
-sample of documents are spelt in other ways where they stand, which gives right
-candidates in real contexts; numbers and words of the same documents, and spans
-whose checks were broken, give wrong ones.
+No table labels personal data, so the corpus teaches itself: base spans of all
+documents are spelt in other ways where they stand, which gives right candidates in
+real contexts; numbers and words of the same documents, and spans whose checks were
+broken, give wrong ones. Equal ones are counted in Spark, and weigh as often.
 """
 
 from __future__ import annotations
 
 import random
 import re
+import zlib
 from bisect import bisect_left, bisect_right
 from collections import Counter
 from typing import NamedTuple
@@ -28,9 +29,9 @@ from ._spark import stored, tidy
 
 #: The kinds, in the order of results.
 KINDS = ("email", "ip", "card", "phone")
-#: Documents the trees are fitted and calibrated on at most (half and half), and
-#: candidates that one of them gives: bounds of a training sample, by design.
-SAMPLE_DOCS, DOC_ROWS = 2000, 24
+#: Words before candidates are told apart by a hash with so many values, and scores
+#: for the thresholds in so many steps: what is counted over all then stays small.
+CUES, STEPS = 1 << 16, 10_000
 #: Precision on held-out rows that a kind's threshold must reach.
 PRECISION = 0.95
 #: Boosted trees and their depth.
@@ -243,22 +244,37 @@ class Stretches:
         return np.append(self.starts, np.iinfo(np.int64).max)[k] >= spans[:, 2]
 
 
+def _best(found: Candidates, score: np.ndarray, rows: np.ndarray) -> list[int]:
+    """Of these candidates, those that overlap no better one."""
+    taken, out = Stretches(), []
+    for k in rows[np.lexsort((-found.spans[rows, 2], found.spans[rows, 1], -score[rows]))].tolist():
+        _, a, b = found.spans[k].tolist()
+        if not taken.touch(a, b):
+            taken.add(a, b)
+            out.append(k)
+    return out
+
+
 # --- training -------------------------------------------------------------------
 
 
-def _respelt(kind: str, text: str, rng: random.Random) -> str:
-    """A base span in another spelling."""
+def _spellings(kind: str, text: str) -> list[str]:
+    """A base span in other spellings."""
     digits = re.sub("[^0-9]", "", text)
     if kind == "email":
-        at, dot = rng.choice([(" [at] ", " [dot] "), ("(at)", "(dot)"), (" at ", " dot "), ("[at]", "."), (" (at) ", ".")])
         local, domain = text.split("@")
-        return local + at + domain.replace(".", dot)
+        return [local + at + domain.replace(".", dot) for at, dot in [(" [at] ", " [dot] "), ("(at)", "(dot)"), (" at ", " dot "), ("[at]", "."), (" (at) ", ".")]]
     if kind == "ip":
-        return rng.choice(["[.]", " . ", "(.)", "-"]).join(text.split("."))
+        return [mark.join(text.split(".")) for mark in ["[.]", " . ", "(.)", "-"]]
     if kind == "card":
-        return rng.choice([".", "/", " - "]).join(digits[k : k + 4] for k in range(0, len(digits), 4))
+        return [mark.join(digits[k : k + 4] for k in range(0, len(digits), 4)) for mark in [".", "/", " - "]]
     a, b, c = digits[-10:-7], digits[-7:-4], digits[-4:]
-    return rng.choice([f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"00 {digits[:-10]} {a} {b} {c}", f"({a}) {b} {c}"])
+    return [f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"00 {digits[:-10]} {a} {b} {c}", f"({a}) {b} {c}"]
+
+
+def _respelt(kind: str, text: str, rng: random.Random) -> str:
+    """A base span in another spelling."""
+    return rng.choice(_spellings(kind, text))
 
 
 def _broken(kind: str, text: str, rng: random.Random) -> str:
@@ -278,27 +294,40 @@ def _broken(kind: str, text: str, rng: random.Random) -> str:
     return rng.choice([f"{year}-{month}-{day}", f"{day}.{month}.{year}", f"{d(5)} {d(5)}", f"{d(2)}-{d(6)}-{d(2)}", f"{day}/{month}/{year} {d(2)}", f"{d(4)}-{d(4)}", f"{d(1)}.{d(3)}.{d(3)}.{d(3)}"])
 
 
-def training_rows(text: str, seed: int, most: int = DOC_ROWS) -> list[tuple[bool, str, list[float]]]:
-    """(right, word before, features) of candidates that one text gives: base spans
-    respelt and broken where they stand, and what else it holds."""
+def _items(text: str, seed: int):
+    """(text, candidates in it, which are right): for each base span in all spellings and
+    broken, where it stands; last, all else that the text holds."""
     rng = random.Random(seed)
     base = base_spans(text)
-    rng.shuffle(base)
-    out = []
-    for s in base[: most // 4]:
+    for s in base:
         left, right = text[max(0, s.start - 80) : s.start], text[s.end : s.end + 40]
-        for item, good in [(_respelt(s.kind, text[s.start : s.end], rng), True), (_respelt(s.kind, text[s.start : s.end], rng), True), (_broken(s.kind, text[s.start : s.end], rng), False)]:
+        spelt = _spellings(s.kind, text[s.start : s.end])
+        # a broken one for every two right ones
+        for item, good in [*((item, True) for item in spelt), *((_broken(s.kind, text[s.start : s.end], rng), False) for _ in spelt[::2])]:
             made, a, b = left + item + right, len(left), len(left) + len(item)
             found = candidates(made)
             found = found.take(Stretches([(x.start, x.end) for x in base_spans(made)]).free_of(found.spans))
-            for (kind, c, e), row in zip(found.spans.tolist(), found.features.tolist(), strict=True):
-                if c < b and a < e:
-                    out.append((good and (c, e) == (a, b) and KINDS[kind] == s.kind, word_before(made, c), row))
+            found = found.take((found.spans[:, 1] < b) & (found.spans[:, 2] > a))
+            yield made, found, good & (found.spans == [KINDS.index(s.kind), a, b]).all(1)
     found = candidates(text)
     found = found.take(Stretches([(x.start, x.end) for x in base]).free_of(found.spans))
-    some = rng.sample(range(len(found.spans)), min(len(found.spans), most))
-    out += [(False, word_before(text, int(found.spans[k][1])), found.features[k].tolist()) for k in some]
-    return out
+    yield text, found, np.zeros(len(found.spans), bool)
+
+
+def _words_before(text: str, found: Candidates) -> list[str]:
+    starts, at = np.unique(found.spans[:, 1], return_inverse=True)
+    words = [word_before(text, a) for a in starts.tolist()]
+    return [words[k] for k in at]
+
+
+def training_rows(text: str, seed: int) -> list[tuple[bool, str, list[float]]]:
+    """(right, word before, features) of all candidates of _items()."""
+    return [row for made, found, right in _items(text, seed) for row in zip(right.tolist(), _words_before(made, found), found.features.tolist(), strict=True)]
+
+
+def _cue(word: str) -> int:
+    """The number of a word before; -1 if there is none."""
+    return zlib.crc32(word.encode("utf-8", "surrogatepass")) % CUES if word else -1
 
 
 class Model(NamedTuple):
@@ -311,7 +340,7 @@ class Model(NamedTuple):
     right: np.ndarray
     value: np.ndarray
     weights: np.ndarray
-    cues: dict[tuple[int, str], float]
+    cues: dict[tuple[int, int], float]
     accept: tuple[float, ...]
 
     def score(self, x: np.ndarray) -> np.ndarray:
@@ -324,7 +353,7 @@ class Model(NamedTuple):
         return 1 / (1 + np.exp(-2 * (self.value[tree, at] @ self.weights)))
 
     def with_cues(self, features: np.ndarray, words: list[str]) -> np.ndarray:
-        cue = [self.cues.get((int(k), w), 0.0) for k, w in zip(features[:, 0], words, strict=True)]
+        cue = [self.cues.get((int(k), _cue(w)), 0.0) for k, w in zip(features[:, 0], words, strict=True)]
         return np.hstack([features, np.array(cue, float).reshape(-1, 1)])
 
 
@@ -332,55 +361,98 @@ class Model(NamedTuple):
 NOTHING = Model(np.full((1, 1), -1), np.zeros((1, 1)), np.zeros((1, 1), int), np.zeros((1, 1), int), np.zeros((1, 1)), np.ones(1), {}, (2.0,) * len(KINDS))
 
 
-def _cues(rows: list[tuple[bool, str, list[float]]]) -> dict[tuple[int, str], float]:
+def _cues(train: DataFrame) -> dict[tuple[int, int], float]:
     """Log-odds of a word before right candidates of a kind, against wrong ones."""
-    seen, n = Counter((int(x[0]), w, y) for y, w, x in rows if w), Counter((int(x[0]), y) for y, _, x in rows)
+    rows = train.groupBy(F.col("features")[0].alias("kind"), "cue", "right").agg(F.sum("n").alias("n")).collect()
+    seen, n = Counter(), Counter()
+    for r in rows:  # at most 8 * (CUES + 1)
+        n[r["kind"], r["right"]] += r["n"]
+        if r["cue"] >= 0:
+            seen[r["kind"], r["cue"], r["right"]] = r["n"]
     odds = lambda k, w, y: np.log((seen[k, w, y] + 1.0) / (n[k, y] + 20.0))
     return {(k, w): float(odds(k, w, True) - odds(k, w, False)) for k, w in {(k, w) for k, w, _ in seen} if seen[k, w, True] + seen[k, w, False] >= 5}
 
 
-def accepted_from(scores: np.ndarray, right: np.ndarray, precision: float = PRECISION) -> float:
+def accepted_from(scores: np.ndarray, right: np.ndarray, precision: float = PRECISION, each: np.ndarray | None = None) -> float:
     """The least score from which candidates reach the precision, ties all in; 2
-    where none does."""
+    where none does. `each`: how many candidates a score stands for, of which `right`
+    are right."""
     levels, at = np.unique(-scores, return_inverse=True)
-    n, good = np.cumsum(np.bincount(at)), np.cumsum(np.bincount(at, weights=right))
+    n, good = np.cumsum(np.bincount(at, weights=each)), np.cumsum(np.bincount(at, weights=right))
     fine = np.flatnonzero((good >= precision * n) & (-levels >= 0.5))
     return float(-levels[fine[-1]]) if len(fine) else 2.0
 
 
-def training_sample(documents: DataFrame, text: str = "text", sample_docs: int = SAMPLE_DOCS) -> DataFrame:
-    """(right, held, word, features) of candidates of at most sample_docs documents,
-    the first by hash of their text among those with a digit or an @."""
-    texts = documents.select(F.col(text).cast("string").alias("text")).where(F.col("text").rlike(r"[0-9@]")).withColumn("h", F.xxhash64(F.lit(SEED), "text"))
-    # hashes first: a sort of whole texts would move them all
-    line = texts.select("h").distinct().orderBy("h").limit(sample_docs).agg(F.max("h")).first()[0]
+def hashed(documents: DataFrame, text: str = "text") -> DataFrame:
+    """`text` of the documents that have a digit or an @, and h, its hash."""
+    return documents.select(F.col(text).cast("string").alias("text")).where(F.col("text").rlike(r"[0-9@]")).withColumn("h", F.xxhash64(F.lit(SEED), "text"))
+
+
+def _slices(batches):
+    for whole in batches:
+        for lo in range(0, whole.num_rows, ROWS_AT_ONCE):
+            batch = whole.slice(lo, ROWS_AT_ONCE)
+            yield list(zip(batch.column("text").to_pylist(), batch.column("h").to_pylist(), strict=True))
+
+
+def training_table(texts: DataFrame) -> DataFrame:
+    """right, cue, features and n: how many candidates of all hashed() texts are so. Of
+    equal texts one counts."""
+    schema = pa.schema([("h", pa.int64()), ("k", pa.int32()), ("right", pa.bool_()), ("cue", pa.int32()), ("features", pa.list_(pa.int32()))])
 
     def run(batches):
-        for batch in batches:
-            rows = [(bool(h & 1), *r) for x, h in zip(batch.column("text").to_pylist(), batch.column("h").to_pylist(), strict=True) for r in training_rows(x, h)]
-            columns = list(zip(*rows, strict=True)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.bool_()), pa.array(columns[1], pa.bool_()), pa.array(columns[2], pa.string()), pa.array(columns[3], pa.list_(pa.float64()))], ["held", "right", "word", "features"])
+        for rows in _slices(batches):
+            made = [(h, k, right, _cue(word), [int(v) for v in x]) for t, h in rows for k, (right, word, x) in enumerate(training_rows(t, h))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*made, strict=True)) or [()] * 5, schema, strict=True)], schema=schema)
 
-    some = texts.where(F.col("h") <= F.lit(line)).dropDuplicates(["h"])
-    return some.mapInArrow(run, "held boolean, right boolean, word string, features array<double>")
+    rows = texts.mapInArrow(tidy(run), "h long, k int, right boolean, cue int, features array<int>")
+    return rows.distinct().groupBy("right", "cue", "features").agg(F.count("*").alias("n"))
 
 
-def fit(documents: DataFrame, text: str = "text", sample_docs: int = SAMPLE_DOCS) -> Model:
-    """Fits the trees with Spark ML on a bounded sample of the documents. A corpus
-    without base spans to respell gives NOTHING."""
+def taken_steps(texts: DataFrame, model: Model) -> DataFrame:
+    """kind, step of score, n and right: how many candidates of all hashed() texts would
+    be taken, no better one overlapping them, and how many of these are right. Of equal
+    texts one counts."""
+    schema = pa.schema([("h", pa.int64()), ("k", pa.int32()), ("kind", pa.int32()), ("step", pa.int32()), ("right", pa.bool_())])
+
+    def run(batches):
+        for rows in _slices(batches):
+            out = []
+            for t, h in rows:
+                taken = []
+                for made, found, right in _items(t, h):
+                    if len(found.spans):
+                        score = model.score(model.with_cues(found.features, _words_before(made, found)))
+                        taken += [(int(found.spans[i, 0]), int(score[i] * STEPS), bool(right[i])) for i in _best(found, score, np.flatnonzero(score >= 0.5))]
+                out += [(h, k, *row) for k, row in enumerate(taken)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*out, strict=True)) or [()] * 5, schema, strict=True)], schema=schema)
+
+    rows = texts.mapInArrow(tidy(run), "h long, k int, kind int, step int, right boolean")
+    return rows.distinct().groupBy("kind", "step").agg(F.count("*").alias("n"), F.count_if("right").alias("right"))
+
+
+def fit(documents: DataFrame, text: str = "text") -> Model:
+    """Fits the trees with Spark ML on one half of the documents, and the thresholds on
+    the other. A corpus without base spans to respell gives NOTHING."""
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.functions import array_to_vector
 
     spark = documents.sparkSession
-    # at most sample_docs * 4 * DOC_ROWS rows of 24 numbers
-    rows = [(r["held"], r["right"], r["word"], r["features"]) for r in stored(training_sample(documents, text, sample_docs), "pii-sample").collect()]
-    train = sorted((y, w, x) for held, y, w, x in rows if not held)
-    if not any(y for y, *_ in train) or all(y for y, *_ in train):
+    texts = hashed(documents, text)
+    train = stored(training_table(texts.where("h & 1 = 0")), "pii-training")
+    if {r["right"] for r in train.select("right").distinct().collect()} != {False, True}:
         return NOTHING
     model = NOTHING._replace(cues=_cues(train))
-    x = model.with_cues(np.array([x for *_, x in train]), [w for _, w, _ in train])
-    frame = spark.createDataFrame([(float(y), row) for (y, *_), row in zip(train, x.tolist(), strict=True)], "label double, x array<double>").coalesce(2)
-    trees = GBTClassifier(maxIter=ROUNDS, maxDepth=DEPTH, seed=SEED).fit(frame.select("label", array_to_vector("x").alias("features")))
+    cues = spark.createDataFrame([(*k, v) for k, v in sorted(model.cues.items())], "kind int, cue int, odds double")
+    cued = train.join(F.broadcast(cues), (F.col("features")[0] == cues["kind"]) & (train["cue"] == cues["cue"]), "left")
+    x = F.concat(F.col("features").cast("array<double>"), F.array(F.coalesce("odds", F.lit(0.0)))).alias("x")
+    # rare words have no odds of their own, so that fewer rows differ
+    cued = stored(cued.select("right", x, "n").groupBy("right", "x").agg(F.sum("n").alias("n")).sortWithinPartitions("right", "x"), "pii-rows")
+    # most candidates are wrong: right ones weigh as much as wrong ones in all
+    n = {r["right"]: r["n"] for r in cued.groupBy("right").agg(F.sum("n").alias("n")).collect()}
+    weight = F.col("n") * F.when(F.col("right"), F.lit(max(1.0, n[False] / n[True]))).otherwise(1.0)
+    frame = cued.select(F.col("right").cast("double").alias("label"), array_to_vector("x").alias("features"), weight.alias("weight"))
+    trees = GBTClassifier(maxIter=ROUNDS, maxDepth=DEPTH, seed=SEED, weightCol="weight").fit(frame)
 
     def walk(node, out: list) -> int:
         at = len(out)
@@ -400,13 +472,13 @@ def fit(documents: DataFrame, text: str = "text", sample_docs: int = SAMPLE_DOCS
         table[k, : len(out)] = out
     whole = lambda c: table[:, :, c].astype(np.int64)
     model = model._replace(feature=whole(0), threshold=table[:, :, 1], left=whole(2), right=whole(3), value=table[:, :, 4], weights=np.array(trees.treeWeights))
-    held = [(y, w, x) for h, y, w, x in rows if h]
-    if not held:
+    # at most 4 * (STEPS + 1) rows
+    steps = taken_steps(texts.where("h & 1 = 1"), model).collect()
+    if not steps:
         return NOTHING
-    right = np.array([y for y, *_ in held])
-    x = model.with_cues(np.array([x for *_, x in held]), [w for _, w, _ in held])
-    score = model.score(x)
-    return model._replace(accept=tuple(accepted_from(score[x[:, 0] == k], right[x[:, 0] == k]) if (x[:, 0] == k).any() else 2.0 for k in range(len(KINDS))))
+    found = np.array([(r["kind"], r["step"], r["right"], r["n"]) for r in steps], np.int64)
+    of = lambda k: found[found[:, 0] == k]
+    return model._replace(accept=tuple(accepted_from(of(k)[:, 1] / STEPS, of(k)[:, 2], each=of(k)[:, 3]) if len(of(k)) else 2.0 for k in range(len(KINDS))))
 
 
 # --- the operator ---------------------------------------------------------------
@@ -421,16 +493,9 @@ def find_spans(text: str, model: Model) -> list[Span]:
         found = found.take(Stretches([(s.start, s.end) for s in base]).free_of(found.spans))
     if not len(found.spans):
         return base
-    starts, at = np.unique(found.spans[:, 1], return_inverse=True)
-    words = [word_before(text, a) for a in starts.tolist()] if model.cues else [""] * len(starts)
-    score = model.score(model.with_cues(found.features, [words[k] for k in at]))
-    good = np.flatnonzero(score >= np.array(model.accept)[found.spans[:, 0]])
-    taken, extra = Stretches(), []
-    for k in good[np.lexsort((-found.spans[good, 2], found.spans[good, 1], -score[good]))].tolist():
-        kind, a, b = found.spans[k].tolist()
-        if not taken.touch(a, b):
-            taken.add(a, b)
-            extra.append(Span(KINDS[kind], a, b, False, float(score[k])))
+    score = model.score(model.with_cues(found.features, _words_before(text, found) if model.cues else [""] * len(found.spans)))
+    best = _best(found, score, np.flatnonzero(score >= np.array(model.accept)[found.spans[:, 0]]))
+    extra = [Span(KINDS[found.spans[k, 0]], int(found.spans[k, 1]), int(found.spans[k, 2]), False, float(score[k])) for k in best]
     return sorted(base + extra, key=lambda s: (KINDS.index(s.kind), s.start, s.end))
 
 

@@ -153,6 +153,19 @@ def test_trees_tell_broken_spans_from_right_ones(spark, pii_model):
     assert right[picked].mean() > 0.92 and picked[right].mean() > 0.7
 
 
+def test_trees_learn_from_all_candidates_of_all_documents(spark):
+    """3,000 documents, one of 60 numbers and 9 addresses, and copies, which count once."""
+    from talkloom.llm.pii import hashed, training_table
+
+    texts = [f"Order {k} of room {k % 7}" for k in range(3000)] + [" and ".join(f"{k}000-{k}111" for k in range(10, 70)) + " " + " ".join(f"m{k}@mail.example.com" for k in range(9))]
+    table = training_table(hashed(spark.createDataFrame([(x,) for x in [*texts, *texts[:50], texts[-1], None, ""]], "text string"))).collect()
+    rows = [row for x in texts for row in training_rows(x, 0)]
+    assert sum(r["n"] for r in table if not r["right"] and r["features"][0] != 0) == sum(x[0] != 0 for y, _, x in rows if not y) >= 60
+    assert sum(r["n"] for r in table if r["right"]) == sum(y for y, *_ in rows) >= 9 * 4
+    many = spark.createDataFrame([(x,) for x in [f"Call +1 202 555 {k} or {k}-{k}" for k in range(1000, 4500)]], "text string")
+    assert training_table(hashed(many)).agg({"n": "sum"}).first()[0] > 4 * 2000
+
+
 def test_spans_are_redacted(pii_model):
     text = "Please call me: (202) 555-0143 today or mail ann.lee [at] example [dot] org. Invoice 20-05-2024 page 12."
     found = find_spans(text, pii_model)
