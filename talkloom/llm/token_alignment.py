@@ -102,9 +102,11 @@ class TokenPair:
             b = self._cut(np.array(self.b.encode(text[1:]), np.int64), self.b_lengths, upto)
             self.known.update(zip(plain, zip(a, b, strict=True), strict=True))
         plain = set(plain)
-        for word in words:
-            if word not in plain:
-                a, b, whole = self.a.encode(" " + word, add_special_tokens=False).ids, self.b.encode(word), (" " + word).encode()
+        others = [w for w in words if w not in plain]
+        if others:
+            encoded = self.a.encode_batch_fast([" " + w for w in others], add_special_tokens=False)
+            for word, a, b in zip(others, encoded, self.b.encode(others, num_threads=1), strict=True):
+                a, whole = a.ids, (" " + word).encode()
                 same = b"".join(map(self.a_bytes.__getitem__, a)) == whole == b"".join(map(self.b_bytes.__getitem__, b))
                 self.known[word] = (np.array(a, "<u4").tobytes(), np.array(b, "<u4").tobytes()) if same else None
 

@@ -253,3 +253,14 @@ def test_tokens_of_half_a_megabyte_of_text_are_held_at_once():
     batch = pa.RecordBatch.from_pydict({"doc_id": list(range(600)), "text": ["word " * 819] * 600})
     made = list(token_alignment._tokens(token_alignment.TOKENIZER, token_alignment.RANKS, token_alignment.MODEL)([batch]))
     assert sum(b.num_rows for b in made) == 600 and max(b.num_rows for b in made) <= 128
+
+
+def test_other_words_are_encoded_in_batches(bytewise, pieces):
+    both, calls = token_alignment.TokenPair(token_alignment.TOKENIZER, token_alignment.RANKS, token_alignment.MODEL), []
+    both.b = type("Counted", (), {"encode": lambda self, *a, **k: calls.append(1) or pieces.encode(*a, **k)})()
+    words = [f"слово{k}" for k in range(300)] + ["plain"]
+    a, b = both.encode([f"a {w}" for w in words])
+    assert len(calls) <= 2
+    for word, x, y in zip(words, a, b, strict=True):
+        assert x == np.array(bytewise.encode(f" a {word}", add_special_tokens=False).ids, "<u4").tobytes()
+        assert y == np.array(pieces.encode(f"a {word}"), "<u4").tobytes()
