@@ -188,10 +188,11 @@ def plain_inline(c: Column | str) -> Column:
     return strip(F.replace(F.replace(col(c), F.lit("**"), F.lit("")), F.lit("`"), F.lit("")))
 
 
-def safe_file_name(c: Column | str, fallback: str = "meeting") -> Column:
-    """Characters that file systems refuse become _, 60 characters at most."""
+def safe_file_name(c: Column | str, fallback: str | None = "meeting") -> Column:
+    """Characters that file systems refuse become _, 60 characters at most; where
+    nothing is left, the fallback, if there is one."""
     name = F.left(F.regexp_replace(col(c), r'[\\/:*?"<>|]', "_"), F.lit(60))
-    return F.coalesce(F.nullif(name, F.lit("")), F.lit(fallback))
+    return name if fallback is None else F.coalesce(F.nullif(name, F.lit("")), F.lit(fallback))
 
 
 def escape_html(c: Column | str) -> Column:
@@ -203,8 +204,9 @@ def escape_html(c: Column | str) -> Column:
 
 
 def minutes_seconds(seconds: Column) -> Column:
-    """mm:ss."""
-    return F.format_string("%02d:%02d", (seconds / 60).cast("int"), (seconds % 60).cast("int"))
+    """mm:ss of whole seconds, of any number of them; null stays null."""
+    whole = seconds.cast("long")
+    return F.when(whole.isNotNull(), F.format_string("%02d:%02d", F.call_function("div", whole, F.lit(60)), whole % 60))
 
 
 def live_line(kind: Column, label: Column, text: Column) -> Column:
