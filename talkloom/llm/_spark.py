@@ -6,6 +6,7 @@ import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -32,14 +33,47 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def new_table(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing uses yet."""
+    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Writes df as a Parquet table in the shared folder and reads it back: cuts
     the lineage, and survives the loss of any executor. The table lies in a folder
-    of the application, which nobody needs once that has ended."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    of the application, which nobody needs once that has ended. A path of
+    new_table() may be given, to write a table piece by piece."""
+    path = path or new_table(df.sparkSession, name)
+    df.write.mode("append").option("parquet.block.size", ROW_GROUP).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Has Spark delete the shuffle files of each write within as soon as it ends,
+    not some time after the driver's garbage collection. No frame that shuffles may
+    be run twice within."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Has Spark delete the shuffle files of each write within as soon as it ends,
+    not some time after the driver's garbage collection. Nothing that is written
+    here may be run again from the same frame."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
 def discard(df: DataFrame) -> None:
@@ -108,16 +142,18 @@ def groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
         yield pa.concat_tables(held)
 
 
-def map_groups(df: DataFrame, key: str, fn: Callable[[pa.Table], pa.RecordBatch | None], schema: str, order: list[str] = ()) -> DataFrame:
+def map_groups(df: DataFrame, key: str, fn: Callable[[pa.Table], pa.RecordBatch | None], schema: str, order: list[str] = (), partitions: int | None = None) -> DataFrame:
     """Hash-partitions df by `key`, sorts, and applies fn to each key's rows. The
-    partition number is left to Spark, so adaptive execution can size it."""
+    partition number is left to Spark, so adaptive execution can size it, unless a
+    group's work is no matter of its size."""
 
     def run(batches):
         for table in groups(batches, key):
             if (out := fn(table)) is not None:
                 yield out
 
-    return df.repartition(key).sortWithinPartitions(key, *order).mapInArrow(tidy(run), schema)
+    dealt = df.repartition(partitions, key) if partitions else df.repartition(key)
+    return dealt.sortWithinPartitions(key, *order).mapInArrow(tidy(run), schema)
 
 
 def block_tasks(df: DataFrame, group: str, weight: str, member: str, limit: int) -> DataFrame:
