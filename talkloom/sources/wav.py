@@ -15,19 +15,23 @@ from __future__ import annotations
 import json
 import struct
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 
 from talkloom.sources.audio import BLOCK, SAMPLES
 
-#: Bytes of a file that one task reads, about, and blocks in one batch.
-SPLIT_BYTES, BATCH_BLOCKS = 32 << 20, 256
+#: Bytes that one task reads, about, files among them at most, and blocks in one batch.
+SPLIT_BYTES, SPLIT_FILES, BATCH_BLOCKS = 32 << 20, 1024, 256
+#: Samples that the sink turns into bytes at once, and files that the driver touches at once.
+WRITE_SAMPLES, THREADS = 1 << 18, 16
 #: Rate of raw spool files, which do not tell it.
 SPOOL_RATE = 16_000
 _SCHEMA = pa.schema([("path", pa.string()), ("rate", pa.int32()), ("frame_ix", pa.int32()), ("samples", pa.list_(pa.float32()))])
@@ -42,6 +46,14 @@ def file_system(path: str):
     return LocalFileSystem(), path
 
 
+def _each(fs, do: Callable, files: list) -> list:
+    """do() of each file, in order; THREADS at once where a call waits for a network."""
+    if fs.type_name == "local":
+        return [do(f) for f in files]
+    with ThreadPoolExecutor(THREADS) as pool:
+        return list(pool.map(do, files))
+
+
 @dataclass
 class Layout:
     """Where a file's samples lie: bytes before them, of them, and of one frame of all
@@ -53,6 +65,10 @@ class Layout:
     kind: str = "<i2"
     rate: int = -1
 
+    @property
+    def blocks(self) -> int:
+        return -(-(self.size // self.frame) // BLOCK) if self.rate >= 0 else 0
+
 
 def wav_layout(f, length: int) -> Layout:
     """Reads the chunks' heads of a 16-bit WAV file; a data chunk that tells more than
@@ -75,15 +91,24 @@ def wav_layout(f, length: int) -> Layout:
 
 
 @dataclass
-class Range(InputPartition):
-    """Blocks first to last (exclusive) of one file."""
+class Range:
+    """Blocks first to last (exclusive) of one file; without a layout, those of them
+    that its head tells of."""
 
     path: str
-    layout: Layout
+    size: int
+    layout: Layout | None
     first: int
     last: int
 
 
+@dataclass
+class Ranges(InputPartition):
+    """What one task reads."""
+
+    ranges: list[Range]
+
+
 @dataclass
 class _Wanted:
     """What pushed filters leave: frames low to high (inclusive), and paths."""
@@ -120,51 +145,91 @@ class _Reader(DataSourceReader):
     def layout(self, f, length: int) -> Layout:
         raise NotImplementedError
 
+    def scheme(self) -> str:
+        """What stands before the paths of files, as they are shown."""
+        return self.path.split("://", 1)[0] + "://" if "://" in self.path else ""
+
     def partitions(self) -> list[InputPartition]:
-        """Heads of the files are read here; samples only by tasks."""
+        """Files of up to `split` bytes are read several to a task, which also reads their
+        heads; only larger ones are opened here, to cut them."""
         from pyarrow.fs import FileSelector, FileType
 
         fs, base = file_system(self.path)
-        scheme = self.path.split("://", 1)[0] + "://" if "://" in self.path else ""
+        scheme = self.scheme()
         info = fs.get_file_info(base)
         found = [info] if info.type == FileType.File else [i for i in fs.get_file_info(FileSelector(base, recursive=True)) if i.type == FileType.File]
-        out = []
+        wanted = []
         for i in sorted(found, key=lambda i: i.path):
             name = i.base_name.lower()
-            shown = scheme + i.path
-            if not name.endswith(self.suffixes) or name.startswith(("_", ".")) or "/_" in i.path.removeprefix(base) or (self.wanted.paths is not None and shown not in self.wanted.paths):
-                continue
+            if name.endswith(self.suffixes) and not name.startswith(("_", ".")) and "/_" not in i.path.removeprefix(base) and (self.wanted.paths is None or scheme + i.path in self.wanted.paths):
+                wanted.append(i)
+        out, held, size = [], [], 0
+        for i in wanted:
+            if i.size <= self.split:
+                if held and (size + i.size > self.split or len(held) == SPLIT_FILES):
+                    out.append(Ranges(held))
+                    held, size = [], 0
+                held.append(Range(i.path, i.size, None, self.wanted.low, self.wanted.high + 1))
+                size += i.size
+        out += [Ranges(held)] if held else []
+        large = [i for i in wanted if i.size > self.split]
+
+        def head(i) -> Layout:
             with fs.open_input_file(i.path) as f:
-                layout = self.layout(f, i.size)
-            blocks = -(-(layout.size // layout.frame) // BLOCK)
-            if layout.rate < 0 or not blocks:  # one empty block tells of the file
-                out += [Range(shown, layout, 0, 0)] if self.wanted.low <= 0 else []
-                continue
-            first, last = max(0, self.wanted.low), min(blocks, self.wanted.high + 1)
+                return self.layout(f, i.size)
+
+        for i, layout in zip(large, _each(fs, head, large), strict=True):
             step = max(1, self.split // (BLOCK * layout.frame))
-            out += [Range(shown, layout, at, min(last, at + step)) for at in range(first, last, step)]
+            first, last = self.wanted.low, self.wanted.high + 1
+            if layout.blocks:
+                first, last = max(0, first), min(layout.blocks, last)
+                out += [Ranges([Range(i.path, i.size, layout, at, min(last, at + step))]) for at in range(first, last, step)]
+            else:
+                out.append(Ranges([Range(i.path, i.size, layout, first, last)]))
         return out
 
-    def read(self, partition: Range | None) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Ranges | None) -> Iterator[pa.RecordBatch]:
         if partition is None:  # filters left nothing to read
             return
-        at = partition.layout
-        if partition.first == partition.last:
-            yield pa.RecordBatch.from_arrays([pa.array([partition.path]), pa.array([at.rate], pa.int32()), pa.array([0], pa.int32()), pa.array([[]], pa.list_(pa.float32()))], schema=_SCHEMA)
-            return
-        fs, path = file_system(partition.path)
-        with fs.open_input_file(path) as f:
-            for first in range(partition.first, partition.last, BATCH_BLOCKS):
-                last = min(partition.last, first + BATCH_BLOCKS)
+        fs, scheme = file_system(self.path)[0], self.scheme()
+        held, n = [], 0  # path, rate, first block, samples
+        for r in partition.ranges:
+            for part in self.parts(fs, r):
+                held.append((scheme + r.path, *part))
+                n += max(1, -(-len(part[-1]) // BLOCK))
+                if n >= BATCH_BLOCKS:
+                    yield _batch(held)
+                    held, n = [], 0
+        if held:
+            yield _batch(held)
+
+    def parts(self, fs, r: Range) -> Iterator[tuple[int, int, np.ndarray]]:
+        """Rate, first block and samples of up to BATCH_BLOCKS blocks of a range at a time."""
+        with fs.open_input_file(r.path) as f:
+            at = r.layout or self.layout(f, r.size)
+            if not at.blocks and r.first <= 0 < r.last:  # one empty block tells of the file
+                yield at.rate, 0, np.zeros(0, np.float32)
+            for first in range(max(0, r.first), min(at.blocks, r.last), BATCH_BLOCKS):
+                last = min(at.blocks, r.last, first + BATCH_BLOCKS)
                 begin = first * BLOCK * at.frame
                 f.seek(at.start + begin)
                 data = f.read(min(at.size, last * BLOCK * at.frame) - begin)
                 width = at.frame // np.dtype(at.kind).itemsize
                 x = np.frombuffer(data, at.kind)[::width]
-                x = x.astype(np.float32) / np.float32(32768) if at.kind == "<i2" else x.astype(np.float32)
-                offsets = np.append(np.arange(0, len(x), BLOCK), len(x)).astype(np.int32)
-                n = len(offsets) - 1
-                yield pa.RecordBatch.from_arrays([pa.array([partition.path] * n), pa.array([at.rate] * n, pa.int32()), pa.array(np.arange(first, first + n), pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(x))], schema=_SCHEMA)
+                yield at.rate, first, x.astype(np.float32) / np.float32(32768) if at.kind == "<i2" else x.astype(np.float32)
+
+
+def _batch(parts: list[tuple[str, int, int, np.ndarray]]) -> pa.RecordBatch:
+    paths, rates, places, lengths = [], [], [], []
+    for path, rate, first, x in parts:
+        own = [min(BLOCK, len(x) - k) for k in range(0, len(x), BLOCK)] or [0]
+        paths += [path] * len(own)
+        rates += [rate] * len(own)
+        places += range(first, first + len(own))
+        lengths += own
+    offsets = np.append(0, np.cumsum(lengths)).astype(np.int32)
+    samples = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([p[3] for p in parts])))
+    return pa.RecordBatch.from_arrays([pa.array(paths), pa.array(rates, pa.int32()), pa.array(places, pa.int32()), samples], schema=_SCHEMA)
 
 
 class _WavReader(_Reader):
@@ -249,38 +314,48 @@ class _Files(DataSourceArrowWriter):
             files.append((name, place, error))
 
         for batch in batches:
-            for own, total, samples in zip(batch.column("name").to_pylist(), batch.column("total").to_pylist(), batch.column("samples"), strict=True):
-                if own != name:
+            names, totals = batch.column("name").to_pylist(), batch.column("total").to_pylist()
+            column = batch.column("samples")
+            values = column.flatten()  # without what null rows hold
+            ends = np.cumsum(pc.fill_null(column.value_lengths(), 0).to_numpy(zero_copy_only=False))
+            cuts = [k for k in range(len(names)) if k == 0 or names[k] != names[k - 1]]
+            for k, after in zip(cuts, [*cuts[1:], len(names)], strict=True):
+                if names[k] != name:
                     shut()
-                    name, left, error, out, place = own, total, None, None, f"{uuid.uuid4().hex}.wav"
+                    name, left, error, out, place = names[k], totals[k], None, None, f"{uuid.uuid4().hex}.wav"
                     try:
-                        if total * 2 + 36 >= 1 << 32:
+                        if left * 2 + 36 >= 1 << 32:
                             raise OSError("more samples than a WAV file can tell")
                         out = fs.open_output_stream(f"{folder}/{place}")
-                        out.write(struct.pack("<4sI4s4sIHHIIHH4sI", b"RIFF", 36 + 2 * total, b"WAVE", b"fmt ", 16, 1, 1, self.rate, 2 * self.rate, 2, 16, b"data", 2 * total))
+                        out.write(struct.pack("<4sI4s4sIHHIIHH4sI", b"RIFF", 36 + 2 * left, b"WAVE", b"fmt ", 16, 1, 1, self.rate, 2 * self.rate, 2, 16, b"data", 2 * left))
                     except OSError as e:
                         error = str(e)
-                if error is None and samples.is_valid:
+                begin, end = int(ends[k - 1]) if k else 0, int(ends[after - 1])
+                for at in range(begin, end, WRITE_SAMPLES) if error is None else ():
                     try:
-                        x = np.asarray(samples.values, np.float64) * 32767
+                        x = values.slice(at, min(end - at, WRITE_SAMPLES)).to_numpy(zero_copy_only=False).astype(np.float64) * 32767
                         out.write(np.clip(np.nan_to_num(x, nan=0.0, posinf=32767, neginf=-32768), -32768, 32767).astype("<i2").tobytes())
                         left -= len(x)
                     except OSError as e:
                         error = str(e)
+                        break
         shut()
         return Written(files)
 
     def commit(self, messages: list[Written | None]) -> None:
         fs, base, folder = self.folder()
-        failed = {}
-        for name, place, error in (f for m in messages if m is not None for f in m.files):
+
+        def publish(file: tuple[str, str, str | None]) -> str | None:
+            name, place, error = file
             if error is None:
                 try:
                     fs.move(f"{folder}/{place}", f"{base}/{name}.wav")
                 except OSError as e:
                     error = str(e)
-            if error is not None:
-                failed[name] = error
+            return error
+
+        files = [f for m in messages if m is not None for f in m.files]
+        failed = {f[0]: error for f, error in zip(files, _each(fs, publish, files), strict=True) if error is not None}
         self._clear()
         if failed:  # told by file, not raised: the other files stand
             with fs.open_output_stream(f"{base}/_errors-{self.job}.json") as out:
